@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -27,7 +28,16 @@ def build_session(app: str = "tidepool", master: str | None = None, **conf: str)
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return reach_workers(b.getOrCreate())
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let the Python workers import this package from where the driver did."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
