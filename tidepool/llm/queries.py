@@ -1,7 +1,7 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tidepool.llm import encode, mix, spans
+from tidepool.llm import encode, mix, rank, spans
 
-_MODULES = [encode, mix, spans]
+_MODULES = [encode, mix, rank, spans]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
