@@ -22,7 +22,7 @@ POSTED = 6
 #: files are worked off in blocks, against all their members.
 FILE_ROWS = 1_000
 MOST_PIVOTS = 4_096
-LEAST_PIVOTS = 16
+LEAST_PIVOTS = 192
 #: Members that are reranked by cosine, for each member of a file.
 RERANKED = 32
 BLOCK_ROWS = 2_048
