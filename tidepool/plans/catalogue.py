@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.operators import incremental, orphans, sessions
+from tidepool.operators import episodes, incremental, orphans, sessions
 
-_MODULES = [orphans, sessions, incremental]
+_MODULES = [orphans, sessions, incremental, episodes]
 
 
 def queries() -> dict:
