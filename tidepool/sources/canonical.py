@@ -13,7 +13,8 @@ EVENTS_SQL = """
 ev AS (
   SELECT id, event_type, ts, source, source_kind, artifact_id, event_confidence, recorded_at,
          CASE WHEN json_valid(payload) THEN nullif(payload->>'$.path', '') END AS path,
-         CASE WHEN json_valid(payload) THEN coalesce(nullif(payload->>'$.app', ''), nullif(payload->>'$.application', '')) END AS app
+         CASE WHEN json_valid(payload) THEN coalesce(nullif(payload->>'$.app', ''), nullif(payload->>'$.application', '')) END AS app,
+         CASE WHEN json_valid(payload) THEN TRY_CAST(json_extract(payload, '$.tags') AS VARCHAR[]) END AS tags
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, recorded_at) AS rn FROM activity_events WHERE ts IS NOT NULL AND id IS NOT NULL) WHERE rn = 1
 )"""
 ARTIFACTS_SQL = "art AS (SELECT DISTINCT ON (id) * FROM artifacts)"
