@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.operators import episodes, incremental, memories, orphans, sessions
+from tidepool.operators import episodes, fulltext, incremental, memories, orphans, sessions
 
-_MODULES = [orphans, sessions, incremental, episodes, memories]
+_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext]
 
 
 def queries() -> dict:
