@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.operators import episodes, fulltext, incremental, memories, orphans, sessions
+from tidepool.operators import episodes, fulltext, incremental, lookups, memories, orphans, sessions, summaries
 
-_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext]
+_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries]
 
 
 def queries() -> dict:
