@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.operators import episodes, fulltext, incremental, lookups, memories, orphans, sessions, summaries
+from tidepool.operators import episodes, fulltext, incremental, lookups, memories, orphans, sessions, summaries, tables
 
-_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries]
+_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables]
 
 
 def queries() -> dict:
