@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.operators import episodes, fulltext, incremental, lookups, memories, orphans, sessions, summaries, tables
+from tidepool.operators import episodes, feedback, fulltext, incremental, lookups, memories, orphans, sessions, summaries, tables, vectors
 
-_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables]
+_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables, vectors, feedback]
 
 
 def queries() -> dict:
