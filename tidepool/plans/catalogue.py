@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.operators import episodes, feedback, fulltext, incremental, lookups, memories, orphans, sessions, summaries, tables, vectors
+from tidepool.plans import search
 
-_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables, vectors, feedback]
+_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables, vectors, feedback, search]
 
 
 def queries() -> dict:
@@ -18,4 +19,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.p1_found(spark, sf_dir)
+    return search.hybrid_search(spark, sf_dir)
