@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.text import basename, segments
+from tidepool.functions.text import segments
 from tidepool.sources import canonical
 
 #: Directories and tokens that name no topic, and directories whose next part is a user's name.
@@ -18,40 +18,35 @@ HOMES = ["users", "user", "home"]
 ARTIFACT_BONUS, TOPIC_BONUS = 0.1, 0.05
 
 
-def _among(x: Column, words: list[str]) -> Column:
-    return x.isin(words)
-
-
 def is_topic(token: Column) -> Column:
     """Three characters or more, not digits alone, not generic."""
     low = F.lower(token)
-    return (F.length(low) >= 3) & ~low.rlike("^[0-9]+$") & ~_among(low, GENERIC)
+    return (F.length(low) >= 3) & ~low.rlike("^[0-9]+$") & ~low.isin(GENERIC)
 
 
 def topic_tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), 0), is_topic)
 
 
-def filename_topics(path: Column) -> Column:
-    """Topics of a file's name without its last extension, dotted parts from the back, case kept."""
-    parts = F.filter(F.split(basename(path), r"\."), lambda p: p != "")
-    kept = F.when(F.size(parts) > 1, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.coalesce(F.array_distinct(F.flatten(F.transform(F.reverse(kept), topic_tokens))), F.array().cast("array<string>"))
-
-
-def folder_topics(path: Column) -> Column:
-    """Topics of a file's directories, the deepest first, in lower case, without broad ones and users' names."""
-    parts = F.transform(segments(path), lambda s: F.lower(s))
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    owners = F.transform(F.filter(F.transform(folders, lambda x, i: F.when(_among(x, HOMES), i)), lambda i: i.isNotNull()), lambda i: F.get(folders, i + 1))
-    owners = F.filter(owners, lambda x: x.isNotNull())
-    kept = F.filter(F.reverse(folders), lambda x: ~_among(F.trim(x), BROAD) & ~_among(F.trim(x), GENERIC) & ~F.array_contains(owners, F.trim(x)))
-    return F.coalesce(F.array_distinct(F.flatten(F.transform(kept, lambda x: topic_tokens(F.trim(x))))), F.array().cast("array<string>"))
-
-
-def tag_topics(tags: Column) -> Column:
-    found = F.filter(F.transform(tags, lambda t: F.lower(F.trim(t))), is_topic)
-    return F.coalesce(found, F.array().cast("array<string>"))
+def with_topics(rows: DataFrame) -> DataFrame:
+    """rows (path, tags) with name, the file's name; filename_topics, of that name without its last extension, dotted parts
+    from the back, case kept; folder_topics, of the directories, the deepest first, in lower case, without broad ones and
+    users' names; tag_topics. In steps, so that nothing is worked out twice."""
+    none = F.array().cast("array<string>")
+    among = lambda x: x.isin(BROAD) | x.isin(GENERIC)
+    return (
+        rows.withColumn("_parts", F.coalesce(segments("path"), none))
+        .withColumn("name", F.when(F.size("_parts") > 0, F.element_at("_parts", -1)))
+        .withColumn("_dots", F.filter(F.split("name", r"\."), lambda p: p != ""))
+        .withColumn("_dots", F.when(F.size("_dots") > 1, F.slice("_dots", 1, F.size("_dots") - 1)).otherwise(F.col("_dots")))
+        .withColumn("_folders", F.transform(F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), lambda x: F.lower(x)))
+        .withColumn("_owners", F.filter(F.transform("_folders", lambda x, i: F.when((i > 0) & F.get("_folders", i - 1).isin(HOMES), F.trim(x))), lambda x: x.isNotNull()))
+        .withColumn("_kept", F.filter(F.transform(F.reverse("_folders"), lambda x: F.trim(x)), lambda x: ~among(x) & ~F.array_contains("_owners", x)))
+        .withColumn("filename_topics", F.coalesce(F.array_distinct(F.flatten(F.transform(F.reverse("_dots"), topic_tokens))), none))
+        .withColumn("folder_topics", F.coalesce(F.array_distinct(F.flatten(F.transform("_kept", topic_tokens))), none))
+        .withColumn("tag_topics", F.coalesce(F.filter(F.transform("tags", lambda t: F.lower(F.trim(t))), is_topic), none))
+        .drop("_parts", "_dots", "_folders", "_owners", "_kept")
+    )
 
 
 def episode_events(episodes: DataFrame, events: DataFrame) -> DataFrame:
@@ -66,11 +61,12 @@ def topic_sources(found: DataFrame) -> DataFrame:
     """episode_id, topic, source, source_type, ord: each topic of an episode where it first comes up; file names of an event
     come before its folders, these before its tags."""
     entry = lambda topics, kind, of, n: F.transform(topics, lambda t, i: F.struct(t.alias("topic"), of.alias("source"), F.lit(kind).alias("source_type"), F.lit(n).alias("rank"), i.alias("i")))
-    path = F.col("path")
+    rows = with_topics(found)
     entries = F.concat(
-        entry(filename_topics(path), "filename", basename(path), 0), entry(folder_topics(path), "path_segment", path, 1), entry(tag_topics(F.col("tags")), "event_tag", F.lit(None).cast("string"), 2)
-    )
-    rows = found.select("episode_id", "pos", F.explode(entries).alias("x")).select("episode_id", F.struct("pos", "x.rank", "x.i").alias("ord"), "x.topic", "x.source", "x.source_type")
+        entry(F.col("filename_topics"), "filename", F.col("name"), 0), entry(F.col("folder_topics"), "path_segment", F.col("path"), 1),
+        entry(F.col("tag_topics"), "event_tag", F.lit(None).cast("string"), 2),
+    )
+    rows = rows.select("episode_id", "pos", F.explode(entries).alias("x")).select("episode_id", F.struct("pos", "x.rank", "x.i").alias("ord"), "x.topic", "x.source", "x.source_type")
     first = rows.groupBy("episode_id", "topic").agg(F.min(F.struct("ord", "source", "source_type")).alias("f"))
     return first.select("episode_id", "topic", F.coalesce("f.source", "topic").alias("source"), "f.source_type", "f.ord")
 

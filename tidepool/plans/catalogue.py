@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.operators import episodes, feedback, fulltext, incremental, lookups, memories, orphans, sessions, summaries, tables, vectors
+from tidepool.operators import episodes, feedback, fulltext, incremental, lookups, memories, metrics, orphans, sessions, summaries, tables, vectors
 from tidepool.plans import search
 
-_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables, vectors, feedback, search]
+_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables, vectors, feedback, search, metrics]
 
 
 def queries() -> dict:
