@@ -106,7 +106,8 @@ def group(events: DataFrame, rules: Rules = Rules(), keys: list[str] | None = No
     ids = F.transform("e", lambda x: x["id"])
     artifact_ids = F.array_distinct(F.filter(F.transform("e", lambda x: x["artifact_id"]), lambda a: a.isNotNull() & (a != 0)))
     paths = F.filter(F.transform("e", lambda x: x["path"]), lambda p: p.isNotNull())
-    confidence = F.coalesce(F.least(F.greatest(F.col("mean_score") / rules.confidence_divisor, F.lit(0.0)), F.lit(1.0)), F.lit(rules.alone))
+    clamped = F.least(F.greatest(F.col("mean_score") / rules.confidence_divisor, F.lit(0.0)), F.lit(1.0))
+    confidence = F.when(F.col("mean_score").isNull(), rules.alone).otherwise(clamped)
     text = F.concat_ws("|", iso_text(F.col("start_us")), iso_text(F.col("end_us")), F.array_join(ids, ","))
     return rows.select(
         *keys, F.sha2(text, 256).alias("id"), "start_us", "end_us", ids.alias("event_ids"), artifact_ids.alias("artifact_ids"), confidence.alias("grouping_confidence"),
@@ -182,7 +183,7 @@ g AS (
 ),
 iso AS (SELECT *, strftime(s, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(s) % 1000000 = 0 THEN '' ELSE strftime(s, '.%f') END || '+00:00' AS start_ts, strftime(e, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(e) % 1000000 = 0 THEN '' ELSE strftime(e, '.%f') END || '+00:00' AS end_ts FROM g)
 SELECT {key} sha256(start_ts || '|' || end_ts || '|' || event_ids) AS id, start_ts, end_ts, n_events, event_ids, coalesce(artifact_ids, '') AS artifact_ids,
-  round(coalesce(least(greatest(m / 13e-1, 0), 1), 5e-1), 6) AS grouping_confidence,
+  round(CASE WHEN m IS NULL THEN 5e-1 ELSE least(greatest(m / 13e-1, 0), 1) END, 6) AS grouping_confidence,
   CASE WHEN most > 1 THEN 'Activity involving ' || best WHEN most = 1 THEN 'Activity involving ' || opening ELSE 'Activity — ' || strftime(s, '%H:%M') || '–' || strftime(e, '%H:%M') END AS title, n_merges
 FROM iso LEFT JOIN titles USING ({key} grp) LEFT JOIN arts USING ({key} grp)
 """
