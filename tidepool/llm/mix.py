@@ -37,6 +37,11 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, seed: int = 0
         if n > 0:
             take[i] += n
             left -= n * int(sizes[i])
+    for i in order:  # some are given back, so that the programme has a choice: all of them where the budget is small
+        n = min(int(take[i]), (min(budget, dp_tokens) - left) // int(sizes[i]))
+        if n > 0:
+            take[i] -= n
+            left += n * int(sizes[i])
     goal, mask = min(left, dp_tokens), (1 << min(left, dp_tokens) + 1) - 1
     reached, steps = 1, []
     for i in order:

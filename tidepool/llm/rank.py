@@ -33,7 +33,7 @@ def rank_by_closeness(rows: DataFrame, group: str, item: str, scores: list[Score
     """group, item, closeness (1 best, 0 worst) of each distinct row of group, item and scores.
 
     A score that is null or not a number leaves the distances, neither for nor against the item; infinite ones are cut
-    like other extremes. A score with one value in its group says nothing and is left out too. An item with no usable
+    like other extremes, and are no quantiles. A score with one value in its group says nothing and is left out too. An item with no usable
     score gets 0.5. Rows that repeat count once; if an item has several different rows, its best one counts. Null groups or
     items are left out; other columns are ignored; an empty table gives no rows.
     """
@@ -41,7 +41,8 @@ def rank_by_closeness(rows: DataFrame, group: str, item: str, scores: list[Score
     value = lambda s: F.when(F.isnan(s.name), None).otherwise(F.col(s.name).cast("double") * (1.0 if s.higher_is_better else -1.0))
     base = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), *[value(s).alias(n) for s, n in zip(scores, names, strict=True)])
     base = base.filter("g IS NOT NULL AND i IS NOT NULL").distinct()
-    cuts = base.groupBy("g").agg(*[F.percentile_approx(n, list(winsor), ACCURACY).alias(f"{n}_q") for n in names])
+    finite = lambda n: F.when(F.abs(n) != float("inf"), F.col(n))
+    cuts = base.groupBy("g").agg(*[F.percentile_approx(finite(n), list(winsor), ACCURACY).alias(f"{n}_q") for n in names])
     at = lambda n: F.least(F.greatest(F.col(n), F.col(f"{n}_q")[0]), F.col(f"{n}_q")[1]) - F.col(f"{n}_q")[0]
     shifted = base.join(cuts, "g").select("g", "i", *[F.when(F.col(n).isNotNull(), at(n)).alias(n) for n in names])
     norms = shifted.groupBy("g").agg(*[F.sqrt(F.sum(F.col(n) * F.col(n))).alias(f"{n}_norm") for n in names], *[F.max(n).alias(f"{n}_max") for n in names])
