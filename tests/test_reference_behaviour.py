@@ -286,3 +286,15 @@ def test_hit_rate(spark):
     res = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "case_id string, id int, position int")
     rel = spark.createDataFrame([("a", 2), ("b", 9), ("c", 1)], "case_id string, id int")
     assert tuple(metrics.hit_rate_and_mrr(res, rel).first()) == (3, pytest.approx(1 / 3), pytest.approx(0.5 / 3))
+
+
+def test_events_of_json_and_small_lookups(spark, tmp_path):
+    rows = [('{"id": "a", "type": "FILE_OPENED", "timestamp": "2026-08-12T10:00:00Z", "artifact_id": 3, "payload": {"path": "/x", "application": "y"}}',), ('{"type": "X"}',), ('{"type": ',), ('{"event_confidence": 2}',), ('{"timestamp": "later"}',), (None,)]
+    got = {r["event_type"]: r for r in lookups.events_from_json(spark.createDataFrame(rows, "j string"), "j", 5).collect()}
+    assert set(got) == {"FILE_OPENED", "X"} and got["FILE_OPENED"]["app"] == "y" and got["X"]["us"] == 5 and len(got["X"]["id"]) == 32
+    df = spark.createDataFrame([("a", 1, "m", 2, [1.0, 0.0]), ("b", 1, "m", 2, [0.6, 0.8])], "chunk_id string, artifact_id int, model_id string, dimension int, embedding array<float>")
+    assert [r["chunk_id"] for r in vectors.similar(df, [1.0, 0.0], "m", least=0.9, mode="buckets").collect()] == ["a"]
+    assert lookups.chunks_of(df, chunk_ids=["b"]).count() == 1 and lookups.chunks_of(df, model_id="o").count() == 0
+    assert vectors.model_status(str(tmp_path))["missing"] == ["model.onnx", "tokenizer.json"]
+    metrics.write_report(df.select("chunk_id"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2

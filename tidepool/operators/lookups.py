@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.clock import epoch_ms, parse_iso
 from tidepool.sources import canonical
-from tidepool.session import table
+from tidepool.session import micros, table
 
 
 def event_filter(events: DataFrame, event_type=None, source=None, source_kind=None, artifact_id=None, start_us=None, end_us=None, limit=None, descending=False) -> DataFrame:
@@ -87,6 +87,46 @@ def structured_filter(candidates: DataFrame, filters: dict | None) -> DataFrame:
     return candidates.filter(kept)
 
 
+def by_key(rows: DataFrame, column: str, value) -> DataFrame:
+    """The rows with that id or path; the filter reaches the scan."""
+    return rows.filter(F.col(column) == value)
+
+
+def in_order(intervals: DataFrame) -> DataFrame:
+    """All episodes or memories by start, end and id."""
+    return intervals.orderBy("start_us", "end_us", "id")
+
+
+def chunks_of(chunks: DataFrame, artifact_id: int | None = None, model_id: str | None = None, dimension: int | None = None, chunk_ids: list[str] | None = None) -> DataFrame:
+    """Stored chunks of an artifact, a model and dimension, or some ids; what is not given does not restrict."""
+    for name, value in (("artifact_id", artifact_id), ("model_id", model_id), ("dimension", dimension)):
+        if value is not None:
+            chunks = chunks.filter(F.col(name) == value)
+    return chunks.filter(F.col("chunk_id").isin(chunk_ids)) if chunk_ids is not None else chunks
+
+
+def first_of_kind(evidence: Column, kind: str) -> Column:
+    """The first piece of evidence of a kind (event, episode, memory) in an array of evidence, or null."""
+    return F.get(F.filter(evidence, lambda e: e["type"] == kind), F.lit(0))
+
+
+def events_from_json(rows: DataFrame, column: str, now_us: int) -> DataFrame:
+    """Events of JSON texts (id, type, timestamp, source, source_kind, artifact_id, payload, event_confidence): without id a
+    hash of the text, without timestamp now, without confidence 1. Malformed texts and confidences outside 0..1 are left
+    out."""
+    v = F.try_parse_json(F.col(column))
+    get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    given = get("timestamp", "string")
+    us = F.when(given.isNull(), F.lit(now_us)).otherwise(micros(parse_iso(given)))
+    out = rows.filter(v.isNotNull()).select(
+        F.coalesce(get("id", "string"), F.substring(F.sha2(column, 256), 1, 32)).alias("id"), get("type", "string").alias("event_type"), us.alias("us"), get("source", "string").alias("source"),
+        F.coalesce(get("source_kind", "string"), F.lit("simulated")).alias("source_kind"), get("artifact_id", "bigint").alias("artifact_id"), get("payload.path", "string").alias("path"),
+        F.coalesce(get("payload.app", "string"), get("payload.application", "string")).alias("app"), get("payload.tags", "array<string>").alias("tags"),
+        F.coalesce(get("event_confidence", "double"), F.lit(1.0)).alias("event_confidence"), F.lit(now_us).cast("bigint").alias("recorded_us"),
+    )
+    return out.filter("us IS NOT NULL AND event_confidence BETWEEN 0 AND 1")
+
+
 DOCUMENT_FIELDS = ["id", "path", "file_name", "mime_type", "size", "created_at", "modified_at", "indexed_at", "content_hash", "extract_error", "missing", "last_opened_ms"]
 
 
@@ -194,6 +234,28 @@ def resolvable_episodes(spark, sf_dir: str) -> DataFrame:
     return every.join(alive, "episode_id", "left").select("episode_id", F.coalesce("resolves", F.lit(False)).alias("resolves"))
 
 
+def artifact_by_path(spark, sf_dir: str) -> DataFrame:
+    """The fields that may be shown of the artifact with the least path, found by its path."""
+    rows = canonical.artifacts(spark, sf_dir)
+    path = rows.agg(F.min("path")).first()[0]
+    return by_key(rows, "path", path).select("id", "path", "file_name", "mime_type", "size", "missing")
+
+
+def chunks_for_model(spark, sf_dir: str) -> DataFrame:
+    return chunks_of(canonical.chunks(spark, sf_dir), model_id="lumen-mini-v2", dimension=64).select("chunk_id", "artifact_id", "chunk_index")
+
+
+def episodes_ordered(spark, sf_dir: str) -> DataFrame:
+    return in_order(canonical.episodes(spark, sf_dir)).select("id", "start_us", "end_us", F.size("event_ids").cast("bigint").alias("n_events"))
+
+
+def episodes_of_artifact(spark, sf_dir: str) -> DataFrame:
+    """Episodes of the artifact that most episodes have (of several, the least id)."""
+    rows = canonical.episodes(spark, sf_dir)
+    most = members(rows, "artifact_ids", "a").groupBy("a").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "a").first()
+    return holding(rows, "artifact_ids", most["a"]).select("id") if most else rows.select("id").limit(0)
+
+
 _EV, _EP, _ART = f"WITH {canonical.EVENTS_SQL} ", f"WITH {canonical.EPISODES_SQL} ", f"WITH {canonical.ARTIFACTS_SQL} "
 _RANGE = f"epoch_us(end_ts) >= {START_MS * 1000} AND epoch_us(start_ts) <= {END_MS * 1000}"
 _ISO = r"CASE WHEN regexp_full_match(trim(modified_at), '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?') THEN epoch_ms(TRY_CAST(trim(modified_at) AS TIMESTAMPTZ)) END"
@@ -202,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         events_filtered, events_time_range, recent_events, episodes_overlapping, episode_artifacts_exploded, top3_episodes_per_artifact, mime_filter, date_filter, combined_filter, folder_artifacts,
-        feedback_for_document, opened_order, resolvable_episodes,
+        feedback_for_document, opened_order, resolvable_episodes, artifact_by_path, chunks_for_model, episodes_ordered, episodes_of_artifact,
     )
 }
 SQL = {
@@ -219,5 +281,9 @@ SQL = {
     "folder_artifacts": _ART + "SELECT id, path FROM art WHERE starts_with(path, '/vault/shared/') AND NOT coalesce(missing, false)",
     "feedback_for_document": "SELECT id, document_id, ts_ms FROM (SELECT DISTINCT ON (id) * FROM re_rank_feedback) WHERE action = 'pin' ORDER BY id DESC LIMIT 100",
     "opened_order": _ART + "SELECT id, last_opened_ms FROM art ORDER BY CASE WHEN last_opened_ms > 0 THEN last_opened_ms END DESC NULLS LAST, id LIMIT 100",
+    "artifact_by_path": _ART + "SELECT id, path, file_name, mime_type, size, missing FROM art WHERE path = (SELECT min(path) FROM art)",
+    "chunks_for_model": "SELECT DISTINCT chunk_id, artifact_id, chunk_index FROM vector_chunks WHERE model_id = 'lumen-mini-v2' AND dimension = 64",
+    "episodes_ordered": _EP + "SELECT id, epoch_us(start_ts) AS start_us, epoch_us(end_ts) AS end_us, coalesce(len(event_ids), -1) AS n_events FROM ep",
+    "episodes_of_artifact": _EP + ", x AS (SELECT DISTINCT id, unnest(artifact_ids) AS a FROM ep), most AS (SELECT a FROM x WHERE a IS NOT NULL GROUP BY a ORDER BY count(*) DESC, a LIMIT 1) SELECT id FROM ep WHERE list_contains(artifact_ids, (SELECT a FROM most))",
     "resolvable_episodes": f"WITH {canonical.EVENTS_SQL}, {canonical.EPISODES_SQL} SELECT id AS episode_id, EXISTS (SELECT 1 FROM (SELECT unnest(event_ids) AS e) x JOIN ev ON ev.id = x.e) AS resolves FROM ep",
 }

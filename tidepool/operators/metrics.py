@@ -26,6 +26,11 @@ def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("r").alias("recall"))
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report, a few rows, as one JSON file a row in a folder."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 # Queries -----------------------------------------------------------------------------------------------------------
 
 

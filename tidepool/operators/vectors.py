@@ -199,6 +199,33 @@ def bucketed_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: in
     return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
+def similar(vectors: DataFrame, query: list[float], model_id: str, k: int = 20, least: float = 0.5, mode: str = "exact") -> DataFrame:
+    """The k most similar chunks with a similarity of least or more: by exact search, or (mode "buckets") among those that
+    share a bucket with the query, where the threshold comes after the k best are taken."""
+    if mode == "exact":
+        return exact_topk(vectors, query, model_id, k, least)
+    spark = vectors.sparkSession
+    probe = spark.createDataFrame([("q", model_id, len(query), [float(x) for x in query])], "query_id string, model_id string, dimension int, embedding array<float>")
+    found = bucketed_topk(vectors, probe, k).filter(F.col("similarity") >= least).select("chunk_id", "similarity")
+    return vectors.join(found, "chunk_id").orderBy(F.col("similarity").desc(), "chunk_id")
+
+
+def model_folder(explicit: str | None = None) -> str | None:
+    """Where the sentence model is: the folder given, else TIDEPOOL_MODEL_DIR; None if neither is set."""
+    import os
+
+    return explicit or os.environ.get("TIDEPOOL_MODEL_DIR") or None
+
+
+def model_status(folder: str | None = None) -> dict:
+    """Whether a sentence model can be used, and what is missing; never raises."""
+    import os
+
+    at = model_folder(folder)
+    lacking = [n for n in ("model.onnx", "tokenizer.json") if not at or not os.path.exists(os.path.join(at, n))]
+    return {"folder": at, "available": not lacking, "missing": lacking}
+
+
 # Queries -----------------------------------------------------------------------------------------------------------
 
 MODEL = "lumen-mini-v1"
