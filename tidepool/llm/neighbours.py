@@ -108,8 +108,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
     neighbours. Repeated rows count once. Pivots are a seeded sample of at most MOST_PIVOTS vectors of each model and
     dimension; every vector is posted. Other columns are ignored; an empty table gives no rows.
     """
-    rows = cut(usable(vectors).repartition("grp", "v").dropDuplicates(["grp", "v", "id"]), "vectors")
-    heads = rows.groupBy("grp", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    rows = cut(usable(vectors), "vectors")
+    heads = rows.groupBy("grp", "v").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     sizes = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a model and dimension
     pivots: dict[str, np.ndarray] = {}
     for grp, n in sizes.items():
@@ -160,8 +160,8 @@ def _first(pairs: DataFrame, k: int) -> DataFrame:
 def _with_copies(near: DataFrame, rows: DataFrame, heads: DataFrame, k: int, least: float) -> DataFrame:
     """near of heads, given to their exact copies as well: a member's candidates are the first k + 1 members of its own head
     and the first k of each neighbouring head. Copies are never paired beyond that."""
-    several = cut(heads.filter("copies > 1").select("grp", "v", F.col("id").alias("head")), "copied")
-    copies = rows.join(several, ["grp", "v"]).select("head", "id")
+    several = cut(heads.filter("id <> last").select("grp", "v", F.col("id").alias("head")), "copied")
+    copies = rows.join(several, ["grp", "v"]).select("head", "id").distinct()
     w = Window.partitionBy("head").orderBy("id")
     first = copies.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k + 1)
     other = F.coalesce("id", "neighbour_id")
