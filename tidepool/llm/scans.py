@@ -244,6 +244,8 @@ def inspect(text: str, corrector: Corrector) -> tuple[list[tuple[int, str, str]]
             continue
         skip.add((after, 0))
         left, right = head[:-1].lstrip(EDGE).lower(), core(tail)
+        if not any(ch.isalpha() for ch in left):  # numbers, not a word
+            continue
         joined, linked = left + right, f"{left}-{right}"
         if corrector.known(joined):
             word = joined
