@@ -17,10 +17,10 @@ from tidepool.session import cut, table
 
 #: Pivots in a vector's prefix, by which the footrule ranks, and the first of them, in whose files it is posted.
 PREFIX = 12
-POSTED = 6
+POSTED = 5
 #: Members that a file should have: it makes the number of pivots follow the number of vectors, up to MOST_PIVOTS. Larger
 #: files are worked off in blocks, against all their members.
-FILE_ROWS = 1_000
+FILE_ROWS = 1_200
 MOST_PIVOTS = 4_096
 LEAST_PIVOTS = 192
 #: Members that are reranked by cosine, for each member of a file.
@@ -60,9 +60,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "grp string, id string, v binary")
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind=np.float32) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
 def best_of_file(x: np.ndarray, prefix: np.ndarray, k: int, reranked: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,10 +106,14 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
 
     vectors: chunk_id (unique), model_id, dimension, embedding. Which rows count: see usable; others neither get nor are
     neighbours. Repeated rows count once. Pivots are a seeded sample of at most MOST_PIVOTS vectors of each model and
-    dimension; every vector is posted. Other columns are ignored; an empty table gives no rows.
+    dimension; every vector is posted, its elements as 16-bit numbers, which changes cosines by about 3e-6. Other columns are ignored; an empty table gives no rows.
     """
     rows = cut(usable(vectors), "vectors")
-    heads = rows.groupBy("grp", "v").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    # only vectors whose hash stands in several rows travel to be compared; the others are their own heads
+    rows = rows.withColumn("h", F.xxhash64("v"))
+    again = cut(rows.groupBy("grp", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "h"), "again")
+    same = rows.join(again, ["grp", "h"], "left_semi").groupBy("grp", "v").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    heads = rows.join(again, ["grp", "h"], "left_anti").select("grp", "v", "id", F.col("id").alias("last")).unionByName(same)
     sizes = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a model and dimension
     pivots: dict[str, np.ndarray] = {}
     for grp, n in sizes.items():
@@ -132,14 +136,16 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
                     best = np.argpartition(-cos, n - 1, axis=1)[:, :n]
                     best = np.take_along_axis(best, np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable"), 1).astype(np.int16)
                     files = min(posted, n)
-                    again = pa.array(np.repeat(np.arange(len(piece)), files))
+                    times = pa.array(np.repeat(np.arange(len(piece)), files))
+                    small = pa.array([r.tobytes() for r in np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 32767).astype(np.int16)], pa.binary())
                     perm = pa.array([r.tobytes() for r in best], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(again), pa.array(best[:, :files].ravel().astype(np.int32)), part.column(1).take(again), perm.take(again), part.column(2).take(again)], names=["grp", "pivot", "id", "perm", "v"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), pa.array(best[:, :files].ravel().astype(np.int32)), part.column(1).take(times), perm.take(times), small.take(times)], names=["grp", "pivot", "id", "perm", "v"])
 
     files = heads.select("grp", "id", "v").mapInArrow(post, "grp string, pivot int, id string, perm binary, v binary")
 
     def file(group: pa.Table) -> pa.Table:
-        x = _matrix(group.column("v"))
+        x = _matrix(group.column("v"), np.int16).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
         perm = group.column("perm").to_pylist()
         perm = np.frombuffer(b"".join(perm), np.int16).reshape(len(perm), -1)
         i, j, cos = best_of_file(x, perm, k, reranked, least)
@@ -149,7 +155,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
     near = files.groupBy("grp", "pivot").applyInArrow(file, "chunk_id string, neighbour_id string, similarity double")
     near = near.groupBy("chunk_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     near = cut(_first(near, k), "near")
-    return _with_copies(near, rows, heads, k, least)
+    return _with_copies(near, rows, same, k, least)
 
 
 def _first(pairs: DataFrame, k: int) -> DataFrame:
@@ -157,10 +163,10 @@ def _first(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
-def _with_copies(near: DataFrame, rows: DataFrame, heads: DataFrame, k: int, least: float) -> DataFrame:
+def _with_copies(near: DataFrame, rows: DataFrame, same: DataFrame, k: int, least: float) -> DataFrame:
     """near of heads, given to their exact copies as well: a member's candidates are the first k + 1 members of its own head
     and the first k of each neighbouring head. Copies are never paired beyond that."""
-    several = cut(heads.filter("id <> last").select("grp", "v", F.col("id").alias("head")), "copied")
+    several = cut(same.filter("id <> last").select("grp", "v", F.col("id").alias("head")), "copied")
     copies = rows.join(several, ["grp", "v"]).select("head", "id").distinct()
     w = Window.partitionBy("head").orderBy("id")
     first = copies.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k + 1)
