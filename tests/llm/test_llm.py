@@ -136,6 +136,29 @@ def test_neighbours_against_brute_force_with_copies(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_a_third_of_all_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 64))
+    x[:1000] = rng.standard_normal(64) + 0.3 * rng.standard_normal((1000, 64))  # cosine about 0.92 to each other
+    df = spark.createDataFrame([(f"c{i:04d}", "m", 64, v.tolist(), "x") for i, v in enumerate(x)], VEC)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T - 3 * np.eye(3000)
+    want = {(f"c{i:04d}", f"c{j:04d}") for i in range(1000) for j in np.argsort(-cos[i])[:5] if cos[i, j] >= 0.85}
+    pairs = lambda df: {(r["chunk_id"], r["neighbour_id"]) for r in df.collect()}
+    assert len(want) > 4900
+    assert len(want & pairs(neighbours.nearest(df, 5, least=0.85))) / len(want) >= 0.99
+    assert len(want & pairs(neighbours.nearest(df, 5, least=0.85, file_rows=1000))) / len(want) >= 0.9  # in several files
+
+
+def test_all_members_of_a_file_are_compared(monkeypatch):
+    x = np.random.default_rng(2).standard_normal((1337, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = x @ x.T - 3 * np.eye(1337)
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 200_000)
+    i, j, _ = neighbours.best_of_file(x, None, 5, None, -1)
+    assert set(zip(i, j, strict=True)) == {(i, j) for i in range(1337) for j in np.argsort(-exact[i])[:5]}
+
+
 def test_a_file_larger_than_a_block(monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((50, 8)).astype(np.float32)

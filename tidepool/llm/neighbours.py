@@ -1,9 +1,9 @@
 """Problem 5: most similar vectors for every vector, by a permutation index.
 
-Each vector is represented by its nearest pivots in order. It is posted, with that prefix, in the inverted files of the
-first of them. Inside a file every member ranks the others by Spearman's footrule between the prefixes and
-reranks the best by cosine; a vector's best over all its files are its neighbours. Exact copies of a vector are one
-member, and are given back at the end.
+Each vector is represented by its nearest pivots in order. It is posted in the inverted files of the first of them.
+Inside a file every member is compared with all others by cosine (or, where a number to rerank is given, with the first of
+them by Spearman's footrule between the prefixes); a vector's best over all its files are its neighbours. Exact copies of
+a vector are one member, and are given back at the end.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from tidepool.session import cut, table
 #: Pivots in a vector's prefix, by which the footrule ranks, and the first of them, in whose files it is posted.
 PREFIX = 12
 POSTED = 5
-#: Members that a file should have: it makes the number of pivots follow the number of vectors, up to MOST_PIVOTS. Larger
-#: files are worked off in blocks, against all their members.
-FILE_ROWS = 1_200
+#: Members that a file should have: it makes the number of pivots follow the number of vectors, up to MOST_PIVOTS. As many
+#: vectors or fewer are one file, and their answer is exact.
+FILE_ROWS = 8_000
 MOST_PIVOTS = 4_096
-LEAST_PIVOTS = 192
-#: Members that are reranked by cosine, for each member of a file.
-RERANKED = 32
+#: A file is worked off in blocks of so many members, of fewer where BLOCK_CELLS cosines are reached, against all its members.
 BLOCK_ROWS = 2_048
+BLOCK_CELLS = 1 << 24
+#: Stripes of a file of which only the k with the highest cosines are looked into for the k best.
+STRIPES = 32
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -65,13 +66,31 @@ def _matrix(column, kind=np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
-def best_of_file(x: np.ndarray, prefix: np.ndarray, k: int, reranked: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best_columns(cos: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row, greatest first. Each of them is in one of the k stripes with the greatest maxima."""
+    n, m = cos.shape
+    wide = m // STRIPES
+    if wide <= k:
+        return np.argsort(-cos, axis=1, kind="stable")[:, :k]
+    tops = cos[:, : wide * STRIPES].reshape(n, STRIPES, wide).max(axis=1)
+    stripes = np.argpartition(tops, wide - k, axis=1)[:, wide - k :]
+    columns = (stripes[:, :, None] + np.arange(STRIPES) * wide).reshape(n, -1)
+    columns = np.concatenate([columns, np.broadcast_to(np.arange(wide * STRIPES, m), (n, m - wide * STRIPES))], axis=1)
+    order = np.argsort(-np.take_along_axis(cos, columns, 1), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(columns, order, 1)
+
+
+def best_of_file(x: np.ndarray, prefix: np.ndarray | None, k: int, reranked: int | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(member, other, cosine): of each member of a file its k most similar, cosines of least or more.
 
+    Without reranked, or where it takes in the whole file, all members are compared; else the reranked first by footrule.
     The footrule of two prefixes of length n, absent pivots standing at n, is n * (n + 1) less twice the sum over common
     pivots of the smaller closeness n - position: more of that sum is nearer.
     """
-    m, n = prefix.shape
+    m = len(x)
+    if reranked is None or reranked >= m - 1:
+        return _best_of_all(x, k, least)
+    n = prefix.shape[1]
     pivots, local = np.unique(prefix, return_inverse=True)
     local = local.reshape(m, n)
     close = np.zeros((len(pivots), m), np.uint8)
@@ -100,13 +119,28 @@ def best_of_file(x: np.ndarray, prefix: np.ndarray, k: int, reranked: int, least
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = PREFIX, posted: int = POSTED, file_rows: int = FILE_ROWS, reranked: int = RERANKED, seed: int = 0) -> DataFrame:
+def _best_of_all(x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, found = len(x), []
+    step = max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, m)))
+    for a in range(0, m, step):
+        cos = x[a : a + step] @ x.T
+        cos[np.arange(len(cos)), np.arange(a, a + len(cos))] = -2
+        best = _best_columns(cos, k)
+        cos = np.take_along_axis(cos, best, 1)
+        i, j = np.nonzero(cos >= max(least, -1.5))
+        found.append((i + a, best[i, j], cos[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = PREFIX, posted: int = POSTED, file_rows: int = FILE_ROWS, reranked: int | None = None, seed: int = 0) -> DataFrame:
     """chunk_id, neighbour_id, similarity, position: of each usable vector its k most similar of the same model and
     dimension, ties by id, with a cosine of least or more.
 
     vectors: chunk_id (unique), model_id, dimension, embedding. Which rows count: see usable; others neither get nor are
     neighbours. Repeated rows count once. Pivots are a seeded sample of at most MOST_PIVOTS vectors of each model and
-    dimension; every vector is posted, its elements as 16-bit numbers, which changes cosines by about 3e-6. Other columns are ignored; an empty table gives no rows.
+    dimension; every vector is posted, its elements as 16-bit numbers, which changes cosines by about 3e-6. A pair is found if
+    the two share a file; up to file_rows vectors of a model and dimension are one file. With reranked, only so many members
+    of a file, the first by footrule, are compared with each. Other columns are ignored; an empty table gives no rows.
     """
     rows = cut(usable(vectors), "vectors")
     # only vectors whose hash stands in several rows travel to be compared; the others are their own heads
@@ -117,7 +151,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
     sizes = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a model and dimension
     pivots: dict[str, np.ndarray] = {}
     for grp, n in sizes.items():
-        count = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n * posted // file_rows)))
+        count = 1 if n <= file_rows else int(min(MOST_PIVOTS, -(-n * posted // file_rows)))
         part = rows.filter(F.col("grp") == grp).select("v", F.xxhash64(F.lit(seed), "v").alias("h")).filter(F.pmod("h", F.lit(1_000_003)) <= 1_000_003 * min(1.0, 4 * (count + 64) / n))
         taken = part.distinct().orderBy("h").limit(count).select("v").collect()  # at most MOST_PIVOTS
         pivots[grp] = np.frombuffer(b"".join(bytes(r["v"]) for r in taken), np.float32).reshape(len(taken), -1)
@@ -131,14 +165,14 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
                 for piece in (at[i : i + 4096] for i in range(0, len(at), 4096)):
                     part = b.take(pa.array(piece))
                     x, p = _matrix(part.column(2)), shared.value[grp]
-                    n = min(prefix, len(p))
+                    n = min(prefix if reranked is not None else posted, len(p))
                     cos = x @ p.T
                     best = np.argpartition(-cos, n - 1, axis=1)[:, :n]
                     best = np.take_along_axis(best, np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable"), 1).astype(np.int16)
                     files = min(posted, n)
                     times = pa.array(np.repeat(np.arange(len(piece)), files))
                     small = pa.array([r.tobytes() for r in np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 32767).astype(np.int16)], pa.binary())
-                    perm = pa.array([r.tobytes() for r in best], pa.binary())
+                    perm = pa.array([r.tobytes() if reranked is not None else None for r in best], pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column(0).take(times), pa.array(best[:, :files].ravel().astype(np.int32)), part.column(1).take(times), perm.take(times), small.take(times)], names=["grp", "pivot", "id", "perm", "v"])
 
     files = heads.select("grp", "id", "v").mapInArrow(post, "grp string, pivot int, id string, perm binary, v binary")
@@ -146,8 +180,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
     def file(group: pa.Table) -> pa.Table:
         x = _matrix(group.column("v"), np.int16).astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        perm = group.column("perm").to_pylist()
-        perm = np.frombuffer(b"".join(perm), np.int16).reshape(len(perm), -1)
+        perm = _matrix(group.column("perm"), np.int16) if reranked is not None else None
         i, j, cos = best_of_file(x, perm, k, reranked, least)
         ids = group.column("id").combine_chunks()
         return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(cos.astype(np.float64))], names=["chunk_id", "neighbour_id", "similarity"])
