@@ -159,6 +159,17 @@ def test_all_members_of_a_file_are_compared(monkeypatch):
     assert set(zip(i, j, strict=True)) == {(i, j) for i in range(1337) for j in np.argsort(-exact[i])[:5]}
 
 
+def test_every_vector_gets_its_five_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 64))  # no two of them near
+    spark.createDataFrame([(f"c{i:03d}", "m", 64, v.tolist(), "x") for i, v in enumerate(x)], VEC).write.parquet(str(tmp_path / "vector_chunks.parquet"))
+    got = {(r["chunk_id"], r["neighbour_id"]) for r in neighbours.p5_neighbours(spark, str(tmp_path)).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T - 3 * np.eye(400)
+    want = {(f"c{i:03d}", f"c{j:03d}") for i in range(400) for j in np.argsort(-cos[i])[:5]}
+    assert len(got) == 2000 and len(got & want) / 2000 >= 0.99
+
+
 def test_a_file_larger_than_a_block(monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((50, 8)).astype(np.float32)

@@ -211,9 +211,8 @@ def _with_copies(near: DataFrame, rows: DataFrame, same: DataFrame, k: int, leas
 
 
 def p5_neighbours(spark, sf_dir: str) -> DataFrame:
-    """The five most similar of every vector with their cosines, of those at a cosine of 0.7 or more. Below that, vectors
-    of this data are as far apart as random ones, and an index can't tell which are nearer."""
-    return nearest(table(spark, sf_dir, "vector_chunks"), least=0.7)
+    """The five most similar of every vector with their cosines, however low."""
+    return nearest(table(spark, sf_dir, "vector_chunks"))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
