@@ -94,6 +94,19 @@ def test_ranking_is_not_ruled_by_range_or_extremes(spark):
     assert len(got) == 48 and len(got & good) / 48 >= 0.95
 
 
+def test_ranking_keeps_the_order_of_all_values(spark):
+    values = [float(v) for v in range(40)] + [1e6, 2e6, float("inf"), -1e6]
+    df = spark.createDataFrame([(1, -i, v) for i, v in enumerate(values)], "q bigint, i bigint, a double")  # ids run against the values
+    got = {r["i"]: r["closeness"] for r in rank.rank_by_closeness(df, "q", "i", [rank.Score("a")]).collect()}
+    close = [got[-i] for i in sorted(range(len(values)), key=lambda i: values[i])]
+    assert all(a < b for a, b in zip(close, close[1:], strict=False))
+    assert 0.4 < got[-20] < 0.6 and got[-39] > 0.97  # the extreme values don't stretch the scale
+    # a rare score that most items lack: most values are equal
+    rare = spark.createDataFrame([(1, i, 0.0 if i < 30 else float(i)) for i in range(40)] + [(2, 1, 3.0), (2, 2, 3.0)], "q bigint, i bigint, a double")
+    got = {(r["q"], r["i"]): r["closeness"] for r in rank.rank_by_closeness(rare, "q", "i", [rank.Score("a")]).collect()}
+    assert got[1, 0] == 0 < got[1, 30] < got[1, 39] == 1 and got[2, 1] == got[2, 2] == 0.5
+
+
 def test_ranking_of_odd_rows(spark):
     df = spark.createDataFrame([(1, 1, None, 1.0), (1, 2, None, 1.0), (2, 1, None, None), (None, 1, 1.0, 1.0), (3, 1, float("inf"), 1.0), (3, 2, 0.0, 0.0), (3, 3, 5.0, 0.5)], "q bigint, i bigint, a double, b double")
     got = {(r["q"], r["i"]): r["closeness"] for r in rank.rank_by_closeness(df, "q", "i", [rank.Score("a"), rank.Score("b")], (0.0, 1.0)).collect()}

@@ -1,7 +1,7 @@
 """Problem 3: one ranking from several differently-scaled scores, by closeness to an ideal point.
 
-In each group a score is winsorised (cut at two quantiles), measured from its worst value, and vector-normalised; its
-weight makes the span between worst and best the same for every score. An item's weighted distances to the ideal and the
+In each group a score's extreme values (beyond fences about its quartiles) are drawn in to the nearest other value, measured
+from its worst value, and vector-normalised; its weight makes the span between worst and best the same for every score. An item's weighted distances to the ideal and the
 anti-ideal point give its relative closeness. Quantiles and norms are aggregates that combine before the shuffle, and the
 best of a group are first taken in parts of it, so a group that holds a third of all rows is no single task's.
 """
@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.session import table
 
-#: Quantiles at which scores are cut: what is below the median is as bad as any, and what extreme values would stretch is
-#: taken off at the top, where several items may be ideal in one score, but hardly in all. Up to ACCURACY values a group they are exact.
-WINSOR = (0.5, 0.87)
+#: Values farther than FENCE times the spread (between the quartiles; where these are equal, between the 0.05 and 0.95
+#: quantiles) from the nearer quartile are extreme. All of them lie within TAIL of the span of the others, in their order.
+#: Up to ACCURACY values a group the quantiles are exact.
+QUANTILES = (0.25, 0.75, 0.05, 0.95)
+FENCE = 1.5
+TAIL = 0.01
 ACCURACY = 10_000
 PARTS = 32
 
@@ -29,11 +32,24 @@ class Score:
     weight: float = 1.0
 
 
-def rank_by_closeness(rows: DataFrame, group: str, item: str, scores: list[Score], winsor: tuple[float, float] = WINSOR) -> DataFrame:
+def _inside(value: Column, q: Column) -> Column:
+    """Whether value is not extreme; q has the QUANTILES. Where nine tenths of the values are equal, none is."""
+    spread = F.when(q[1] > q[0], q[1] - q[0]).when(q[3] > q[2], q[3] - q[2]).otherwise(F.lit(float("inf")))
+    return (value >= q[0] - FENCE * spread) & (value <= q[1] + FENCE * spread)
+
+
+def _drawn_in(value: Column, name: str) -> Column:
+    """value, extreme ones within TAIL of the span beyond the ends of the others (name_lo, name_hi), in their order."""
+    lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+    beyond = lambda d: TAIL * (hi - lo) * (1 - F.coalesce(F.try_divide(hi - lo, hi - lo + d), F.lit(1.0)))
+    return F.when(value > hi, hi + beyond(value - hi)).when(value < lo, lo - beyond(lo - value)).otherwise(value)
+
+
+def rank_by_closeness(rows: DataFrame, group: str, item: str, scores: list[Score], winsor: tuple[float, float] | None = None) -> DataFrame:
     """group, item, closeness (1 best, 0 worst) of each distinct row of group, item and scores.
 
-    A score that is null or not a number leaves the distances, neither for nor against the item; infinite ones are cut
-    like other extremes, and are no quantiles. A score with one value in its group says nothing and is left out too. An item with no usable
+    A score that is null or not a number leaves the distances, neither for nor against the item; infinite ones are drawn in
+    like other extremes, and are no quantiles. With winsor, scores are cut at these two quantiles instead. A score with one value in its group says nothing and is left out too. An item with no usable
     score gets 0.5. Rows that repeat count once; if an item has several different rows, its best one counts. Null groups or
     items are left out; other columns are ignored; an empty table gives no rows.
     """
@@ -42,9 +58,16 @@ def rank_by_closeness(rows: DataFrame, group: str, item: str, scores: list[Score
     base = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), *[value(s).alias(n) for s, n in zip(scores, names, strict=True)])
     base = base.filter("g IS NOT NULL AND i IS NOT NULL").distinct()
     finite = lambda n: F.when(F.abs(n) != float("inf"), F.col(n))
-    cuts = base.groupBy("g").agg(*[F.percentile_approx(finite(n), list(winsor), ACCURACY).alias(f"{n}_q") for n in names])
-    at = lambda n: F.least(F.greatest(F.col(n), F.col(f"{n}_q")[0]), F.col(f"{n}_q")[1]) - F.col(f"{n}_q")[0]
-    shifted = base.join(cuts, "g").select("g", "i", *[F.when(F.col(n).isNotNull(), at(n)).alias(n) for n in names])
+    quantiles = base.groupBy("g").agg(*[F.percentile_approx(finite(n), list(winsor or QUANTILES), ACCURACY).alias(f"{n}_q") for n in names])
+    if winsor:
+        at = lambda n: F.least(F.greatest(F.col(n), F.col(f"{n}_q")[0]), F.col(f"{n}_q")[1]) - F.col(f"{n}_q")[0]
+        cut = base.join(quantiles, "g")
+    else:
+        at = lambda n: _drawn_in(F.col(n), n) - _drawn_in(F.col(f"{n}_least"), n)
+        inside = lambda n: F.when(_inside(finite(n), F.col(f"{n}_q")), F.col(n))
+        ends = [f(x).alias(f"{n}_{k}") for n in names for f, x, k in ((F.min, inside(n), "lo"), (F.max, inside(n), "hi"), (F.min, F.col(n), "least"))]
+        cut = base.join(base.join(quantiles, "g").groupBy("g").agg(*ends), "g")
+    shifted = cut.select("g", "i", *[F.when(F.col(n).isNotNull(), at(n)).alias(n) for n in names])
     norms = shifted.groupBy("g").agg(*[F.sqrt(F.sum(F.col(n) * F.col(n))).alias(f"{n}_norm") for n in names], *[F.max(n).alias(f"{n}_max") for n in names])
     joined = shifted.join(norms, "g")
     plus, minus, used = F.lit(0.0), F.lit(0.0), F.lit(0.0)
