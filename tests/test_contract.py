@@ -41,3 +41,8 @@ def test_query_like_its_sql(spark, duck, name):
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert catalogue.queries().keys() <= entry.queries().keys()
+
+
+def test_a_threshold_query_has_no_limit(spark):
+    plan = entry.queries()["cosine_threshold"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan

@@ -156,11 +156,12 @@ def sound(vectors: DataFrame) -> Column:
     return F.coalesce((F.size("embedding") == F.col("dimension")) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def exact_topk(vectors: DataFrame, query: list[float], model_id: str, k: int = 20, least: float = 0.5) -> DataFrame:
-    """vectors of the model and the query's dimension with similarity of least or more, the k best by similarity, then id."""
+def exact_topk(vectors: DataFrame, query: list[float], model_id: str, k: int | None = 20, least: float = 0.5) -> DataFrame:
+    """vectors of the model and the query's dimension with similarity of least or more, the k best by similarity, then id;
+    without k all of them, in no order."""
     rows = vectors.filter((F.col("model_id") == model_id) & (F.col("dimension") == len(query))).filter(sound(vectors))
     found = rows.withColumn("similarity", cosine_to(F.col("embedding"), query)).filter(F.col("similarity") >= least)
-    return found.orderBy(F.col("similarity").desc(), "chunk_id").limit(k)
+    return found if k is None else found.orderBy(F.col("similarity").desc(), "chunk_id").limit(k)
 
 
 def best_per_artifact(matches: DataFrame) -> DataFrame:
@@ -242,7 +243,7 @@ def cosine_topk(spark, sf_dir: str) -> DataFrame:
 
 
 def cosine_threshold(spark, sf_dir: str) -> DataFrame:
-    rows = exact_topk(canonical.chunks(spark, sf_dir), PROBE, MODEL, 1_000_000, 0.15)
+    rows = exact_topk(canonical.chunks(spark, sf_dir), PROBE, MODEL, None, 0.15)
     return rows.select("chunk_id", "artifact_id", F.round("similarity", 6).alias("similarity"))
 
 
