@@ -2,7 +2,7 @@
 
 A text is split into sections; a section that is too long into paragraphs, these into sentences, these into words, and a
 word into characters. The atoms are packed greedily into pieces up to the limit, each beginning with the last characters
-of the piece before. Stored pieces are audited with the same hierarchy.
+of the piece before. Stored pieces are audited by rules on their offsets, beside the hierarchy.
 """
 
 from __future__ import annotations
