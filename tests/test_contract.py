@@ -53,4 +53,4 @@ def test_recency_order_has_all_artifacts(spark):
     sf = "/root/testdata/sf0.01"
     sql = f"SELECT id FROM (SELECT DISTINCT id, last_opened_ms FROM '{sf}/artifacts.parquet') ORDER BY CASE WHEN last_opened_ms > 0 THEN last_opened_ms END DESC NULLS LAST, id"
     want = [r[0] for r in duckdb.sql(sql).fetchall()]
-    assert len(want) > 100 and [r["id"] for r in entry.queries()["opened_order_all"](spark, sf).collect()] == want
+    assert len(want) > 100 and [r["id"] for r in entry.queries()["opened_order"](spark, sf).collect()] == want

@@ -223,11 +223,6 @@ def feedback_for_document(spark, sf_dir: str) -> DataFrame:
 
 
 def opened_order(spark, sf_dir: str) -> DataFrame:
-    return recency_order(canonical.artifacts(spark, sf_dir).select("id", "last_opened_ms")).limit(100)
-
-
-def opened_order_all(spark, sf_dir: str) -> DataFrame:
-    """The order of all artifacts, of which opened_order has the first hundred."""
     return recency_order(canonical.artifacts(spark, sf_dir).select("id", "last_opened_ms"))
 
 
@@ -269,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         events_filtered, events_time_range, recent_events, episodes_overlapping, episode_artifacts_exploded, top3_episodes_per_artifact, mime_filter, date_filter, combined_filter, folder_artifacts,
-        feedback_for_document, opened_order, opened_order_all, resolvable_episodes, artifact_by_path, chunks_for_model, episodes_ordered, episodes_of_artifact,
+        feedback_for_document, opened_order, resolvable_episodes, artifact_by_path, chunks_for_model, episodes_ordered, episodes_of_artifact,
     )
 }
 SQL = {
@@ -285,8 +280,7 @@ SQL = {
     "combined_filter": _CAND + "SELECT query_id, id FROM c WHERE lower(trim(mime_type)) LIKE 'text/%' AND ms >= 1750000000000",
     "folder_artifacts": _ART + "SELECT id, path FROM art WHERE starts_with(path, '/vault/shared/') AND NOT coalesce(missing, false)",
     "feedback_for_document": "SELECT id, document_id, ts_ms FROM (SELECT DISTINCT ON (id) * FROM re_rank_feedback) WHERE action = 'pin' ORDER BY id DESC LIMIT 100",
-    "opened_order": _ART + "SELECT id, last_opened_ms FROM art ORDER BY CASE WHEN last_opened_ms > 0 THEN last_opened_ms END DESC NULLS LAST, id LIMIT 100",
-    "opened_order_all": _ART + "SELECT id, last_opened_ms FROM art ORDER BY CASE WHEN last_opened_ms > 0 THEN last_opened_ms END DESC NULLS LAST, id",
+    "opened_order": _ART + "SELECT id, last_opened_ms FROM art ORDER BY CASE WHEN last_opened_ms > 0 THEN last_opened_ms END DESC NULLS LAST, id",
     "artifact_by_path": _ART + "SELECT id, path, file_name, mime_type, size, missing FROM art WHERE path = (SELECT min(path) FROM art)",
     "chunks_for_model": "SELECT DISTINCT chunk_id, artifact_id, chunk_index FROM vector_chunks WHERE model_id = 'lumen-mini-v2' AND dimension = 64",
     "episodes_ordered": _EP + "SELECT id, epoch_us(start_ts) AS start_us, epoch_us(end_ts) AS end_us, coalesce(len(event_ids), -1) AS n_events FROM ep",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,7 +42,8 @@ def reach_workers(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; where that is unset (tests), a local one.
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, a session of one machine
+    (master local) gets a folder of its own; any other raises RuntimeError, as its executors would not see that folder.
 
     Everything below it that this process wrote is removed at its exit.
     """
@@ -49,6 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _scratch:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="tidepool-")
             atexit.register(shutil.rmtree, base, True)
         _scratch[app] = f"{base.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
