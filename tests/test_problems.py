@@ -123,3 +123,18 @@ def test_runs_give_each_change_once_and_survive_failures(spark, tmp_path, monkey
     assert keys(again.process("r3", spark.createDataFrame([(1, "a2"), (4, "d"), (2, "b")], schema))) == [1, 2]
     assert keys(again.process("r4", spark.createDataFrame([], schema))) == []
     assert sorted((r["key"], r["digest"]) for r in again.state().collect()) == [(1, "a2"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_runs_descend_only_where_digests_differ(spark, tmp_path):
+    rows = lambda a, b, d: spark.range(a, b).select(F.col("id").alias("key"), F.concat(F.lit(d), F.col("id")).alias("digest"))
+    t = incremental.ChangeTracker(spark, str(tmp_path / "state"))
+    t.start(rows(0, 9000, "a"))
+    assert t.tree()[1]["depth"] == incremental.depth_for(9000) == 4 and incremental.depth_for(0) == incremental.TOP
+    assert t.process("same", rows(0, 9000, "a")).count() == 0 and t.tree()[1]["nodes"] == 0
+    one = rows(0, 9000, "a").filter("key <> 77").unionByName(rows(77, 78, "b"))
+    assert [r["key"] for r in t.process("one", one).collect()] == [77] and t.tree()[1]["nodes"] == 1
+    sparse = rows(0, 9000, "a").filter("key % 100 = 3")
+    assert t.process("sparse", sparse).count() == 0  # leaves reported in part are read, nothing in them differs
+    top = t.tree()[0]
+    t._compact()
+    assert t.tree()[0] == top and t.state().count() == 9000

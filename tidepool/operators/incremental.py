@@ -1,11 +1,13 @@
 """Problem 6: processing only new or changed records, by a Merkle tree over key ranges.
 
-The keys' hashes are cut into LEAVES equal ranges. A leaf's digest is the sum of the hashes of its (key, content) pairs,
-so it is made by a map-side combine; an inner node's digest is the hash of its children's. A run lays what was reported
-over the saved state, makes the digests of the ranges that were touched, descends from the root only where current and
-saved digests differ, and takes the records of the leaves reached that differ. What it puts out, the state's changes and
-the new tree go to one folder that is renamed into place at the end: a run that dies leaves nothing behind, and is simply
-made again. The tree has at most LEAVES * 16 / 15 digests, whatever the data's size, and is the only thing the driver holds.
+The keys' hashes are cut into equal ranges, FANOUT of them for each node of the tree; its depth follows the number of keys,
+so that a leaf has about one key. A node's digest is the exclusive or of the hashes of its (key, content) pairs, down from
+the level TOP; the levels above it, which the driver holds (at most FANOUT ** TOP * 16 / 15 digests), hash their children's.
+A run makes the digests of the leaves that are reported on from the reports alone, and lays them beside the saved ones, a
+narrow table: where they agree, the leaf was reported in full and is unchanged, and its records are not read. It descends
+from the root where digests differ, reads only the folders of the state below the nodes reached, there only the leaves that
+differ, and takes the records in them that do. Output, which is also the state's and the tree's change, goes to one folder
+that is renamed into place at the end: a run that dies leaves nothing behind, and is simply made again.
 """
 
 from __future__ import annotations
@@ -19,20 +21,34 @@ from pyspark.sql import functions as F
 from tidepool.session import fresh_path, table
 
 FANOUT = 16
-LEVELS = 3
-LEAVES = FANOUT**LEVELS
+#: Levels of the tree below the root that the driver holds.
+TOP = 3
+LEAVES = FANOUT**TOP
+#: Levels at most: 16 ** 12 leaves.
+DEEPEST = 12
+#: Keys of the state in one of its folders, as many as there are up to LEAVES.
+FOLDER_KEYS = 1_000_000
+STATE = "key bigint, leaf bigint, digest string, delta bigint, step string, part int"
 
 
-def leaf_of(key) -> F.Column:
-    """Which of the LEAVES equal ranges of the hashed keys a key belongs to."""
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - 4 * LEVELS).cast("int")
+def leaf_of(key, depth: int = TOP) -> F.Column:
+    """Which of the FANOUT ** depth equal ranges of the hashed keys a key belongs to."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - 4 * depth)
+
+
+def depth_for(n_keys: int) -> int:
+    """Levels of a tree over so many keys: about one key a leaf."""
+    depth = TOP
+    while depth < DEEPEST and FANOUT**depth < n_keys:
+        depth += 1
+    return depth
 
 
 def build_tree(leaves: dict[int, int]) -> dict[tuple[int, int], str]:
-    """(level, node) -> digest, level LEVELS being the leaves and (0, 0) the root; empty nodes are left out."""
+    """(level, node) -> digest of the levels that the driver holds, (0, 0) being the root; empty nodes are left out."""
     level = {k: format(v & (1 << 64) - 1, "016x") for k, v in leaves.items()}
-    tree = {(LEVELS, k): v for k, v in level.items()}
-    for depth in range(LEVELS - 1, -1, -1):
+    tree = {(TOP, k): v for k, v in level.items()}
+    for depth in range(TOP - 1, -1, -1):
         parts: dict[int, list[str]] = {}
         for k in sorted(level):
             parts.setdefault(k // FANOUT, []).append(f"{k}:{level[k]}")
@@ -42,15 +58,15 @@ def build_tree(leaves: dict[int, int]) -> dict[tuple[int, int], str]:
 
 
 def differing_leaves(current: dict, saved: dict) -> list[int]:
-    """The leaves whose digests differ, reached by descending from the root through differing nodes only."""
+    """The nodes of level TOP whose digests differ, reached by descending from the root through differing nodes only."""
     nodes = [0] if current.get((0, 0)) != saved.get((0, 0)) else []
-    for depth in range(1, LEVELS + 1):
+    for depth in range(1, TOP + 1):
         nodes = [c for n in nodes for c in range(n * FANOUT, (n + 1) * FANOUT) if current.get((depth, c)) != saved.get((depth, c))]
     return nodes
 
 
 class ChangeTracker:
-    """State of what was processed, in a folder: base, then one folder a run with its output, changes and tree.
+    """State of what was processed, in a folder: a base, then one folder a run with its changes and the tree's top.
 
     base and reports: key (bigint), digest (string, null: not processed). Several rows of a key: the greatest digest of
     the base, the given latest of a report; null keys are left out. process() may be called again for a run that was
@@ -69,10 +85,10 @@ class ChangeTracker:
         if not self.fs.rename(self._path(staged), self._path(name)):
             raise RuntimeError(f"{name} could not be published")
 
-    def _write_tree(self, staged: str, leaves: dict[int, int], meta: dict) -> None:
-        out = self.fs.create(self._path(f"{staged}/tree.json"), True)
+    def _write_tree(self, staged: str, top: dict[int, int], meta: dict) -> None:
+        out = self.fs.create(self._path(f"{staged}/_tree.json"), True)
         try:
-            out.write(bytearray(json.dumps(meta | {"leaves": leaves}).encode()))
+            out.write(bytearray(json.dumps(meta | {"leaves": {k: v for k, v in top.items() if v}}).encode()))
         finally:
             out.close()
 
@@ -81,49 +97,74 @@ class ChangeTracker:
         if not self.fs.exists(self._path("")):
             return []
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path(""))]
-        return sorted(n for n in names if n.startswith("step-"))
+        return sorted(n for n in names if n.startswith("step="))
 
-    def _tree(self) -> tuple[dict[int, int], dict]:
+    def tree(self) -> tuple[dict[int, int], dict]:
+        """Digests of the nodes of level TOP, and what else was saved with the last step (depth, folders, nodes that differed)."""
         steps = self.published()
         if not steps:
             raise RuntimeError("the tracker has no base; call start() first")
-        stream = self.fs.open(self._path(f"{steps[-1]}/tree.json"))
+        stream = self.fs.open(self._path(f"{steps[-1]}/_tree.json"))
         try:
-            size = self.fs.getFileStatus(self._path(f"{steps[-1]}/tree.json")).getLen()
+            size = self.fs.getFileStatus(self._path(f"{steps[-1]}/_tree.json")).getLen()
             raw = bytearray(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
         finally:
             stream.close()
         said = json.loads(bytes(raw))
         return {int(k): v for k, v in said.pop("leaves").items()}, said
 
-    def state(self) -> DataFrame:
-        """key, leaf, digest as last processed."""
+    def _rows(self, steps: list[str]) -> DataFrame:
+        return self.spark.read.schema(STATE).option("basePath", self.folder).parquet(*[f"{self.folder}/{s}" for s in steps])
+
+    def _staged(self, staged: str) -> DataFrame:
+        return self.spark.read.schema("key bigint, leaf bigint, digest string, delta bigint, part int").parquet(f"{self.folder}/{staged}")
+
+    def _open_steps(self) -> list[str]:
         steps = self.published()
-        bases = [i for i, s in enumerate(steps) if s.endswith("-base")]
-        parts = [self.spark.read.schema("key bigint, leaf int, digest string").parquet(f"{self.folder}/{s}/state").withColumn("step", F.lit(s)) for s in steps[bases[-1] :]]
-        if len(parts) == 1:
-            return parts[0].drop("step")
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        return steps[max(i for i, s in enumerate(steps) if s.endswith("-base")) :]
+
+    def state(self, parts: list[int] | None = None) -> DataFrame:
+        """key, leaf, digest as last processed; of the folders in parts only, if these are given."""
+        steps = self._open_steps()
+        rows = self._rows(steps)
+        if parts is not None:
+            rows = rows.filter(F.col("part").isin(parts))
+        if len(steps) == 1:
+            return rows.select("key", "leaf", "digest")
         return rows.groupBy("key", "leaf").agg(F.max_by("digest", "step").alias("digest"))
 
-    def _digests(self, rows: DataFrame) -> dict[int, int]:
-        """leaf -> digest of rows key, leaf, digest; decimal sums can't overflow and wrap here."""
-        h = F.xxhash64("key", "digest").cast("decimal(38,0)")
-        got = rows.filter("digest IS NOT NULL").groupBy("leaf").agg(F.sum(h).alias("h")).collect()  # at most LEAVES rows
-        return {r["leaf"]: int(r["h"]) & (1 << 64) - 1 for r in got}
+    def leaves(self) -> DataFrame:
+        """leaf, saved (digest): the base's leaves, and over them what the runs since changed."""
+        base, *runs = self._open_steps()
+        rows = self.spark.read.schema("leaf bigint, x bigint").parquet(f"{self.folder}/{base}/_leaves")
+        if runs:
+            rows = rows.unionByName(self._rows(runs).select("leaf", F.col("delta").alias("x"))).groupBy("leaf").agg(F.bit_xor("x").alias("x"))
+        return rows.select("leaf", F.col("x").alias("saved"))
+
+    def _write_base(self, staged: str, rows: DataFrame, depth: int, parts: int) -> dict[int, int]:
+        """Write rows (key, leaf, digest) as a base with its leaves; the digests of the nodes of level TOP come back."""
+        part = F.floor(F.shiftright("leaf", 4 * (depth - TOP)) * parts / LEAVES).cast("int")
+        rows = rows.select("key", "leaf", "digest", F.xxhash64("key", "digest").alias("delta"), part.alias("part"))
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{staged}")
+        saved = self._staged(staged)
+        saved.groupBy("leaf").agg(F.bit_xor("delta").alias("x")).write.mode("overwrite").parquet(f"{self.folder}/{staged}/_leaves")
+        return self._top(saved, F.col("delta"), depth)
+
+    def _top(self, rows: DataFrame, x: F.Column, depth: int) -> dict[int, int]:
+        got = rows.groupBy(F.shiftright("leaf", 4 * (depth - TOP)).alias("n")).agg(F.bit_xor(x).alias("x")).collect()  # at most LEAVES rows
+        return {r["n"]: r["x"] for r in got if r["x"]}
 
     def start(self, base: DataFrame) -> None:
         """Publish what counts as processed at the start; nothing happens if there is a base already."""
         if self.published():
             return
         staged = f".staged-{hashlib.sha256(self.folder.encode()).hexdigest()[:8]}-base"
-        rows = base.filter("key IS NOT NULL").groupBy("key").agg(F.max("digest").alias("digest")).select("key", leaf_of(F.col("key")).alias("leaf"), "digest")
-        rows.filter("digest IS NOT NULL").write.mode("overwrite").parquet(f"{self.folder}/{staged}/state")
-        saved = self.spark.read.schema("key bigint, leaf int, digest string").parquet(f"{self.folder}/{staged}/state")
-        self._write_tree(staged, self._digests(saved), {"run": None})
-        self._publish(staged, "step-000000-base")
+        rows = base.filter("key IS NOT NULL").groupBy("key").agg(F.max("digest").alias("digest")).filter("digest IS NOT NULL")
+        n = base.agg(F.approx_count_distinct("key")).first()[0]
+        depth, parts = depth_for(n), min(LEAVES, -(-n // FOLDER_KEYS) or 1)
+        top = self._write_base(staged, rows.select("key", leaf_of(F.col("key"), depth).alias("leaf"), "digest"), depth, parts)
+        self._write_tree(staged, top, {"run": None, "depth": depth, "parts": parts})
+        self._publish(staged, "step=000000-base")
 
     def process(self, run: str, reported: DataFrame) -> DataFrame:
         """Publish and return the keys (column key) of reported (key, digest, one row a key) that are new or changed.
@@ -132,38 +173,44 @@ class ChangeTracker:
         """
         steps = self.published()
         done = [s for s in steps if s.endswith(f"-run-{run}")]
-        out = lambda name: self.spark.read.schema("key bigint").parquet(f"{self.folder}/{name}/output")
         if done:
-            return out(done[0])
-        leaves, _ = self._tree()
-        staged = f".staged-{run}"
-        new = reported.filter("key IS NOT NULL AND digest IS NOT NULL").select("key", leaf_of(F.col("key")).alias("leaf"), F.col("digest").alias("new"))
-        laid = self.state().join(new, ["key", "leaf"], "full")
-        laid.write.mode("overwrite").parquet(f"{self.folder}/{staged}/laid")
-        laid = self.spark.read.schema("key bigint, leaf int, digest string, new string").parquet(f"{self.folder}/{staged}/laid")
-        current = self._digests(laid.select("key", "leaf", F.coalesce("new", "digest").alias("digest")))
-        changed = differing_leaves(build_tree(current), build_tree(leaves))
-        if changed:
-            inside = laid.filter(F.col("leaf").isin(changed)) if len(changed) < LEAVES // 2 else laid
-            rows = inside.filter("new IS NOT NULL AND NOT (new <=> digest)").select("key", "leaf", F.col("new").alias("digest"))
-        else:
-            rows = laid.filter("false").select("key", "leaf", F.col("new").alias("digest"))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{staged}/state")
-        rows = self.spark.read.schema("key bigint, leaf int, digest string").parquet(f"{self.folder}/{staged}/state")
-        rows.select("key").write.mode("overwrite").parquet(f"{self.folder}/{staged}/output")
-        self._write_tree(staged, current, {"run": run, "changed_leaves": len(changed)})
-        self.fs.delete(self._path(f"{staged}/laid"), True)
-        name = f"step-{len(steps):06d}-run-{run}"
+            return self._rows(done).select("key")
+        top, said = self.tree()
+        depth, parts, staged = said["depth"], said["parts"], f".staged-{run}"
+        new = reported.filter("key IS NOT NULL AND digest IS NOT NULL").select("key", leaf_of(F.col("key"), depth).alias("leaf"), F.col("digest").alias("new"))
+        told = new.groupBy("leaf").agg(F.bit_xor(F.xxhash64("key", "new")).alias("told"))
+        unlike = told.join(self.leaves(), "leaf", "left").filter("NOT (told <=> saved)")
+        unlike.write.mode("overwrite").parquet(f"{self.folder}/{staged}/_unlike")
+        unlike = self.spark.read.schema("leaf bigint, told bigint, saved bigint").parquet(f"{self.folder}/{staged}/_unlike")
+        seen = self._top(unlike, F.col("told").bitwiseXOR(F.coalesce("saved", F.lit(0))), depth)
+        nodes = differing_leaves(build_tree({**top, **{k: top.get(k, 0) ^ x for k, x in seen.items()}}), build_tree(top))
+        inside = sorted({n * parts // LEAVES for n in nodes})
+        there = self.state(inside).select(F.col("key").alias("_key"), F.col("digest").alias("old"))
+        reached = new.join(unlike.select("leaf"), "leaf", "left_semi")
+        rows = reached.join(there, reached["key"] == there["_key"], "left").filter("NOT (new <=> old)")
+        delta = F.xxhash64("key", "new").bitwiseXOR(F.when(F.col("old").isNotNull(), F.xxhash64("key", "old")).otherwise(F.lit(0)))
+        part = F.floor(F.shiftright("leaf", 4 * (depth - TOP)) * parts / LEAVES).cast("int")
+        rows = rows.select("key", "leaf", F.col("new").alias("digest"), delta.alias("delta"), part.alias("part"))
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{staged}")
+        for n, x in self._top(self._staged(staged), F.col("delta"), depth).items():
+            top[n] = top.get(n, 0) ^ x
+        self.fs.delete(self._path(f"{staged}/_unlike"), True)
+        self._write_tree(staged, top, {"run": run, "depth": depth, "parts": parts, "nodes": len(nodes)})
+        name = f"step={len(steps):06d}-run-{run}"
         self._publish(staged, name)
         if (len(steps) % self.compact_every) == 0:
-            self._compact(current)
-        return out(name)
-
-    def _compact(self, leaves: dict[int, int]) -> None:
-        staged = ".staged-compact"
-        self.state().write.mode("overwrite").parquet(f"{self.folder}/{staged}/state")
-        self._write_tree(staged, leaves, {"run": None})
-        self._publish(staged, f"step-{len(self.published()):06d}-base")
+            self._compact()
+        return self._rows([name]).select("key")
+
+    def _compact(self) -> None:
+        """Fold the runs' changes into a new base, whose depth and folders follow the number of keys there are now."""
+        staged, step = ".staged-compact", len(self.published())
+        rows = self.state().filter("digest IS NOT NULL")
+        n = rows.agg(F.approx_count_distinct("key")).first()[0]
+        depth, parts = depth_for(n), min(LEAVES, -(-n // FOLDER_KEYS) or 1)
+        top = self._write_base(staged, rows.select("key", leaf_of(F.col("key"), depth).alias("leaf"), "digest"), depth, parts)
+        self._write_tree(staged, top, {"run": None, "depth": depth, "parts": parts})
+        self._publish(staged, f"step={step:06d}-base")
 
 
 def succeeded_runs(spark, sf_dir: str) -> list[tuple]:
