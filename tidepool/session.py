@@ -98,3 +98,22 @@ def month_of(us: Column) -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+#: Keys that are treated apart at most, and rows of a key up to which it never is: what stays together in one task is then at
+#: most HOT_ROWS rows, or one part in MOST_HOT of all.
+MOST_HOT, HOT_ROWS = 10_000, 200_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n", rows: int = HOT_ROWS) -> list:
+    """The keys of counts (key, n) with more than rows rows and more than one part in MOST_HOT of all: so many at most."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.filter((F.col(n) > rows) & (F.col(n) * MOST_HOT > total)).select(key).collect()]
+
+
+def join_small(rows: DataFrame, small: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """rows joined with small (a row a key): rows of hot keys, which hot_keys bounds, by broadcast, the others by a shuffle."""
+    if not hot:
+        return rows.join(small, key, how)
+    apart = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(apart).join(F.broadcast(small.filter(F.col(key).isin(hot))), key, how).unionByName(rows.filter(~apart).join(small.filter(~F.col(key).isin(hot)), key, how))
