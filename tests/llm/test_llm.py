@@ -92,6 +92,8 @@ def test_ranking_is_not_ruled_by_range_or_extremes(spark):
     wanted = spark.createDataFrame([(q, 4) for q in range(12)] + [(99, 3), (None, 1)], "query_id bigint, n int")
     got = {(r[0], r[1]) for r in rank.first_of_each(ranked, wanted, "query_id", "artifact_id", "n").collect()}
     assert len(got) == 48 and len(got & good) / 48 >= 0.95
+    hot = rank.rank_by_closeness(df, "query_id", "artifact_id", scores, hot_rows=10)  # every group treated as a large one
+    assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, ranked.collect()))
 
 
 def test_ranking_keeps_the_order_of_all_values(spark):
@@ -109,7 +111,7 @@ def test_ranking_keeps_the_order_of_all_values(spark):
 
 def test_ranking_of_odd_rows(spark):
     df = spark.createDataFrame([(1, 1, None, 1.0), (1, 2, None, 1.0), (2, 1, None, None), (None, 1, 1.0, 1.0), (3, 1, float("inf"), 1.0), (3, 2, 0.0, 0.0), (3, 3, 5.0, 0.5)], "q bigint, i bigint, a double, b double")
-    got = {(r["q"], r["i"]): r["closeness"] for r in rank.rank_by_closeness(df, "q", "i", [rank.Score("a"), rank.Score("b")], (0.0, 1.0)).collect()}
+    got = {(r["q"], r["i"]): r["closeness"] for r in rank.rank_by_closeness(df, "q", "i", [rank.Score("a"), rank.Score("b")]).collect()}
     assert got[1, 1] == got[1, 2] == got[2, 1] == 0.5 and len(got) == 6 and 0 <= got[3, 2] <= 1
     assert rank.rank_by_closeness(df.limit(0), "q", "i", [rank.Score("a")]).count() == 0
 
