@@ -278,9 +278,10 @@ def brute_spans(docs, length):
     return pairs, {i: len(c) for i, c in covered.items()}
 
 
-@pytest.mark.parametrize("bucket", [2000, 3])
+@pytest.mark.parametrize("bucket", [400_000, 30])
 def test_shared_spans_like_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(spans, "BUCKET_ROWS", bucket)
+    split = spans.shared_windows
+    monkeypatch.setattr(spans, "shared_windows", lambda docs, length, m: split(docs, length, m, bucket))
     rng = random.Random(9)
     common = [text(rng, 12) for _ in range(6)] + ["=" * 90, "ab" * 45]
     docs = {}
@@ -297,6 +298,12 @@ def test_shared_spans_like_brute_force(spark, monkeypatch, bucket):
     assert {i: r["shared_chars"] for i, r in report.items() if r["shared_chars"]} == covered
     assert report[90]["share"] == 0.0 and report[70]["share"] == 1.0 and report[71]["class_id"] == 1
     assert spans.shared_pairs(df.limit(0), 40, 16).count() == 0
+    groups, links = spans.shared_groups(df, 40, 16).collect(), {}
+    for r in groups:
+        for key in (("class", r["class_id"]), ("group", r["group_id"])):
+            if key[1] is not None:
+                links.setdefault(key, set()).add(r["doc_id"])
+    assert {(a, b) for ids in links.values() for a in ids for b in ids if a < b} == pairs
 
 
 # Scanned pages ------------------------------------------------------------------------------------------------------
