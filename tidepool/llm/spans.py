@@ -336,6 +336,6 @@ f AS (SELECT doc_id, sum(least(step, 200)) AS fresh FROM o GROUP BY doc_id),
 r AS (SELECT d.doc_id, c.class_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN copies > 1 THEN d.n ELSE coalesce(fresh, 0) END AS BIGINT) AS shared_chars FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f ON f.doc_id = c.class_id)
 SELECT *, CASE WHEN n_chars > 0 THEN shared_chars / n_chars ELSE 0e0 END AS share FROM r""",
     "p10_groups": _WINDOWS_SQL
-    + """, g AS (SELECT class_id, count(*) AS n, max(len(ids)) AS most FROM (SELECT ids, unnest(ids) AS class_id FROM (SELECT DISTINCT ids FROM m)) GROUP BY class_id)
-SELECT doc_id, class_id, coalesce(n, 0) AS n_groups, CAST(coalesce(most, 1) AS INT) AS most_classes FROM c LEFT JOIN g USING (class_id)""",
+    + """, g AS (SELECT class_id, count(*) AS sets, max(len(ids)) AS most FROM (SELECT ids, unnest(ids) AS class_id FROM (SELECT DISTINCT ids FROM m)) GROUP BY class_id)
+SELECT doc_id, class_id, coalesce(sets, 0) AS n_groups, CAST(coalesce(most, 1) AS INT) AS most_classes FROM c LEFT JOIN g USING (class_id)""",
 }
