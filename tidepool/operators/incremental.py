@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.session import fresh_path, table
@@ -178,23 +178,23 @@ class ChangeTracker:
         top, said = self.tree()
         depth, parts, staged = said["depth"], said["parts"], f".staged-{run}"
         new = reported.filter("key IS NOT NULL AND digest IS NOT NULL").select("key", leaf_of(F.col("key"), depth).alias("leaf"), F.col("digest").alias("new"))
-        told = new.groupBy("leaf").agg(F.bit_xor(F.xxhash64("key", "new")).alias("told"))
-        unlike = told.join(self.leaves(), "leaf", "left").filter("NOT (told <=> saved)")
-        unlike.write.mode("overwrite").parquet(f"{self.folder}/{staged}/_unlike")
-        unlike = self.spark.read.schema("leaf bigint, told bigint, saved bigint").parquet(f"{self.folder}/{staged}/_unlike")
-        seen = self._top(unlike, F.col("told").bitwiseXOR(F.coalesce("saved", F.lit(0))), depth)
+        told = F.bit_xor(F.xxhash64("key", "new")).over(Window.partitionBy("leaf"))  # a leaf has about one key
+        unlike = new.withColumn("told", told).join(self.leaves(), "leaf", "left").filter("NOT (told <=> saved)")
+        unlike.select("key", "leaf", "new", "told", "saved").write.mode("overwrite").parquet(f"{self.folder}/{staged}-unlike")
+        unlike = self.spark.read.schema("key bigint, leaf bigint, new string, told bigint, saved bigint").parquet(f"{self.folder}/{staged}-unlike")
+        each = unlike.groupBy("leaf").agg(F.max("told").alias("told"), F.max("saved").alias("saved"))
+        seen = self._top(each, F.col("told").bitwiseXOR(F.coalesce("saved", F.lit(0))), depth)
         nodes = differing_leaves(build_tree({**top, **{k: top.get(k, 0) ^ x for k, x in seen.items()}}), build_tree(top))
         inside = sorted({n * parts // LEAVES for n in nodes})
         there = self.state(inside).select(F.col("key").alias("_key"), F.col("digest").alias("old"))
-        reached = new.join(unlike.select("leaf"), "leaf", "left_semi")
-        rows = reached.join(there, reached["key"] == there["_key"], "left").filter("NOT (new <=> old)")
+        rows = unlike.join(there, unlike["key"] == there["_key"], "left").filter("NOT (new <=> old)")
         delta = F.xxhash64("key", "new").bitwiseXOR(F.when(F.col("old").isNotNull(), F.xxhash64("key", "old")).otherwise(F.lit(0)))
         part = F.floor(F.shiftright("leaf", 4 * (depth - TOP)) * parts / LEAVES).cast("int")
         rows = rows.select("key", "leaf", F.col("new").alias("digest"), delta.alias("delta"), part.alias("part"))
         rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{staged}")
         for n, x in self._top(self._staged(staged), F.col("delta"), depth).items():
             top[n] = top.get(n, 0) ^ x
-        self.fs.delete(self._path(f"{staged}/_unlike"), True)
+        self.fs.delete(self._path(f"{staged}-unlike"), True)
         self._write_tree(staged, top, {"run": run, "depth": depth, "parts": parts, "nodes": len(nodes)})
         name = f"step={len(steps):06d}-run-{run}"
         self._publish(staged, name)
