@@ -251,6 +251,9 @@ def test_mix_reaches_the_shares(spark):
     got = mix.mix_sources(sizes, targets)
     again = mix.mix_sources(sizes.repartition(7), targets)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+    spread = mix.mix_sources(sizes, targets, range_rows=100)  # the length that holds most is cut into ranges, and hot
+    total = lambda df: sorted(map(tuple, df.groupBy("source", "n_tokens", "copies").count().collect()))
+    assert total(spread) == total(got)
     assert got.groupBy("doc_id").count().filter("count > 1").count() == 0
     report = {r["source"]: r for r in mix.mix_report(got, targets).collect()}
     assert abs(report["big"]["actual_share"] - 0.6) < 2e-3 and abs(report["small"]["actual_share"] - 0.4) < 2e-3

@@ -3,7 +3,8 @@
 Documents are counted by source and exact length in tokens. Whole passes over a source are given to all its documents;
 the rest of its budget is filled by so many documents of each length: their proportional share first, then a bounded
 knapsack by dynamic programming over what is left. Which documents of a length are taken is decided by a seeded hash,
-ranked inside hash ranges, so that one length that holds a third of all documents is spread too.
+ranked inside hash ranges, so that one length that holds a third of all documents is spread too. The plan has a row for
+each length that documents of a source have; only lengths of many documents meet it by broadcast, the others by a shuffle.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.encode import count_tokens
-from tidepool.session import cut, table
+from tidepool.session import cut, hot_keys, join_small, table
 
 #: Tokens the dynamic programme runs over; what is more than that is filled greedily before.
 DP_TOKENS = 65_536
-RANGES = 256
+#: Documents of a length that are ranked together.
+RANGE_ROWS = 100_000
 
 
 def fit_counts(lengths: list[int], counts: list[int], budget: int, seed: int = 0, dp_tokens: int = DP_TOKENS) -> list[int]:
@@ -80,44 +82,46 @@ def plan_budgets(stats: dict[str, int], targets: list[tuple[str, float, int]], t
     return total, plans
 
 
-def mix_sources(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
+def mix_sources(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, n_tokens, copies (at least 1) of the documents in the mix.
 
     sizes: doc_id (unique), source, n_tokens. Documents whose source is null or has no target are left out; null sizes
     count as 0. A target without documents stays empty. targets: source (null rows are left out; the first of repeated
     ones counts), target_share, max_repeats: a control table of a row a source. Empty tables give an empty mix.
     """
-    spark = sizes.sparkSession
     wanted: dict[str, tuple] = {}
     for r in targets.filter("source IS NOT NULL").select("source", "target_share", "max_repeats").orderBy("source", "target_share", "max_repeats").collect():
         wanted.setdefault(r["source"], (r["source"], r["target_share"], r["max_repeats"]))
     sizes = sizes.filter(F.col("source").isin(list(wanted))).select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
-    spread = F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 40), F.lit(RANGES)).cast("int")
-    sizes = sizes.withColumn("range", spread)
-    by_range = cut(sizes.groupBy("source", "n_tokens", "range").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    stats = {r["source"]: int(r["t"]) for r in by_range.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t")).collect()}
+    sizes = sizes.withColumn("length", F.concat_ws("\x1f", F.col("n_tokens").cast("string"), "source"))
+    by_length = cut(sizes.groupBy("source", "n_tokens", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    stats = {r["source"]: int(r["t"]) for r in by_length.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t")).collect()}
     _, plans = plan_budgets(stats, list(wanted.values()), total)
     rest = {p["source"]: p["rest"] for p in plans}
     passes = {p["source"]: p["passes"] for p in plans}
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:  # a row for each length that documents of a source have
         pdf = pdf.sort_values("n_tokens")
         source = pdf["source"].iloc[0]
-        return pdf.assign(take=fit_counts(pdf["n_tokens"].tolist(), pdf["n"].tolist(), rest[source], seed), passes=passes[source])[["source", "n_tokens", "take", "passes"]]
-
-    by_length = by_range.groupBy("source", "n_tokens").agg(F.sum("n").alias("n"))
-    plan = by_length.groupBy("source").applyInPandas(fitted, "source string, n_tokens bigint, take bigint, passes bigint")
-    length = ["source", "n_tokens"]
-    w = Window.partitionBy(*length).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = by_range.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(plan, length)
+        return pdf.assign(take=fit_counts(pdf["n_tokens"].tolist(), pdf["n"].tolist(), rest[source], seed), passes=passes[source])[["length", "n", "take", "passes"]]
+
+    plan = cut(by_length.groupBy("source").applyInPandas(fitted, "length string, n bigint, take bigint, passes bigint"), "plan")
+    hot = hot_keys(plan, "length", "n", range_rows)
+    # a length is cut into hash ranges of about range_rows documents; most lengths have one
+    ranges = F.ceil(F.col("n") / range_rows)
+    place = F.floor(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 40) * ranges / F.lit(1 << 24)).cast("int")
+    known = cut(join_small(sizes, plan.hint("merge"), "length", hot).withColumn("range", place), "known")
+    key = ["length", "range"]
+    some = known.filter("take > 0 AND take < n")
+    w = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    held = some.groupBy(*key, "take").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
     # a range is in as a whole, out as a whole, or the one in which the count is reached
-    ranges = cut(ranges.select(*length, "range", "passes", F.least("n", F.greatest(F.col("take") - F.col("before"), F.lit(0))).alias("taken"), "n"), "ranges")
-    key = [*length, "range"]
-    sure = ranges.filter("taken = 0 OR taken = n").select(*key, (F.col("passes") + (F.col("taken") > 0).cast("int")).alias("copies"))
-    split = ranges.filter("taken > 0 AND taken < n")
-    ranked = sizes.join(split, key).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")))
-    chosen = ranked.select("doc_id", *length, (F.col("passes") + (F.col("rank") <= F.col("taken")).cast("int")).alias("copies"))
-    return sizes.join(sure, key).select("doc_id", *length, "copies").unionByName(chosen).filter("copies > 0")
+    held = held.select(*key, F.least("m", F.greatest(F.col("take") - F.col("before"), F.lit(0))).alias("taken"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"))
+    chosen = some.withColumn("rank", rank).join(held.hint("merge"), key).withColumn("more", (F.col("rank") <= F.col("taken")).cast("int"))
+    whole = known.filter("take = 0 OR take = n").withColumn("more", (F.col("take") > 0).cast("int"))
+    out = ["doc_id", "source", "n_tokens", (F.col("passes") + F.col("more")).cast("int").alias("copies")]
+    return whole.select(*out).unionByName(chosen.select(*out)).filter("copies > 0")
 
 
 def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
