@@ -2,7 +2,9 @@
 
 A text is split into sections; a section that is too long into paragraphs, these into sentences, these into words, and a
 word into characters. The atoms are packed greedily into pieces up to the limit, each beginning with the last characters
-of the piece before. Stored pieces are audited by rules on their offsets, beside the hierarchy.
+of the piece before. Stored pieces are audited by the same hierarchy: where one ends inside a word, the text it covers is
+split as a text to be cut is, and the boundaries found tell whether it could have ended at one; the other defects are
+comparisons of offsets and texts.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +31,10 @@ SEPARATORS = [
 ]
 WORD = len(SEPARATORS) - 1
 CHARACTER = len(SEPARATORS)
-#: Texts are laid beside stored pieces in blocks of so many characters; pieces longer than PAD get the whole text.
+#: Fixed value: the blanks, tabs and line ends at which a piece may end.
+BLANKS = " \t\n\r\x85\u2028\u2029"
+#: Texts are laid beside stored pieces in blocks of so many characters.
 BLOCK = 16_384
-PAD = 4_096
 #: Pieces of one artifact whose order is worked out together.
 INDEX_BLOCK = 256
 
@@ -113,6 +117,41 @@ def previous_ends(pieces: DataFrame, block: int = INDEX_BLOCK) -> DataFrame:
     return rows.withColumn("_in", inside).join(before, ["artifact_id", "_b"]).withColumn("prev_end", F.coalesce("_in", "_before")).drop("_b", "_in", "_before")
 
 
+def natural_ends(text: str) -> list[int]:
+    """Where the hierarchy, taken down to single characters, finds boundaries in text: ends of sections, paragraphs,
+    sentences and words before its end."""
+    return [e for e, level in atoms(text, 1) if level != CHARACTER and e < len(text)]
+
+
+def could_end_naturally(text: str, overlap: int) -> bool:
+    """Whether a piece has a natural boundary after a blank, tab or line end behind its first overlap + 1 characters."""
+    return any(e > overlap + 1 and text[e - 1] in BLANKS for e in natural_ends(text))
+
+
+def _beside(pieces: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
+    """pieces (key, artifact_id, a, b) with here: the characters from a to b, and one more, of whole (artifact_id, text).
+
+    Texts are cut into blocks of BLOCK characters in one go each; a piece meets the blocks it lies in."""
+
+    def blocks(batches):
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [text[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["artifact_id", "block", "part"])
+
+    cut_up = whole.select("artifact_id", "text").mapInArrow(blocks, "artifact_id bigint, block int, part string")
+    at = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    spread = pieces.withColumn("block", F.explode(F.sequence(at("a"), F.greatest(at("a"), at("b")))))
+    near = spread.join(cut_up, ["artifact_id", "block"])
+    base = F.col("block") * BLOCK
+    start = F.greatest(F.col("a") - base, F.lit(0))
+    near = near.withColumn("seg", F.substring("part", start + 1, F.col("b") + 1 - base - start)).drop("part", "a", "b")
+    single = near.filter("n_blocks = 1").withColumnRenamed("seg", "here").drop("block")
+    rest = [c for c in near.columns if c not in (*key, "block", "seg")]
+    several = near.filter("n_blocks > 1").groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seg"))), lambda x: x["seg"]), "").alias("here"))
+    return single.unionByName(several)
+
+
 def audit_pieces(pieces: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """artifact_id, chunk_index, defect of the stored pieces (chunk_id, artifact_id, chunk_index, start_char, end_char,
     text) of docs (id, text) that split_text could not have made; for the defects see TESTDATA.md, problem 2.
@@ -120,53 +159,33 @@ def audit_pieces(pieces: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap
     Pieces of documents that don't exist or have no text are left out, as are pieces with a null among their first five
     columns; a null text differs from every text. Repeated rows count once. Offsets outside the text are cut to it.
     """
+    key = ["chunk_id", "artifact_id", "chunk_index", "start_char", "end_char"]
     whole = docs.filter(F.col("id").isNotNull() & (F.length("text") > 0)).select(F.col("id").alias("artifact_id"), "text").dropDuplicates(["artifact_id"])
-    rows = pieces.select("chunk_id", "artifact_id", "chunk_index", "start_char", "end_char", "text").dropna(subset=["chunk_id", "artifact_id", "chunk_index", "start_char", "end_char"])
-    rows = rows.dropDuplicates(["chunk_id", "artifact_id", "chunk_index", "start_char", "end_char"])
+    rows = pieces.select(*key, "text").dropna(subset=key).dropDuplicates(key)
     narrow = rows.drop("text")
     lengths = whole.select("artifact_id", F.length("text").alias("size"))
     last = narrow.groupBy("artifact_id").agg(F.max("chunk_index").alias("last_index")).join(lengths, "artifact_id")
     known = previous_ends(narrow).join(last, "artifact_id")
-    from_, to = F.greatest(F.col("start_char"), F.lit(0)), F.greatest(F.col("end_char"), F.lit(0))
-    known = known.select(
-        "chunk_id", "artifact_id", "chunk_index", "start_char", "end_char", "prev_end", F.col("size"), (F.col("chunk_index") == F.col("last_index")).alias("is_last"),
-        from_.alias("a"), F.greatest(to, from_).alias("b"), F.least(F.floor(from_ / BLOCK), F.floor((F.col("size") - 1) / BLOCK)).cast("int").alias("block"),
-    )
-    wide = known.join(rows.select("chunk_id", "artifact_id", "chunk_index", "start_char", "end_char", "text"), ["chunk_id", "artifact_id", "chunk_index", "start_char", "end_char"])
-    n_blocks = F.floor((F.length("text") - 1) / BLOCK).cast("int")
-    blocks = whole.select("artifact_id", F.explode(F.sequence(F.lit(0), n_blocks)).alias("block"), "text")
-    blocks = blocks.select("artifact_id", "block", F.substring("text", F.col("block") * BLOCK + 1, F.lit(BLOCK + PAD)).alias("whole"))
-    is_long = F.col("b") - F.col("a") >= PAD
-    near = wide.filter(~is_long).join(blocks, ["artifact_id", "block"]).withColumn("base", F.col("block") * BLOCK)
-    far = wide.filter(is_long).join(whole.withColumnRenamed("text", "whole"), "artifact_id").withColumn("base", F.lit(0))
-    beside = near.unionByName(far)
-    here = F.substring("whole", F.col("a") - F.col("base") + 1, F.col("b") - F.col("a") + 1)
-    size = F.col("b") - F.col("a")
-    facts = beside.select("artifact_id", "chunk_index", "start_char", "end_char", "prev_end", "size", "is_last", here.alias("here"), (F.substring(here, F.lit(1), size) == F.col("text")).alias("same"))
-
-    def run(batches):
-        word = SEPARATORS[WORD][1]
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                start, end, here = r["start_char"], r["end_char"], r["here"] or ""
-                found = []
-                if end - start > limit:
-                    found.append("oversize")
-                if start != (0 if r["prev_end"] is None else r["prev_end"] - overlap):
-                    found.append("overlap")
-                n = end - start
-                if 0 < n < len(here) and inside_word(here[n - 1], here[n]) and word.search(here, overlap + 1, n):
-                    found.append("broken_word")
-                if not r["same"]:
-                    found.append("text")
-                if r["is_last"] and end != r["size"]:
-                    found.append("tail")
-                out += [(r["artifact_id"], r["chunk_index"], d) for d in found]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["artifact_id", "chunk_index", "defect"])
-
-    return facts.mapInArrow(run, "artifact_id bigint, chunk_index int, defect string").distinct()
+    inside = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.col("size"))
+    known = known.select(*key, "prev_end", "size", (F.col("chunk_index") == F.col("last_index")).alias("is_last"), inside("start_char").alias("a"), F.greatest(inside("end_char"), inside("start_char")).alias("b"))
+    n_blocks = F.floor(F.col("b") / BLOCK) - F.floor(F.col("a") / BLOCK) + 1
+    facts = _beside(known.join(rows, key).withColumn("n", F.col("b") - F.col("a")).withColumn("n_blocks", n_blocks), whole, key)
+    in_word = F.col("end_char") < F.col("size"), F.col("n") > 0, F.substring("here", F.col("n"), F.lit(2)).rlike(r"^[\p{L}\p{N}]{2}$")
+
+    @F.pandas_udf("boolean")
+    def broken(cut_in_word: pd.Series, here: pd.Series) -> pd.Series:
+        return pd.Series([bool(c) and could_end_naturally(t[:-1], overlap) for c, t in zip(cut_in_word, here, strict=True)])
+
+    expected = F.coalesce(F.col("prev_end") - overlap, F.lit(0))
+    defects = {
+        "oversize": F.col("end_char") - F.col("start_char") > limit,
+        "overlap": F.col("start_char") != expected,
+        "broken_word": broken(in_word[0] & in_word[1] & in_word[2], F.when(in_word[0] & in_word[1] & in_word[2], F.col("here"))),
+        "text": ~F.substring("here", F.lit(1), F.col("n")).eqNullSafe(F.col("text")),
+        "tail": F.col("is_last") & (F.col("end_char") != F.col("size")),
+    }
+    said = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in defects.items()]))
+    return facts.select("artifact_id", "chunk_index", F.explode(said).alias("defect")).distinct()
 
 
 def _docs(spark, sf_dir: str) -> DataFrame:
@@ -181,7 +200,19 @@ def p2_pieces(spark, sf_dir: str) -> DataFrame:
     return split_documents(_docs(spark, sf_dir).distinct())
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def p2_rebuilt(spark, sf_dir: str) -> DataFrame:
+    """What the pieces of each artifact say together: n_chars and digest of the text put together from them again, whether
+    all fit the limit, overlap as they should and begin and end with the text."""
+    w = Window.partitionBy("artifact_id").orderBy("chunk_index")
+    rows = p2_pieces(spark, sf_dir).withColumn("before", F.lag("end_char").over(w))
+    fresh = F.substring("text", F.coalesce(F.col("before") - F.col("start_char"), F.lit(0)) + 1, F.lit(LIMIT))
+    good = (F.col("end_char") - F.col("start_char") <= LIMIT) & (F.length("text") == F.col("end_char") - F.col("start_char"))
+    rows = rows.select("artifact_id", "chunk_index", "end_char", fresh.alias("fresh"), good.alias("fits"), (F.col("start_char") == F.coalesce(F.col("before") - OVERLAP, F.lit(0))).alias("overlaps"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "fresh"))), lambda x: x["fresh"]), "")
+    return rows.groupBy("artifact_id").agg(F.max("end_char").cast("bigint").alias("n_chars"), F.md5(text).alias("digest"), F.bool_and("fits").alias("fits"), F.bool_and("overlaps").alias("overlaps"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt}
 SQL = {
     "p2_found": r"""
 WITH a AS (SELECT DISTINCT id, extracted_text AS t FROM artifacts WHERE extracted_text IS NOT NULL AND extracted_text <> ''),
@@ -195,5 +226,6 @@ f AS (
   UNION ALL SELECT artifact_id, chunk_index, CASE WHEN is_last AND e <> length(t) THEN 'tail' END FROM j
 )
 SELECT artifact_id, chunk_index, d AS defect FROM f WHERE d IS NOT NULL
-"""
+""",
+    "p2_rebuilt": "SELECT DISTINCT id AS artifact_id, length(extracted_text) AS n_chars, md5(extracted_text) AS digest, true AS fits, true AS overlaps FROM artifacts WHERE length(extracted_text) > 500",
 }
