@@ -24,7 +24,7 @@ def text(rng, n):
 
 TEXTS = [
     "One sentence. " * 90, "a" * 1700, "para one " * 30 + "\n\n" + "para two " * 90 + "\n\n\n" + "last " * 20, "資料は確認され、会議が終わった。" * 60,
-    "word " * 20 + "x" * 900 + " tail " * 30, "line one\r\nline two\r\n" * 60, " " * 1300, "ab\f" * 400, "é" * 499 + " " + "ü" * 40,
+    "word " * 20 + "x" * 900 + " tail " * 30, "line one\r\nline two\r\n" * 60, " " * 1300, "ab\f" * 400, "é" * 499 + " " + "ü" * 40, "early end " + "y" * 900,
 ]
 
 
@@ -34,7 +34,7 @@ def test_pieces_cover_the_text_within_the_limit(t, limit, overlap):
     got = split.split_text(t, limit, overlap)
     assert got[0][0] == 0 and got[-1][1] == len(t)
     assert all(0 < b - a <= limit for a, b in got)
-    assert all(n[0] == max(0, p[1] - overlap) and n[1] > p[1] for p, n in zip(got, got[1:], strict=False))
+    assert all(n[0] == p[1] - overlap and n[1] > p[1] for p, n in zip(got, got[1:], strict=False))
     for a, b in got[:-1]:
         if split.inside_word(t[b - 1], t[b]):
             assert not split.SEPARATORS[split.WORD][1].search(t, max(a + overlap + 1, 0), b) or a == 0

@@ -76,12 +76,12 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     ends = atoms(text, limit - overlap) if len(text) > limit else []
     natural = [e for e, level in ends if level != CHARACTER]
     every = [e for e, _ in ends]
-    pieces, start, new = [], 0, 0
+    pieces, start, new = [], 0, overlap  # a piece goes beyond what the next one shares with it
     while len(text) - start > limit:
         at = bisect_right(natural, start + limit) - 1
         end = natural[at] if at >= 0 and natural[at] > new else every[bisect_right(every, start + limit) - 1]
         pieces.append((start, end))
-        start, new = max(0, end - overlap), end
+        start, new = end - overlap, end
     return [*pieces, (start, len(text))]
 
 
