@@ -25,6 +25,8 @@ MINIMISER = 64
 BUCKET_WINDOWS = 400_000
 #: Buckets that are so split at most; more than one part in as many of all windows is never one task's.
 MOST_SPLIT = 1_000_000
+#: Windows of small buckets that are sorted together.
+TOGETHER = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -241,23 +243,29 @@ def shared_windows(docs: DataFrame, length: int = LENGTH, m: int = MINIMISER, bu
     heads = classes.filter("id = class").select("id")
     wanted = cut(seen.join(common, "bucket").join(heads, "id", "left_semi").select("id", "bucket", "start", "windows").distinct(), "wanted")
     counts = wanted.groupBy("bucket").agg(F.sum("windows").alias("n"))
-    most = max(bucket_windows, (wanted.agg(F.sum("windows")).first()[0] or 0) // MOST_SPLIT)
+    n_windows = wanted.agg(F.sum("windows")).first()[0] or 0
+    most = max(bucket_windows, n_windows // MOST_SPLIT)
     full = counts.filter(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("salts"))  # at most MOST_SPLIT rows
     salt = F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int")
     salted = wanted.join(F.broadcast(full), "bucket", "left").withColumn("salt", salt).drop("salts")
     texts = long.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     packed = _packed(salted, texts, length)
 
-    def sort_bucket(group: pa.Table) -> pa.Table:
-        found = _Found()
+    def sort_buckets(group: pa.Table) -> pa.Table:
+        found, sets = _Found(), {}
         for _, at in equal_windows(*_columns(group), length):
-            s = set_of(i for i, _ in at)
+            ids = tuple(sorted({i for i, _ in at}))
+            s = sets.get(ids)
+            if s is None:
+                s = sets[ids] = set_of(ids)
+                found.sets.update((i, s) for i in ids)
             for i, start in at:
                 found.starts.setdefault(i, []).append(start)
-                found.sets.add((i, s))
         return found.table(length)
 
-    found = packed.filter("salt < 0").groupBy("bucket").applyInArrow(sort_bucket, _Found.schema)
+    # equal windows are in one bucket, so that several buckets may be sorted together: about TOGETHER windows a call
+    bins = max(1, n_windows // TOGETHER)
+    found = packed.filter("salt < 0").groupBy(F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("bin")).applyInArrow(sort_buckets, _Found.schema)
     if not full.isEmpty():
         found = found.unionByName(_split_buckets(cut(packed.filter("salt >= 0"), "packed"), length))
     found = cut(found, "shared")
