@@ -204,18 +204,28 @@ ODD = ["", None, " ", "hello world", "<|endoftext|> and more", "naïve café 
 
 
 @needs_vocabulary
-@pytest.mark.parametrize(("chunk", "overlap"), [(262_144, 2_048), (120, 20), (64, 32)])
-def test_chunked_encoding_is_that_of_the_whole_text(spark, chunk, overlap):
+@pytest.mark.parametrize(("chunk", "overlap", "spread"), [(4_096, 256, 1 << 22), (120, 20, 1 << 22), (120, 20, 200), (64, 32, 0)])
+def test_chunked_encoding_is_that_of_the_whole_text(spark, chunk, overlap, spread):
     rng = random.Random(4)
     texts = ODD + [text(rng, 700), "".join(rng.choice("ab 1.,'\n\té😅") for _ in range(2500))]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
-    got = {r["doc_id"]: r["ids"] for r in encode.encode_documents(df, chunk_chars=chunk, overlap=overlap).collect()}
+    got = {r["doc_id"]: r["ids"] for r in encode.encode_documents(df, chunk_chars=chunk, overlap=overlap, spread_chars=spread).collect()}
     whole = encode.encoding(VOCABULARY).encode_ordinary
     assert got == {i: list(whole(t)) if t else [] for i, t in enumerate(texts)}
     back = {r["doc_id"]: r["text"] for r in encode.decode_documents(encode.encode_documents(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+@needs_vocabulary
+def test_chunks_are_stitched():
+    t = text(random.Random(1), 2000)
+    whole = encode.encoding(VOCABULARY).encode_ordinary
+    stitched = encode.encode_chunked(t, VOCABULARY, 4_096, 256)
+    assert stitched == whole(t) and len(encode.chunks_of(t, 4_096, 256)) > 2
+    ends = [encode.meeting_ends(b, c, 256) for b, c in encode.chunks_of(t, 4_096, 256)]
+    assert all(set(r) & set(left) for (_, r), (left, _) in zip(ends, ends[1:], strict=False))
+
+
 @needs_vocabulary
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", "s"), (2, None, None), (3, "", "s")], "doc_id bigint, text string, source string")

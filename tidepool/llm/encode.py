@@ -2,8 +2,8 @@
 
 Texts are cut into overlapping chunks that are pre-tokenised in parallel; neighbours are stitched at a pre-token boundary
 that both found (what a pre-tokeniser does from a boundary on depends on nothing before it), and the pieces between
-stitches are encoded and put together again. A text of one chunk needs neither stitch nor shuffle. Decoding concatenates
-the tokens' raw bytes.
+stitches are encoded and put together again. A text's chunks stay in the task that reads it, without a shuffle; those of
+very long texts are spread over tasks. Decoding concatenates the tokens' raw bytes.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.session import table
+from tidepool.session import cut, table
 
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_CHARS = 262_144
-OVERLAP_CHARS = 2_048
+#: Texts are encoded in chunks of so many characters and so many more on both sides.
+CHUNK_CHARS = 4_096
+OVERLAP_CHARS = 256
+#: The chunks of texts longer than this are worked on by several tasks.
+SPREAD_CHARS = 4_194_304
 _loaded: dict[str, object] = {}
 
 
@@ -57,10 +60,36 @@ def boundaries(text: str) -> list[int]:
     return [e for e in ends[:-1] if not text[e - 1].isspace()]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+def chunks_of(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
+    """(start, chunk) of the chunks of a text: size new characters each, and overlap more on both sides."""
+    return [(max(0, at - overlap), text[max(0, at - overlap) : at + size + overlap]) for at in range(0, len(text), size)]
+
+
+def meeting_ends(base: int, chunk: str, overlap: int) -> tuple[list[int], list[int]]:
+    """The pre-token ends of a chunk, as places in the text, in what it shares with the chunk before and with the next."""
+    at = boundaries(chunk)
+    return [base + e for e in at if e <= 2 * overlap], [base + e for e in at if e >= len(chunk) - 2 * overlap]
+
+
+def encode_chunked(text: str, vocabulary: str, size: int, overlap: int) -> list[int]:
+    """The ids of a text by its chunks: neighbours are stitched at the first end both found, and the pieces between
+    stitches encoded. Where two neighbours have no end in common, the text is encoded in one piece."""
+    encode = encoding(vocabulary).encode_ordinary
+    chunks = chunks_of(text, size, overlap)
+    if len(chunks) < 2:
+        return encode(text)
+    ends = [meeting_ends(base, chunk, overlap) for base, chunk in chunks]
+    stitches = [min(set(left) & set(right), default=None) for (_, right), (left, _) in zip(ends, ends[1:], strict=False)]
+    if None in stitches:
+        return encode(text)
+    return [i for a, b in zip([0, *stitches], [*stitches, len(text)], strict=True) for i in encode(text[a:b])]
+
+
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """<id_col>, ids (array<int>) of every row of docs. Null and empty texts have no ids: an empty list. Repeated rows
-    come out as often as they stand there if their texts are of one chunk; longer texts need unique ids. Strings that look
-    like control tokens are ordinary text. Other columns are ignored, whatever their names."""
+    come out as often as they stand there if their texts are no longer than spread_chars; the chunks of longer ones are
+    worked on by different tasks, and these texts need unique ids. Strings that look like control tokens are ordinary text.
+    Other columns are ignored, whatever their names."""
     if overlap * 2 > chunk_chars:
         raise ValueError("chunks must be at least twice as long as their overlap")
     vocabulary = vocabulary or default_vocabulary()
@@ -68,42 +97,38 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
     size = F.coalesce(F.length("text"), F.lit(0))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                ids = [encode(t) if t else [] for t in part.column(1).to_pylist()]
+                ids = [encode_chunked(t, vocabulary, chunk_chars, overlap) if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     out = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>"
-    short = rows.filter(size <= chunk_chars).mapInArrow(whole, out)
-    long = _encode_long(rows.filter(size > chunk_chars), vocabulary, chunk_chars, overlap, whole, out)
+    short = rows.filter(size <= spread_chars).mapInArrow(whole, out)
+    long = _encode_spread(cut(rows.filter(size > spread_chars), "long"), vocabulary, chunk_chars, overlap, whole, out)
     return short.unionByName(long).withColumnRenamed("id", id_col)
 
 
-def _encode_long(rows: DataFrame, vocabulary: str, size: int, overlap: int, whole, out: str) -> DataFrame:
+def _encode_spread(rows: DataFrame, vocabulary: str, size: int, overlap: int, whole, out: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def chunks(batches):
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                last = (len(text) - 1) // size
-                for k in range(last + 1):
-                    base = max(0, k * size - overlap)
-                    cut = [[i], [k], [last], [base], [text[base : (k + 1) * size + overlap]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cut, [b.schema.types[0], pa.int32(), pa.int32(), pa.int64(), pa.string()], strict=True)], names=["id", "k", "last", "base", "chunk"])
+                parts = chunks_of(text, size, overlap)
+                for at in range(0, len(parts), 1024):
+                    some = parts[at : at + 1024]
+                    columns = [[i] * len(some), range(at, at + len(some)), [len(parts) - 1] * len(some), *zip(*some, strict=True)]
+                    types = [b.schema.types[0], pa.int32(), pa.int32(), pa.int64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["id", "k", "last", "base", "chunk"])
 
     def ends(batches):
         for b in batches:
-            left, right = [], []
-            for base, chunk in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                at = boundaries(chunk)
-                left.append([base + e for e in at if e <= 2 * overlap])
-                right.append([base + e for e in at if e >= len(chunk) - 2 * overlap])
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(left, lists), pa.array(right, lists)], names=["id", "k", "last", "left", "right"])
-
-    cut = rows.mapInArrow(chunks, f"id {kind}, k int, last int, base bigint, chunk string").repartition("id", "k")
-    found = cut.mapInArrow(ends, f"id {kind}, k int, last int, left array<bigint>, right array<bigint>")
+            met = [meeting_ends(base, chunk, overlap) for base, chunk in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            lists = [pa.array([m[side] for m in met], pa.list_(pa.int64())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *lists], names=["id", "k", "last", "left", "right"])
+
+    parts = cut(rows.mapInArrow(chunks, f"id {kind}, k int, last int, base bigint, chunk string").repartition("id", "k"), "chunks")
+    found = parts.mapInArrow(ends, f"id {kind}, k int, last int, left array<bigint>, right array<bigint>")
     before = found.select("id", (F.col("k") + 1).alias("k"), F.col("right").alias("seen"))
     stitch = found.join(before, ["id", "k"], "left").withColumn("at", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("left", "seen"))))
     w = Window.partitionBy("id").orderBy("k")
@@ -118,8 +143,8 @@ def _encode_long(rows: DataFrame, vocabulary: str, size: int, overlap: int, whol
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "k", "ids"])
 
     whole_again = rows.join(stitch.filter("apart").select("id").distinct(), "id", "left_semi").mapInArrow(whole, out)
-    parts = cut.join(stitch.filter("NOT apart").drop("apart"), ["id", "k"]).select("id", "k", "base", "chunk", "at", "until").mapInArrow(pieces, f"id {kind}, k int, ids array<int>")
-    joined = parts.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    pieces_ = parts.join(stitch.filter("NOT apart").drop("apart"), ["id", "k"]).select("id", "k", "base", "chunk", "at", "until").mapInArrow(pieces, f"id {kind}, k int, ids array<int>")
+    joined = pieces_.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return joined.unionByName(whole_again)
 
 
