@@ -163,6 +163,7 @@ def test_near_copies_are_a_third_of_all_vectors(spark):
     assert len(want) > 4900
     assert len(want & pairs(neighbours.nearest(df, 5, least=0.85))) / len(want) >= 0.99
     assert len(want & pairs(neighbours.nearest(df, 5, least=0.85, file_rows=1000))) / len(want) >= 0.9  # in several files
+    assert len(want & pairs(neighbours.nearest(df, 5, least=0.85, file_rows=150))) / len(want) >= 0.6  # files are split again
 
 
 def test_all_members_of_a_file_are_compared(monkeypatch):

@@ -1,9 +1,9 @@
 """Problem 5: most similar vectors for every vector, by a permutation index.
 
-Each vector is represented by its nearest pivots in order. It is posted in the inverted files of the first of them.
-Inside a file every member is compared with all others by cosine (or, where a number to rerank is given, with the first of
-them by Spearman's footrule between the prefixes); a vector's best over all its files are its neighbours. Exact copies of
-a vector are one member, and are given back at the end.
+Each vector is represented by its nearest pivots in order. It is posted in the inverted files of the first of them; files
+that grow too large are split by pivots of their own, level by level. Inside a file every member is compared with all others
+by cosine (or, where a number to rerank is given, with the first of them by Spearman's footrule between the prefixes); a
+vector's best over all its files are its neighbours. Exact copies of a vector are one member, and are given back at the end.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ from tidepool.session import cut, table
 #: Pivots in a vector's prefix, by which the footrule ranks, and the first of them, in whose files it is posted.
 PREFIX = 12
 POSTED = 5
-#: Members that a file should have: it makes the number of pivots follow the number of vectors, up to MOST_PIVOTS. As many
-#: vectors or fewer are one file, and their answer is exact.
+#: Members that a file should have: it makes the number of pivots follow the number of vectors. As many vectors or fewer are
+#: one file, and their answer is exact. The first level has MOST_PIVOTS pivots at most; files of SPLIT_FILES times FILE_ROWS
+#: members, be it by the number of vectors or because many are near each other, get pivots of their own, to the LOCAL_POSTED
+#: nearest of which their members are posted, for MOST_LEVELS levels: members whose pivots can't tell them apart stay together.
 FILE_ROWS = 8_000
 MOST_PIVOTS = 4_096
+SPLIT_FILES, LOCAL_POSTED, MOST_LEVELS = 4, 3, 6
 #: A file is worked off in blocks of so many members, of fewer where BLOCK_CELLS cosines are reached, against all its members.
 BLOCK_ROWS = 2_048
 BLOCK_CELLS = 1 << 24
@@ -66,6 +69,11 @@ def _matrix(column, kind=np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
+def _unit(column) -> np.ndarray:
+    x = _matrix(column, np.int16).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _best_columns(cos: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k greatest of each row, greatest first. Each of them is in one of the k stripes with the greatest maxima."""
     n, m = cos.shape
@@ -138,8 +146,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
 
     vectors: chunk_id (unique), model_id, dimension, embedding. Which rows count: see usable; others neither get nor are
     neighbours. Repeated rows count once. Pivots are a seeded sample of at most MOST_PIVOTS vectors of each model and
-    dimension; every vector is posted, its elements as 16-bit numbers, which changes cosines by about 3e-6. A pair is found if
-    the two share a file; up to file_rows vectors of a model and dimension are one file. With reranked, only so many members
+    dimension, and of each file that is too large for one task; every vector is posted, its elements as 16-bit numbers, which
+    changes cosines by about 3e-6. A pair is found if the two share a file; up to file_rows vectors of a model and dimension are one file. With reranked, only so many members
     of a file, the first by footrule, are compared with each. Other columns are ignored; an empty table gives no rows.
     """
     rows = cut(usable(vectors), "vectors")
@@ -173,24 +181,61 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
                     times = pa.array(np.repeat(np.arange(len(piece)), files))
                     small = pa.array([r.tobytes() for r in np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 32767).astype(np.int16)], pa.binary())
                     perm = pa.array([r.tobytes() if reranked is not None else None for r in best], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), pa.array(best[:, :files].ravel().astype(np.int32)), part.column(1).take(times), perm.take(times), small.take(times)], names=["grp", "pivot", "id", "perm", "v"])
-
-    files = heads.select("grp", "id", "v").mapInArrow(post, "grp string, pivot int, id string, perm binary, v binary")
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), pa.array(best[:, :files].ravel().astype(str).astype(object), pa.string()), part.column(1).take(times), perm.take(times), small.take(times)], names=["grp", "file", "id", "perm", "v"])
+
+    files = heads.select("grp", "id", "v").mapInArrow(post, "grp string, file string, id string, perm binary, v binary")
+    for _ in range(MOST_LEVELS):
+        # sizes are taken from a sample of the members; of a file at the limit it has about a hundred
+        rate = min(1.0, 100 / (SPLIT_FILES * file_rows))
+        part = files.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1_000_003)) < 1_000_003 * rate)
+        large = part.groupBy("grp", "file").agg((F.count(F.lit(1)) / rate).alias("size")).filter(F.col("size") > SPLIT_FILES * file_rows)
+        large = cut(large, "large")
+        if large.isEmpty():
+            break
+        files = cut(_split_files(files, large, file_rows, seed), "files")
 
     def file(group: pa.Table) -> pa.Table:
-        x = _matrix(group.column("v"), np.int16).astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(group.column("v"))
         perm = _matrix(group.column("perm"), np.int16) if reranked is not None else None
         i, j, cos = best_of_file(x, perm, k, reranked, least)
         ids = group.column("id").combine_chunks()
         return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(cos.astype(np.float64))], names=["chunk_id", "neighbour_id", "similarity"])
 
-    near = files.groupBy("grp", "pivot").applyInArrow(file, "chunk_id string, neighbour_id string, similarity double")
+    near = files.groupBy("grp", "file").applyInArrow(file, "chunk_id string, neighbour_id string, similarity double")
     near = near.groupBy("chunk_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     near = cut(_first(near, k), "near")
     return _with_copies(near, rows, same, k, least)
 
 
+def _split_files(files: DataFrame, large: DataFrame, file_rows: int, seed: int) -> DataFrame:
+    """files, the members of large ones (grp, file, size) posted again inside their file: to the LOCAL_POSTED nearest of
+    pivots drawn from the file itself, as many as make files of about file_rows members. A large file's members are spread
+    over salts, to each of which its pivots go."""
+    count = F.ceil(F.col("size") * LOCAL_POSTED / file_rows).cast("int")
+    large = large.select("grp", "file", count.alias("pivots"), F.ceil(F.col("size") / (4 * file_rows)).cast("int").alias("salts"), "size")
+    joined = files.join(large.hint("merge") if large.count() > MOST_PIVOTS * 16 else F.broadcast(large), ["grp", "file"], "left")
+    kept = joined.filter("size IS NULL").select(files.columns)
+    inside = joined.filter("size IS NOT NULL")
+    h = F.pmod(F.xxhash64(F.lit(seed + 2), "v"), F.lit(1_000_003)).alias("h")
+    some = inside.filter(h <= 1_000_003 * F.least(F.lit(1.0), 4 * (F.col("pivots") + 16) / F.col("size"))).select("grp", "file", "pivots", "salts", "v", h).distinct()
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("grp", "file").orderBy("h", "v"))).filter("at <= pivots")
+    pivots = some.select(F.col("grp").alias("own_grp"), F.col("file").alias("own_file"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("own_salt"), F.col("v").alias("pivot"))
+    members = inside.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select("grp", "file", "salt", "id", "perm", "v")
+
+    def post(group: pa.Table, own: pa.Table) -> pa.Table:
+        p = _unit(own.column("pivot"))
+        n, best = min(LOCAL_POSTED, len(p)), []
+        for i in range(0, group.num_rows, 4096):
+            best.append(np.argsort(-(_unit(group.column("v").slice(i, 4096)) @ p.T), axis=1, kind="stable")[:, :n])
+        times = pa.array(np.repeat(np.arange(group.num_rows), n))
+        name = group.column("file")[0].as_py() if group.num_rows else ""
+        below = pa.array([f"{name}.{k}" for k in np.concatenate(best).ravel().tolist()] if best else [], pa.string())
+        return pa.table([group.column("grp").take(times), below, *[group.column(c).take(times) for c in ("id", "perm", "v")]], names=["grp", "file", "id", "perm", "v"])
+
+    split = members.groupBy("grp", "file", "salt").cogroup(pivots.groupBy("own_grp", "own_file", "own_salt")).applyInArrow(post, "grp string, file string, id string, perm binary, v binary")
+    return kept.unionByName(split)
+
+
 def _first(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("chunk_id").orderBy(F.col("similarity").desc(), "neighbour_id")
     return pairs.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
@@ -221,4 +266,9 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-SQL: dict[str, str] = {}
+_NEAR_SQL = """
+WITH v AS (SELECT DISTINCT chunk_id, model_id || '-' || dimension AS grp, CAST(embedding AS DOUBLE[]) AS x FROM vector_chunks WHERE chunk_id IS NOT NULL AND model_id IS NOT NULL AND len(embedding) = dimension AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+c AS (SELECT a.chunk_id AS chunk_id, b.chunk_id AS neighbour_id, list_cosine_similarity(a.x, b.x) AS cos FROM v a JOIN v b ON a.grp = b.grp AND a.chunk_id <> b.chunk_id),
+near AS (SELECT chunk_id, neighbour_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY cos DESC, neighbour_id) AS place FROM c) WHERE place <= 5)
+"""
+SQL = {"p5_found": _NEAR_SQL + "SELECT DISTINCT least(chunk_id, neighbour_id) AS chunk_a, greatest(chunk_id, neighbour_id) AS chunk_b FROM near WHERE cos >= 85e-2"}
