@@ -354,10 +354,27 @@ def test_words_are_joined_and_corrected():
 def test_context_decides_between_words():
     vectors = {"match": np.array([1.0, 0]), "march": np.array([0, 1.0]), "final": np.array([0.1, 1.0]), "library": np.array([1.0, 0.1])}
     c = scans.Corrector(CORRECTOR, vectors)
-    c.cache["ma+ch"] = [(1.0, "match"), (1.0, "march")]
+    c.links = {"ma+ch": [(1.0, "match"), (1.0, "march")]}
     assert c.correct("ma+ch", ["final"]) == "march" and c.correct("ma+ch", ["library"]) == "match"
 
 
+def test_right_words_stay(spark):
+    frequent = {w: 50 for w in ("house", "mouse", "the", "roof", "door", "eat", "bread")}
+    c = scans.Corrector(frequent)
+    assert c.correct("hause") is None and c.correct("louse") is None and c.correct("horse") is None  # no known confusion
+    assert c.correct("hou5e") == "house" and c.correct("mousc") == "mouse"
+    vectors = {"house": np.array([1.0, 0] + [0] * 22), "roof": np.array([1.0, 0.2] + [0] * 22), "bread": np.array([-1.0, 0.1] + [0] * 22), "eat": np.array([-1.0, 0] + [0] * 22)}
+    c = scans.Corrector(frequent, vectors)
+    assert [w for _, w in c.neighbours("hause", vectors["roof"])] == ["house"] and c.neighbours("hause", vectors["bread"]) == []
+    assert c.neighbours("cat", vectors["roof"]) == [] and [w for _, w in c.neighbours("cat", vectors["bread"])] == ["eat"]
+    texts = spark.createDataFrame([(1, "the roof hause the roof housc"), (2, "bread hause, mousc"), (3, None), (4, "")], "id bigint, text string").filter("text IS NOT NULL")
+    parts = spark.sparkContext.broadcast((frequent, vectors))
+    support = spark.createDataFrame([("mousc", True), ("housc", None)], "word string, right boolean")
+    got = {r["id"]: {x["word"]: [y["word"] for y in x["links"]] for x in r["links"] or []} for r in scans.link_words(texts, parts, support).collect()}
+    assert got == {1: {"hause": ["house"], "housc": ["house"]}, 2: {"hause": ["house"], "mousc": ["mousc"]}, 4: {}}
+    assert {(r["artifact_id"], r["word"]) for r in scans.find_noise(texts, parts, support).collect()} == {(1, "house"), (2, "house")}
+
+
 def test_scans_with_planted_noise(spark):
     rng = random.Random(10)
     clean = [text(rng, 60) for _ in range(80)]

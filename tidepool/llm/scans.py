@@ -1,7 +1,8 @@
 """Problem 7: noise in text from scanned pages.
 
-Skip-gram vectors of the frequent words are learned over the scanned texts. A rare word is linked to the frequent words
-that plausible glyph edits lead to, and of several the one is taken that its context's vectors speak for. Running headers,
+Skip-gram vectors of the frequent words are learned over the scanned texts; a rare word's vector is the sum of those around
+it, wherever it stands. A rare word is linked to frequent words that plausible glyph edits lead to and its vector allows,
+unless clean texts have it, which makes it right; of several, the one is taken that the context speaks for. Running headers,
 footers and page numbers are found by how they repeat at the edges of a text's pages; words broken over lines are joined;
 then the furniture is removed and the lines flow together again into paragraphs.
 """
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.session import cut, table
+from tidepool.session import cut, hot_keys, join_small, table
 
 #: A word is frequent that stands in this part of the clean texts, or as letters alone in that part of the scanned ones
 #: (and in two or three texts at least). That bounds the vocabulary: by a text's mean number of words, times 500 and times 33.
@@ -25,6 +26,10 @@ CLEAN_SHARE, SCANNED_SHARE = 0.002, 0.03
 #: Skip-gram training: dimensions, words on either side, negatives a batch, rate, and how strongly very frequent words are thinned.
 DIMENSIONS, WINDOW, NEGATIVES, RATE, THIN = 24, 2, 32, 0.05, 1e-3
 
+#: Cosines of a rare word's vector and a frequent one's, from which an edit that is no known confusion is accepted, and below
+#: which a word of letters is one of its own; clean texts in which a right word stands at least.
+NEAR, FAR, RIGHT = 0.5, -0.3, 2
+
 HYPHENS = "-‐\xad¬"
 EDGE = ".,;:?\"'()[]{}«»“”‘’„–—…" + HYPHENS
 #: Words that follow a hyphen left hanging for a compound that comes later ("pre- and post-war").
@@ -143,8 +148,16 @@ def core(token: str) -> str:
     return token.strip(EDGE).lower()
 
 
+def plausible(wrong: str, right: str) -> bool:
+    """Whether a reader may take the character right for wrong: a known confusion, or no letter where a letter belongs."""
+    return right in GLYPHS.get(wrong, "") or not wrong.isalpha()
+
+
 class Corrector:
-    """Frequent words with their counts and vectors; finds what a rare word was before it was misread."""
+    """Frequent words with their counts and vectors; finds what a rare word was before it was misread.
+
+    links: what is known of the rare words of a text, by link_words; without it, candidates are searched without vectors.
+    """
 
     def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray] | None = None):
         self.counts, self.vectors = counts, vectors or {}
@@ -156,22 +169,25 @@ class Corrector:
                 groups.setdefault(len(w), []).append(w)
         for n, words in groups.items():
             self.by_length[n] = words, np.array([[ord(ch) for ch in w] for w in words], np.uint32)
-        self.cache: dict[str, list[tuple[float, str]]] = {}
+        self.links: dict[str, list[tuple[float, str]]] | None = None
 
     def known(self, word: str) -> bool:
         return word in self.counts
 
-    def candidates(self, word: str) -> list[tuple[float, str]]:
-        """(cost, frequent word) that word may be a misreading of, cheapest first."""
-        if word not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = self._search(word)
-        return self.cache[word]
+    def candidates(self, word: str, context: Iterable[str] = ()) -> list[tuple[float, str]]:
+        """(cost, word) that word may be a misreading of, cheapest first; the word itself at no cost if it is a right one."""
+        return self.links.get(word, []) if self.links is not None else self.neighbours(word)
+
+    def context_vector(self, context: Iterable[str]) -> np.ndarray | None:
+        around = [self.vectors[w] for w in context if w in self.vectors]
+        return sum(around) if around else None
 
-    def _search(self, word: str) -> list[tuple[float, str]]:
+    def neighbours(self, word: str, vector: np.ndarray | None = None) -> list[tuple[float, str]]:
+        """(cost, frequent word) that plausible glyph edits lead to. One edit that is no known confusion is accepted where
+        the rare word's vector is near the frequent one's (a cosine of NEAR or more); where the vectors are opposed (a
+        cosine below FAR), a word of letters alone is a word of its own."""
         limit = 1.0 if len(word) <= 3 else 1.5 if len(word) == 4 else 2.7 if len(word) < 8 else 3.0
-        best: dict[str, float] = {}
+        best: dict[str, tuple[float, int]] = {}
         variants = {word: 0.0}
         for _ in range(2):
             for w, cost in list(variants.items()):
@@ -189,24 +205,31 @@ class Corrector:
             most = 2 if before < 1 else 1
             unlike = (table_ != codes).sum(axis=1)
             for i in np.flatnonzero(unlike <= most):
-                cost = before
+                cost, odd = before, 0
                 for a, b in zip(v, words[i], strict=True):
                     if a != b:
                         cost += 1.0 if b in GLYPHS.get(a, "") else 1.2 if not a.isalpha() else 1.5
-                if cost <= limit and words[i] != word:
-                    best[words[i]] = min(best.get(words[i], 9.0), cost)
-        return sorted((c, w) for w, c in best.items())
+                        odd += not plausible(a, b)
+                if cost <= limit and odd <= 1 and words[i] != word:
+                    best[words[i]] = min(best.get(words[i], (9.0, 9)), (cost, odd))
+        return sorted((c, w) for w, (c, odd) in best.items() if self._supported(word, w, odd, vector))
+
+    def _supported(self, word: str, candidate: str, odd: int, vector: np.ndarray | None) -> bool:
+        there = self.vectors.get(candidate)
+        cos = None if vector is None or there is None else float(vector @ there) / (np.linalg.norm(vector) * np.linalg.norm(there) + 1e-9)
+        if odd:
+            return cos is not None and cos >= NEAR
+        return cos is None or cos >= FAR or not word.isalpha()
 
     def correct(self, word: str, context: Iterable[str] = ()) -> str | None:
         """The frequent word that word stands for, or None."""
-        found = self.candidates(word)
-        if not found:
+        found = self.candidates(word, context)
+        if not found or found[0][1] == word:
             return None
         close = [(c, w) for c, w in found if c <= found[0][0] + 0.6]
         if len(close) == 1:
             return close[0][1]
-        around = [self.vectors[w] for w in context if w in self.vectors]
-        there = sum(around) if around else None
+        there = self.context_vector(context)
 
         def score(item: tuple[float, str]) -> float:
             cost, w = item
@@ -219,6 +242,19 @@ class Corrector:
         return max(close, key=lambda x: (score(x), x[1]))[1]
 
 
+class _Asking(Corrector):
+    """Notes which rare words a text would be asked about, and the sum of the vectors around them; corrects nothing."""
+
+    def __init__(self, counts, vectors):
+        self.counts, self.vectors, self.asked = counts, vectors, {}
+
+    def candidates(self, word: str, context: Iterable[str] = ()) -> list:
+        there = self.context_vector(context)
+        n, total = self.asked.get(word, (0, np.zeros(DIMENSIONS)))
+        self.asked[word] = (n + 1, total if there is None else total + there)
+        return []
+
+
 def misreadable(word: str) -> bool:
     letters = sum(ch.isalpha() for ch in word)
     return letters > 0 and len(word) >= 2 and letters * 2 >= len(word) and not (letters < 2 and len(word) > 2)
@@ -321,14 +357,14 @@ def repair(text: str, corrector: Corrector) -> str:
     return "\n\n".join(p for p in paragraphs if p)
 
 
-def _count_words(docs: DataFrame) -> DataFrame:
+def count_words(docs: DataFrame) -> DataFrame:
     """word, clean, scanned: in how many of docs (text, is_scan) a word stands."""
 
     def run(batches):
         for b in batches:
             seen = {True: Counter(), False: Counter()}
             for text, scan in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[scan].update({w for w in map(core, set(text.split())) if w and len(w) <= 64})
+                seen[scan].update({w for w in map(core, set(text.split())) if w})
             words = list(seen[True].keys() | seen[False].keys())
             counts = [pa.array([seen[s][w] for w in words], pa.int64()) for s in (False, True)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], names=["word", "clean", "scanned"])
@@ -336,12 +372,13 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, clean bigint, scanned bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
 
 
-def learn_vocabulary(docs: DataFrame) -> dict[str, int]:
-    """The frequent words of docs (text, is_scan) with the number of texts they stand in; CLEAN_SHARE bounds them."""
+def learn_vocabulary(docs: DataFrame, words: DataFrame | None = None) -> dict[str, int]:
+    """The frequent words of docs (text, is_scan; words: their counts) with the number of texts they stand in; CLEAN_SHARE
+    bounds them."""
     n = {r["is_scan"]: r["n"] for r in docs.groupBy("is_scan").agg(F.count(F.lit(1)).alias("n")).collect()}
     letters = F.col("word").rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$") & (F.length("word") > 1)
     often = (F.col("clean") >= max(2.0, CLEAN_SHARE * n.get(False, 0))) | (letters & (F.col("scanned") >= max(3.0, SCANNED_SHARE * n.get(True, 0))))
-    rows = _count_words(docs).filter(often).select("word", (F.col("clean") + F.col("scanned")).alias("n")).collect()
+    rows = (count_words(docs) if words is None else words).filter(often).select("word", (F.col("clean") + F.col("scanned")).alias("n")).collect()
     return {r["word"]: r["n"] for r in rows}
 
 
@@ -413,47 +450,94 @@ def learn_vectors(texts: DataFrame, counts: dict[str, int], seed: int = 0) -> di
     return {w: mean[i] for w, i in ids.items()}
 
 
-def _trained(spark, sf_dir: str) -> tuple[DataFrame, object]:
-    """The scanned texts (id, text) and a broadcast of the corrector's parts."""
+def _trained(spark, sf_dir: str) -> tuple[DataFrame, object, DataFrame]:
+    """The scanned texts (id, text), a broadcast of the corrector's parts, and the words that are
+    right: those of RIGHT clean texts or more, where they are at least half as frequent as in scanned ones."""
     scans = table(spark, sf_dir, "vector_chunks").filter("source_type = 'ocr_text'").select(F.col("artifact_id").alias("id")).distinct().withColumn("ocr", F.lit(True))
     docs = table(spark, sf_dir, "artifacts").filter("id IS NOT NULL AND length(extracted_text) > 0").select("id", "mime_type", F.col("extracted_text").alias("text"))
     is_scan = F.coalesce("ocr", F.lit(False)) | F.coalesce(F.lower("mime_type").startswith("image/"), F.lit(False))
     docs = docs.join(scans, "id", "left").select("id", "text", is_scan.alias("is_scan")).dropDuplicates(["id"])
     docs = cut(docs, "texts")
-    counts = learn_vocabulary(docs.select("text", "is_scan"))
+    words = cut(count_words(docs.select("text", "is_scan")), "words")
+    counts = learn_vocabulary(docs.select("text", "is_scan"), words)
+    n = {r["is_scan"]: r["n"] for r in docs.groupBy("is_scan").agg(F.count(F.lit(1)).alias("n")).collect()}
+    right = (F.col("clean") >= RIGHT) & (F.col("clean") * n.get(True, 0) * 2 >= F.col("scanned") * n.get(False, 0))
     scanned = docs.filter("is_scan").select("id", "text")
     vectors = learn_vectors(scanned.select("text"), counts)
-    return scanned, spark.sparkContext.broadcast((counts, vectors))
+    return scanned, spark.sparkContext.broadcast((counts, vectors)), words.filter(right).select("word", F.lit(True).alias("right"))
+
 
+def link_words(texts: DataFrame, parts, support: DataFrame | None = None) -> DataFrame:
+    """texts (id, text) with links: for each rare word of a text (word, the frequent words it is linked to with the cost of
+    the edits between them). A rare word's vector is the sum of those around it, wherever it stands in texts. Words
+    that are right (support: word, right) are linked to themselves."""
+    columns = [f"v{i}" for i in range(DIMENSIONS)]
+    kind = texts.schema["id"].dataType.simpleString()
 
-def find_noise(scanned: DataFrame, parts) -> DataFrame:
+    def ask(batches):
+        for b in batches:
+            out = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                asking = _Asking(*parts.value)
+                inspect(text, asking)
+                out += [(i, w, n, v) for w, (n, v) in asking.asked.items()]
+            if out:
+                x = np.array([r[3] for r in out])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], b.schema.types[0]), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64()), *[pa.array(c) for c in x.T]], names=["id", "word", "n", *columns])
+
+    def link(batches):
+        corrector = Corrector(*parts.value)
+        for b in batches:
+            rare, right = b.column(0).to_pylist(), b.column(1).to_pylist()
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1)
+            links = [[(0.0, w)] if ok else corrector.neighbours(w, v if v.any() else None) for w, ok, v in zip(rare, right, x, strict=True)]
+            items = [[{"cost": c, "word": w} for c, w in some] for some in links]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(pa.struct([("cost", pa.float64()), ("word", pa.string())])))], names=["word", "links"])
+
+    asked = cut(texts.select("id", "text").mapInArrow(ask, f"id {kind}, word string, n bigint, {', '.join(f'{c} double' for c in columns)}"), "asked")
+    rare = asked.groupBy("word").agg(F.count(F.lit(1)).alias("texts"), *[F.sum(c).alias(c) for c in columns])
+    rare = rare.join(support, "word", "left") if support is not None else rare.withColumn("right", F.lit(None).cast("boolean"))
+    rare = cut(rare, "rare")
+    linked = rare.select("word", "right", *columns).mapInArrow(link, "word string, links array<struct<cost: double, word: string>>").filter(F.size("links") > 0)
+    known = join_small(asked.select("id", "word"), linked, "word", hot_keys(rare, "word", "texts"))
+    return texts.join(known.groupBy("id").agg(F.collect_list(F.struct("word", "links")).alias("links")), "id", "left").select("id", "text", "links")
+
+
+def _each(batch, corrector: Corrector):
+    """id, text of a batch of linked texts, the corrector knowing the text's links."""
+    for i, text, links in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        corrector.links = {x["word"]: [(c["cost"], c["word"]) for c in x["links"]] for x in links or []}
+        yield i, text
+
+
+def find_noise(scanned: DataFrame, parts, support: DataFrame | None = None) -> DataFrame:
     """artifact_id, line_no, noise_kind, word of scanned (id, text), each once; parts: a broadcast of counts and vectors.
 
-    Texts without lines have no noise. Words are corrected to frequent words only; what no plausible edit leads to stays.
+    Texts without lines have no noise. Words are corrected to frequent words only; what no link leads to stays.
     """
     names = ["artifact_id", "line_no", "noise_kind", "word"]
 
     def run(batches):
         corrector = Corrector(*parts.value)
         for b in batches:
-            out = [(i, *x) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in sorted(set(inspect(text, corrector)[0]))]
+            out = [(i, *x) for i, text in _each(b, corrector) for x in sorted(set(inspect(text, corrector)[0]))]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             types = (pa.int64(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return scanned.mapInArrow(run, "artifact_id bigint, line_no int, noise_kind string, word string")
+    return link_words(scanned, parts, support).mapInArrow(run, "artifact_id bigint, line_no int, noise_kind string, word string")
 
 
-def repair_texts(scanned: DataFrame, parts) -> DataFrame:
-    """artifact_id, text: scanned texts (id, text) as continuous paragraphs."""
+def repair_texts(scanned: DataFrame, parts, support: DataFrame | None = None, name: str = "artifact_id") -> DataFrame:
+    """name, text: scanned texts (id, text) as continuous paragraphs."""
 
     def run(batches):
         corrector = Corrector(*parts.value)
         for b in batches:
-            text = [repair(t, corrector) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["artifact_id", "text"])
+            text = [repair(t, corrector) for _, t in _each(b, corrector)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=[name, "text"])
 
-    return scanned.mapInArrow(run, "artifact_id bigint, text string")
+    return link_words(scanned, parts, support).mapInArrow(run, f"{name} {scanned.schema['id'].dataType.simpleString()}, text string")
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
@@ -466,16 +550,9 @@ def p7_text(spark, sf_dir: str) -> DataFrame:
 
 def p7_chunks(spark, sf_dir: str) -> DataFrame:
     """chunk_id, text: the stored pieces of scanned texts, repaired."""
-    _, parts = _trained(spark, sf_dir)
-    pieces = table(spark, sf_dir, "vector_chunks").filter("source_type = 'ocr_text' AND text IS NOT NULL").select(F.col("chunk_id").alias("id"), "text").dropDuplicates(["id"])
-
-    def run(batches):
-        corrector = Corrector(*parts.value)
-        for b in batches:
-            text = [repair(t, corrector) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["chunk_id", "text"])
-
-    return pieces.mapInArrow(run, "chunk_id string, text string")
+    _, parts, support = _trained(spark, sf_dir)
+    pieces = table(spark, sf_dir, "vector_chunks").filter("source_type = 'ocr_text' AND text IS NOT NULL AND chunk_id IS NOT NULL").select(F.col("chunk_id").alias("id"), "text").dropDuplicates(["id"])
+    return repair_texts(pieces, parts, support, "chunk_id")
 
 
 QUERIES = {"p7_found": p7_found, "p7_text": p7_text, "p7_chunks": p7_chunks}
