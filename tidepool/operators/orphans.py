@@ -1,9 +1,9 @@
 """Problem 1: references to records that do not exist.
 
 Skew-aware split: references are first counted per table, key and period (a map-side combine takes the hot keys down to
-a row a partition); the few keys that hold a large part of all references are looked up by broadcast, the remaining keys
-by a shuffled outer join, and the orphans of both are united. The rows behind the orphan groups are then listed the same
-way, so no key's rows ever meet in one task.
+a row a partition); the keys with more rows than one task should have are looked up by broadcast, the remaining keys by a
+shuffled outer join, and the orphans of both are united. The rows behind the orphan groups are then listed the same way:
+of one key at most HOT_ROWS rows, or one part in MOST_HOT of all, ever meet in one task.
 """
 
 from __future__ import annotations
@@ -11,13 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.session import cut, micros, month_of, table
+from tidepool.session import HOT_ROWS, cut, hot_keys, micros, month_of, table
 
-#: A key is heavy if it holds more than this part of all references: at most 1 / HEAVY_SHARE keys are, which bounds what is broadcast.
-HEAVY_SHARE = 0.005
 
-
-def find_orphans(refs: DataFrame, records: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def find_orphans(refs: DataFrame, records: DataFrame, heavy_rows: int = HOT_ROWS) -> DataFrame:
     """One row for each distinct orphan reference: ref_table, row_key, ref_value, ref_status, ref_month (strings).
 
     refs: ref_table, row_key, ref_value (strings), key (bigint, null where the value can't be an id), t (microseconds,
@@ -37,9 +34,7 @@ def find_orphans(refs: DataFrame, records: DataFrame, heavy_share: float = HEAVY
         .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t")),
         "orphan-groups",
     )
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    by_key = groups.groupBy("key").agg(F.sum("n").alias("n"))
-    heavy = [r[0] for r in by_key.filter(F.col("n") > total * heavy_share).select("key").collect()]  # at most 1 / heavy_share
+    heavy = hot_keys(groups.groupBy("key").agg(F.sum("n").alias("n")), "key", "n", heavy_rows)
     is_heavy = F.col("key").isin(heavy) if heavy else F.lit(False)
 
     def judged(part: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -59,7 +54,7 @@ def find_orphans(refs: DataFrame, records: DataFrame, heavy_share: float = HEAVY
         return part.join(orphan_groups, on).filter("verdict <> 'late' OR created > t").select("ref_table", "row_key", "ref_value", "verdict", "t")
 
     found = rows(refs.filter(F.col("key").isNotNull() & ~is_heavy), light_groups)
-    if heavy:  # groups of heavy keys: 1 / heavy_share keys times tables times months
+    if heavy:  # a row for each heavy key, table and month
         found = found.unionByName(rows(refs.filter(is_heavy), F.broadcast(heavy_groups)))
     no_id = refs.filter("key IS NULL").select("ref_table", "row_key", "ref_value", F.lit("missing").alias("verdict"), "t")
     return (

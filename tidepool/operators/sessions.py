@@ -1,10 +1,10 @@
 """Problem 4: grouping activity into sessions by inactivity gaps, by pointer doubling.
 
-Every event is linked to its predecessor where that lies within the gap. The links inside a stretch of time are followed
-at once (a running count over the stretch), so that what takes part in the self-joins is one row for each unbroken run
-of a source in a stretch. As a stretch is not shorter than the gap, a run's predecessor can only be the last run of the
-stretch before. Pointers are then doubled by self-joins until roots are stable, and runs are summed up by root. A source
-that holds a third of all events is spread over its stretches throughout.
+Every event is linked to its predecessor where that lies within the gap. Events are held in blocks: stretches of time, cut
+further where a source has many events in one. The pointers inside a block are followed to their roots at once (the latest
+root so far), so that what takes part in the self-joins is one row for each unbroken run of a source in a block. Pointers
+from a block's first run to the last of the block before are then doubled by self-joins until roots are stable, and runs
+are summed up by root. A source that holds a third of all events is spread over its blocks throughout, also in a burst.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from tidepool.session import cut, micros, table
 
 GAP_S = 1800
 STRETCH_S = 7200
+#: Events of a source in a stretch that stay in one block; a stretch is cut into MOST_PARTS blocks at most.
+BLOCK_ROWS, MOST_PARTS = 500_000, 1_000
 
 
 def double_pointers(links: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
@@ -40,50 +42,60 @@ def double_pointers(links: DataFrame, keys: list[str], max_rounds: int = 64) ->
     raise RuntimeError(f"pointers were not stable after {max_rounds} rounds")
 
 
-def sessionize(events: DataFrame, gap_s: int = GAP_S, stretch_s: int = STRETCH_S) -> DataFrame:
+def _blocks(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """rows (source, id, t) with block: the stretch of time a row is in, and which part of it where a source has more than
+    most rows there. Parts are cut at quantiles, an aggregate that combines before the shuffle, so that their rows are about
+    as many; rows of one microsecond stay together. Their cuts, a row for each stretch of more than most rows, are broadcast."""
+    rows = rows.withColumn("stretch", F.floor(F.col("t") / width))
+    key = ["source", "stretch"]
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    full = cut(sizes.filter(F.col("n") > most), "full-stretches")
+    if full.isEmpty():
+        return rows.withColumn("block", F.struct("stretch", F.lit(0).alias("part")))
+    steps = F.least(F.ceil(F.col("n") / most), F.lit(MOST_PARTS)).cast("int")
+    inside = rows.join(F.broadcast(full.select(*key, steps.alias("steps"))), key)
+    quantiles = [i / MOST_PARTS for i in range(1, MOST_PARTS)]
+    cuts = inside.groupBy(*key).agg(F.percentile_approx("t", quantiles, 10_000).alias("q"), F.first("steps").alias("steps"))
+    each = F.transform(F.sequence(F.lit(1), F.col("steps") - 1), lambda i: F.element_at("q", (i * MOST_PARTS / F.col("steps")).cast("int")))
+    cuts = cut(cuts.select(*key, F.array_distinct(F.when(F.col("steps") > 1, each).otherwise(F.array().cast("array<bigint>"))).alias("cuts")), "cuts")
+    part = F.coalesce(F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col("t") > c).cast("int")), F.lit(0))
+    return rows.join(F.broadcast(cuts), key, "left").withColumn("block", F.struct("stretch", part.alias("part"))).drop("cuts")
+
+
+def sessionize(events: DataFrame, gap_s: int = GAP_S, stretch_s: int = STRETCH_S, most: int = BLOCK_ROWS) -> DataFrame:
     """Sessions of source, id, t (microseconds): source, first_event_id, last_event_id, n_events, start_us, end_us.
 
     Events are ordered by t, then id; a session ends where more than gap_s passes without an event of the source (exactly
     gap_s stays together). Rows with equal source, t and id count once; rows with a null in one of the three are left out;
     other columns are ignored; an empty table has no sessions.
     """
-    if stretch_s < gap_s:
-        raise ValueError("a stretch must not be shorter than the gap")
-    width, gap = stretch_s * 1_000_000, gap_s * 1_000_000
-    rows = (
-        events.select("source", "id", "t", F.floor(F.col("t") / width).alias("stretch"))
-        .dropna(subset=["source", "id", "t"])
-        .repartition("source", "stretch")
-        .dropDuplicates(["source", "stretch", "t", "id"])
-    )
-    w = Window.partitionBy("source", "stretch").orderBy("t", "id")
-    starts = F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("bigint"), F.lit(0))
+    gap = gap_s * 1_000_000
+    rows = _blocks(events.select("source", "id", "t").dropna(subset=["source", "id", "t"]), stretch_s * 1_000_000, most)
+    rows = rows.select("source", "block", "t", "id").dropDuplicates(["source", "block", "t", "id"])
+    w = Window.partitionBy("source", "block").orderBy("t", "id")
+    # a pointer to the event before, if that is within the gap; an event without one is the root of a run, and the latest
+    # root so far is where the pointers of the events of a block lead
+    linked = rows.withColumn("pointer", F.when(F.col("t") - F.lag("t").over(w) <= gap, F.lag(F.struct("t", "id")).over(w)))
+    root = F.max(F.when(F.col("pointer").isNull(), F.struct("t", "id"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     runs = cut(
-        rows.withColumn("starts", starts)
-        .withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("source", "stretch", "run")
-        .agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"), F.count(F.lit(1)).alias("n")),
+        linked.withColumn("run", root)
+        .groupBy("source", "block", "run")
+        .agg(F.max(F.struct("t", "id")).alias("last"), F.count(F.lit(1)).alias("n")),
         "runs",
     )
-    node = ["source", "stretch", "run"]
-    ends = runs.groupBy("source", "stretch").agg(F.max(F.struct("run", "last")).alias("e"))
-    ends = ends.select("source", (F.col("stretch") + 1).alias("stretch"), F.col("e.run").alias("p_run"), F.col("e.last.t").alias("before"))
-    links = (
-        runs.filter("run = 0")
-        .join(ends, ["source", "stretch"])
-        .filter(F.col("first.t") - F.col("before") <= gap)
-        .select(*node, F.col("source").alias("p_source"), (F.col("stretch") - 1).alias("p_stretch"), "p_run")
-    )
+    node = ["source", "block", "run"]
+    # the first run of a block points to the last one of the block before; a source has a row a block here
+    blocks = runs.groupBy("source", "block").agg(F.min("run").alias("first"), F.max_by(F.struct("run", "last"), "run").alias("e"))
+    over = Window.partitionBy("source").orderBy("block")
+    before = blocks.select("source", "block", F.col("first").alias("run"), F.lag("block").over(over).alias("p_block"), F.lag("e").over(over).alias("p"))
+    links = before.filter(F.col("run.t") - F.col("p.last.t") <= gap).select(*node, F.col("source").alias("p_source"), "p_block", F.col("p.run").alias("p_run"))
     roots = double_pointers(links, node)
     return (
         runs.join(roots, node, "left")
-        .groupBy("source", F.coalesce("p_stretch", "stretch").alias("root_stretch"), F.coalesce("p_run", "run").alias("root_run"))
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n_events"))
-        .select(
-            "source", F.col("first.id").alias("first_event_id"), F.col("last.id").alias("last_event_id"), "n_events",
-            F.col("first.t").alias("start_us"), F.col("last.t").alias("end_us"),
-        )
-    )
+        .groupBy("source", F.coalesce("p_run", "run").alias("root"))
+        .agg(F.max("last").alias("last"), F.sum("n").alias("n_events"))
+        .select("source", F.col("root.id").alias("first_event_id"), F.col("last.id").alias("last_event_id"), "n_events", F.col("root.t").alias("start_us"), F.col("last.t").alias("end_us"))
+    )
 
 
 def device_events(spark, sf_dir: str) -> DataFrame:
