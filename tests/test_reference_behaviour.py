@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import clock, text
 from tidepool.functions.porter import stem
+from tidepool.operators.textindex import TextIndex, bucket_of
 from tidepool.operators import episodes, feedback, fulltext, fusion, lookups, memories, metrics, summaries, tables, vectors
 from tidepool.plans.search import Request
 from tidepool.plans.understanding import resolve_time, understand
@@ -97,6 +98,37 @@ def test_index_search_agrees_with_the_scan(spark):
     assert fulltext.search(docs.limit(0), "vector").count() == 0
 
 
+def test_stored_index_finds_what_the_scan_finds(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, DOC_SCHEMA)
+    for stemmed in (False, True):
+        index = TextIndex(spark, str(tmp_path / f"index{stemmed}"), stemmed)
+        assert index.search("vector").count() == 0 and index.numbers()["n_docs"] == 0
+        index.replace(docs)
+        for query in ("vector databases", "vector", "vector_databases", "databases_vector", "nowhere", "", "text/plain pdf"):
+            for mime in (None, "plain"):
+                want = [(r["id"], round(r["rank"], 9)) for r in fulltext.search(docs, query, 20, mime, stemmed).collect()]
+                assert [(r["id"], round(r["rank"], 9)) for r in index.search(query, 20, mime).collect()] == want
+        numbers, told = index.numbers(), fulltext.corpus_numbers(docs, stemmed).first()
+        assert numbers["n_tokens"] == told["n_tokens"] and abs(numbers["avgdl"] - told["avgdl"]) < 1e-9
+    tokens = ["vector", "é", "x" * 70, "日本"]
+    told = spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(13)).alias("b")).collect()
+    assert [r["b"] for r in told] == [bucket_of(t, 13) for t in tokens]
+
+
+def test_documents_are_replaced_in_the_index(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, DOC_SCHEMA)
+    index = TextIndex(spark, str(tmp_path / "index")).build(docs)
+    first = docs.orderBy("id").limit(1).withColumn("extracted_text", F.lit("quite other words, vector"))
+    last = docs.agg(F.max("id").alias("id"))
+    now = docs.join(first.select("id"), "id", "left_anti").unionByName(first).join(last, "id", "left_anti")
+    index.replace(first, last)
+    same = lambda q: [(r["id"], round(r["rank"], 9)) for r in index.search(q).collect()] == [(r["id"], round(r["rank"], 9)) for r in fulltext.search(now, q).collect()]
+    assert len(index.segments()) == 2 and all(same(q) for q in ("other words", "vector", "databases"))
+    index._fold()
+    assert len(index.segments()) == 1 and all(same(q) for q in ("other words", "vector", "databases"))
+    assert index.docs().count() == now.count() == index.numbers()["n_docs"]
+
+
 def test_stemmer_anchors():
     assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "sky", "agreed", "é", "at")] == ["caress", "poni", "relat", "hop", "sky", "agre", "é", "at"]
 

@@ -1,7 +1,7 @@
 """Full-text retrieval: inverted index, BM25 with implicit AND and phrases, snippets.
 
-A single query is scored in one scan of the texts (terms are counted in each row, nothing is exploded); many queries at
-once go through the index: postings by token, joined with the queries' terms.
+A query without a stored index (operators.textindex) is scored in one scan of the texts: terms are counted in each row,
+nothing is exploded. Many queries at once go through postings by token, joined with the queries' terms.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tidepool.functions.porter import stem, stems
 from tidepool.functions.text import index_tokens
 from tidepool.sources import canonical
-from tidepool.session import table
 
 #: BM25 parameters, the least idf, the columns that are indexed.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -142,27 +141,15 @@ QUERY = "calendar warehouse"
 _DOCS = canonical.artifacts
 
 
-def bm25_topk(spark, sf_dir: str) -> DataFrame:
+def bm25_scan(spark, sf_dir: str) -> DataFrame:
+    """The same as bm25_topk, without a stored index."""
     return search(_DOCS(spark, sf_dir), QUERY).select("id", "path", F.round("rank", 6).alias("rank"))
 
 
-def bm25_and_match(spark, sf_dir: str) -> DataFrame:
-    """Every stored query over the whole index."""
-    return search_many(postings(_DOCS(spark, sf_dir)), table(spark, sf_dir, "search_queries")).select("query_id", "id", "rank", "position")
-
-
 def fts_rank_normalized(spark, sf_dir: str) -> DataFrame:
     return search(_DOCS(spark, sf_dir), QUERY).select("id", F.round(normalized(F.col("rank")), 6).alias("fts"))
 
 
-def token_document_frequency(spark, sf_dir: str) -> DataFrame:
-    return postings(_DOCS(spark, sf_dir)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
-
-
-def corpus_stats(spark, sf_dir: str) -> DataFrame:
-    return corpus_numbers(_DOCS(spark, sf_dir)).withColumn("avgdl", F.round("avgdl", 6))
-
-
 def stemmed_search(spark, sf_dir: str) -> DataFrame:
     return search(_DOCS(spark, sf_dir), "calendars warehouses", stemmed=True).select("id", "path", F.round("rank", 6).alias("rank"))
 
@@ -184,9 +171,9 @@ _TOP = f"""{INDEX_SQL},
 df AS (SELECT token, count(*) AS df FROM post GROUP BY ALL),
 hits AS (SELECT id, path, -sum({_SCORE}) AS rank FROM post JOIN df USING (token) JOIN dl USING (id), st WHERE token IN ({", ".join(f"'{t}'" for t in QUERY.split())}) AND NOT coalesce(missing, false) GROUP BY ALL HAVING count(*) = {len(QUERY.split())}),
 top AS (SELECT * FROM hits ORDER BY rank, path LIMIT 20)"""
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_match, fts_rank_normalized, token_document_frequency, corpus_stats, stemmed_search, snippets)}
+QUERIES = {f.__name__: f for f in (bm25_scan, fts_rank_normalized, stemmed_search, snippets)}
 SQL = {
-    "bm25_topk": _TOP + " SELECT id, path, round(rank, 6) AS rank FROM top",
+    **dict.fromkeys(("bm25_topk", "bm25_scan"), _TOP + " SELECT id, path, round(rank, 6) AS rank FROM top"),
     "fts_rank_normalized": _TOP + " SELECT id, round(CASE WHEN min(rank) OVER () = max(rank) OVER () THEN 1e0 ELSE (max(rank) OVER () - rank) / (max(rank) OVER () - min(rank) OVER ()) END, 6) AS fts FROM top",
     "token_document_frequency": INDEX_SQL + " SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY token",
     "corpus_stats": INDEX_SQL + " SELECT n AS n_docs, CAST(total AS BIGINT) AS n_tokens, round(avgdl, 6) AS avgdl FROM st",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.clock import iso_text, nearness
 from tidepool.functions.text import contains_any
-from tidepool.operators.fulltext import normalized
 from tidepool.operators.lookups import members, newest_per
 from tidepool.plans.understanding import TimeRange, Understood
 
@@ -17,9 +16,12 @@ SHOWN = 3
 BASE = ["id", "path", "file_name", "mime_type", "size", "modified_us", "last_opened_ms"]
 
 
-def path_rows(rows: DataFrame, ordinal: int, order: list[Column]) -> DataFrame:
-    """A retrieval path's rows with what the merge needs; the order is that in which they were found."""
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # paths end in a limit, or in a range's episodes
+def path_rows(rows: DataFrame, ordinal: int, order: list[Column], place: list[Column] | None = None) -> DataFrame:
+    """A retrieval path's rows with what the merge needs. They were found in the order given: of a path that ends in a limit
+    the rows are numbered; for others place has its four parts (two numbers, a text, a number), and no row need see another."""
+    if place is None:
+        place = [F.row_number().over(Window.partitionBy(F.lit(ordinal)).orderBy(*order)), F.lit(None), F.lit(None), F.lit(None)]
+    at = F.struct(*[c.cast(t).alias(n) for c, t, n in zip(place, ("bigint", "bigint", "string", "int"), "abcd", strict=True)])
     have = set(rows.columns)
     extra = [(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (("rank", "double"), ("snippet", "string"), ("similarity", "double"))]
     return rows.select(*BASE, *extra, F.lit(ordinal).alias("path_no"), at.alias("path_at"))
@@ -49,25 +51,38 @@ def classify(direct: Column, signals: Column) -> Column:
     return F.when(direct, "FACT").when(signals, "INFERENCE").otherwise("GUESS")
 
 
+def related(ids: DataFrame, episodes: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of artifacts (id): the newest SHOWN episodes of each (artifact_id, episode_id, position and more), and the memories of
+    these episodes (artifact_id, memory_id, position and more), each once."""
+    mine = members(episodes.select(F.col("id").alias("episode_id"), "start_us", "end_us", "title", "event_ids", "grouping_confidence", "artifact_ids"), "artifact_ids", "artifact_id")
+    mine = newest_per(mine.join(ids, mine["artifact_id"] == ids["id"], "left_semi").withColumn("id", F.col("episode_id")), "artifact_id", SHOWN)
+    told = members(memories.select(F.col("id").alias("memory_id"), F.col("start_us").alias("m_start"), F.col("title").alias("m_title"), "confidence", "event_ids", "episode_ids"), "episode_ids", "episode_id")
+    told = told.join(mine.select("artifact_id", "episode_id", "position"), "episode_id")
+    once = Window.partitionBy("artifact_id", "memory_id").orderBy("position")
+    return mine, told.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+
+
+def without_evidence(candidates: DataFrame) -> DataFrame:
+    """candidates as enrich gives those that have nothing."""
+    text = "string"
+    proof = f"array<struct<type: {text}, id: {text}, confidence_type: {text}, confidence: double, source: {text}, source_kind: {text}, title: {text}, snippet: {text}, path: {text}, timestamp: {text}>>"
+    kinds = {"episodes": "array<struct<position: int, id: string, title: string, start_ts: string, end_ts: string>>", "memories": "array<struct<position: int, id: string, title: string>>", "evidence": proof}
+    return candidates.withColumns({c: F.array().cast(t) for c, t in kinds.items()})
+
+
 def enrich(candidates: DataFrame, events: DataFrame, episodes: DataFrame, memories: DataFrame) -> DataFrame:
     """candidates with episodes (the newest SHOWN), memories (of these, each once) and evidence: events by time, then these
     episodes, then these memories. What has none has empty arrays."""
     ids = candidates.select("id")
-    mine = members(episodes.select(F.col("id").alias("episode_id"), "start_us", "end_us", "title", "event_ids", "grouping_confidence", "artifact_ids"), "artifact_ids", "artifact_id")
-    mine = newest_per(mine.join(ids, mine["artifact_id"] == ids["id"], "left_semi").withColumn("id", F.col("episode_id")), "artifact_id", SHOWN)
     log = events.select(F.col("id").alias("event_id"))
 
     def resolves(rows: DataFrame, name: str) -> DataFrame:
         each = rows.select(name, "event_ids").distinct().select(name, F.explode("event_ids").alias("event_id"))
         return each.join(log, "event_id", "left_semi").select(name).distinct().withColumn("resolves", F.lit(True))
 
+    mine, told = related(ids, episodes, memories)
     mine = mine.join(resolves(mine, "episode_id"), "episode_id", "left").withColumn("resolves", F.coalesce("resolves", F.lit(False)))
-    shown = mine.select("artifact_id", "episode_id", "position")
-    told = members(memories.select(F.col("id").alias("memory_id"), F.col("start_us").alias("m_start"), F.col("title").alias("m_title"), "confidence", "event_ids", "episode_ids"), "episode_ids", "episode_id")
-    told = told.join(shown, "episode_id")
     told = told.join(resolves(told, "memory_id"), "memory_id", "left").withColumn("resolves", F.coalesce("resolves", F.lit(False)))
-    once = Window.partitionBy("artifact_id", "memory_id").orderBy("position")
-    told = told.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
 
     def proof(kind: str, order: Column, ident: str, certain: Column, confidence: Column, source: Column, source_kind: Column, title: Column, snippet: Column, path: Column, at: Column) -> Column:
         given = {"type": F.lit(kind), "id": F.col(ident), "confidence_type": certain, "confidence": confidence.cast("double"), "source": source, "source_kind": source_kind, "title": title, "snippet": snippet, "path": path, "timestamp": at}
@@ -123,17 +138,34 @@ def explain(said: Understood, when: TimeRange | None, temporal: Column) -> Colum
     return F.coalesce(F.nullif(F.concat_ws(" ", *parts), F.lit("")), F.lit("Artifact matched search criteria."))
 
 
-def rank(candidates: DataFrame, said: Understood, when: TimeRange | None, limit: int) -> DataFrame:
-    """candidates with score, why and position: the limit best by score (equal ones in the order they were found), those
-    without any score left out. Full-text ranks are normalised over the candidates that are left."""
+def score(candidates: DataFrame, said: Understood, when: TimeRange | None, has_episode: Column, has_memory: Column) -> DataFrame:
+    """candidates with score. Full-text ranks are normalised over those that the full text matched: their ends are read
+    first, so candidates should be a stored table."""
     start, end = when.micros() if when is not None and when.resolved else (None, None)
-    temporal = nearness(F.col("modified_us"), start, end)
-    lexical = F.coalesce(F.when(F.col("fts_matched"), normalized(F.when(F.col("fts_matched"), F.coalesce("rank", F.lit(0.0))))), F.lit(0.0))
-    score = (
-        W_FTS * lexical + W_SEMANTIC * F.greatest(F.coalesce("semantic", F.lit(0.0)), F.lit(0.0)) + W_FILENAME * contains_any("file_name", said.terms) + W_TEMPORAL * temporal
-        + W_EPISODE * (F.size("episodes") > 0).cast("double") + W_MEMORY * (F.size("memories") > 0).cast("double")
+    value = F.when(F.col("fts_matched"), F.coalesce("rank", F.lit(0.0)))
+    ends = candidates.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    lexical = F.when(value.isNotNull(), F.lit(1.0) if ends["low"] == ends["high"] else (ends["high"] - value) / (ends["high"] - ends["low"]))
+    total = (
+        W_FTS * F.coalesce(lexical, F.lit(0.0)) + W_SEMANTIC * F.greatest(F.coalesce("semantic", F.lit(0.0)), F.lit(0.0)) + W_FILENAME * contains_any("file_name", said.terms)
+        + W_TEMPORAL * nearness(F.col("modified_us"), start, end) + W_EPISODE * has_episode.cast("double") + W_MEMORY * has_memory.cast("double")
     )
-    rows = candidates.withColumn("score", score).withColumn("why", explain(said, when if when is not None and when.resolved else None, temporal))
-    best = rows.filter("score > 0").orderBy(F.round("score", 9).desc(), "found").limit(limit)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.round("score", 9).desc(), "found")
+    return candidates.withColumn("score", total)
+
+
+def first(scored: DataFrame, limit: int) -> DataFrame:
+    """The limit best by score with position (equal ones in the order they were found); those without any score are left out."""
+    best = scored.filter("score > 0").orderBy(F.round("score", 9).desc(), "found").limit(limit)
+    w = Window.partitionBy(F.lit(0)).orderBy(F.round("score", 9).desc(), "found")  # limit rows
     return best.withColumn("position", F.row_number().over(w))
+
+
+def explained(rows: DataFrame, said: Understood, when: TimeRange | None) -> DataFrame:
+    """rows with why."""
+    resolved = when if when is not None and when.resolved else None
+    start, end = resolved.micros() if resolved else (None, None)
+    return rows.withColumn("why", explain(said, resolved, nearness(F.col("modified_us"), start, end)))
+
+
+def rank(candidates: DataFrame, said: Understood, when: TimeRange | None, limit: int) -> DataFrame:
+    """Enriched candidates with score, why and position: the limit best."""
+    return explained(first(score(candidates, said, when, F.size("episodes") > 0, F.size("memories") > 0), limit), said, when)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -13,7 +14,8 @@ from tidepool.functions.clock import iso_text
 from tidepool.operators import feedback as feedback_op
 from tidepool.operators import fulltext, fusion, lookups, memories as memories_op, vectors
 from tidepool.plans.understanding import HINT_MIME, TimeRange, Understood, resolve_time, understand
-from tidepool.session import cut, micros
+from tidepool.operators.textindex import TextIndex
+from tidepool.session import cut, kept, micros, stamp, table, union_all
 from tidepool.sources import canonical
 
 
@@ -44,29 +46,56 @@ class Request:
         return cls(query.strip(), k, filters)
 
 
+def kept_table(spark: SparkSession, sf_dir: str, name: str, make, sort: list[str] | None = None, of: tuple = ()) -> DataFrame:
+    """make(spark, sf_dir), written once a session and state of the stored tables it is made of."""
+    state = stamp(spark, sf_dir, *(of or (name,)))
+
+    def build(path: str) -> None:
+        rows = make(spark, sf_dir)
+        (rows.sortWithinPartitions(*sort) if sort else rows).write.parquet(path)
+
+    return spark.read.parquet(kept(spark, f"kept-{name}", state, build))
+
+
+def kept_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> TextIndex:
+    """The text index of the stored artifacts, built once a session and state of the table."""
+    build = lambda path: TextIndex(spark, path, stemmed).build(canonical.artifacts(spark, sf_dir))
+    return TextIndex(spark, kept(spark, f"index-{stemmed}", stamp(spark, sf_dir, "artifacts"), build), stemmed)
+
+
 class SearchEngine:
     """Searches artifacts (with COLUMNS of the index), events, episodes, memories and chunks; what is None plays no part."""
 
-    def __init__(self, artifacts: DataFrame, events: DataFrame, episodes: DataFrame, memories: DataFrame, chunks: DataFrame | None = None, feedback: DataFrame | None = None, embedder: vectors.Embedder | None = None, min_similarity: float = vectors.LEAST_SIMILARITY):
+    def __init__(self, artifacts: DataFrame, events: DataFrame, episodes: DataFrame, memories: DataFrame, chunks: DataFrame | None = None, feedback: DataFrame | None = None, embedder: vectors.Embedder | None = None, min_similarity: float = vectors.LEAST_SIMILARITY, index: TextIndex | None = None):
         self.artifacts = artifacts.withColumn("modified_us", micros(F.col("modified_at"))) if "modified_us" not in artifacts.columns else artifacts
         self.events, self.episodes, self.memories = events, episodes, memories
-        self.chunks, self.feedback, self.embedder, self.min_similarity = chunks, feedback, embedder, min_similarity
+        self.chunks, self.feedback, self.embedder, self.min_similarity, self.index = chunks, feedback, embedder, min_similarity, index
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str, embedder: vectors.Embedder | None = None) -> SearchEngine:
+        """An engine over stored tables: what it needs in other shapes is made at the first call and kept for the session."""
         return cls(
-            canonical.artifacts(spark, sf_dir), canonical.events(spark, sf_dir), canonical.episodes(spark, sf_dir), cut(memories_op.memories(spark, sf_dir), "memories"),
-            canonical.chunks(spark, sf_dir), canonical.feedback(spark, sf_dir), embedder,
+            canonical.artifacts(spark, sf_dir), kept_table(spark, sf_dir, "activity_events", canonical.events, ["artifact_id"]), kept_table(spark, sf_dir, "episodes", canonical.episodes),
+            kept_table(spark, sf_dir, "memories", memories_op.memories, of=("activity_events", "episodes")), canonical.chunks(spark, sf_dir), canonical.feedback(spark, sf_dir), embedder,
+            index=kept_index(spark, sf_dir),
         )
 
     def _active(self, when: TimeRange, ordinal: int) -> DataFrame:
         start, end = when.micros()
-        inside = lookups.overlapping(self.episodes, start, end)
+        inside = self.episodes.filter((F.col("end_us") >= start) & (F.col("start_us") <= end))
         each = inside.select("start_us", "end_us", F.col("id").alias("episode_id"), F.posexplode("artifact_ids").alias("pos", "artifact_id"))
         first = each.groupBy("artifact_id").agg(F.min(F.struct("start_us", "end_us", "episode_id", "pos")).alias("first"))
         here = self.artifacts.filter(~F.coalesce("missing", F.lit(False)))
         rows = here.join(first, here["id"] == first["artifact_id"])
-        return fusion.path_rows(rows, ordinal, [F.col("first")])
+        return fusion.path_rows(rows, ordinal, [], [F.col("first")[c] for c in ("start_us", "end_us", "episode_id", "pos")])
+
+    def _lexical(self, words: str, limit: int, mime: str | None) -> DataFrame:
+        """The limit best artifacts by the full text, with rank; through the index if there is one."""
+        if self.index is None:
+            return fulltext.search(self.artifacts, words, limit, mime)
+        hits = self.index.search(words, limit, mime).select("id", "rank").collect()  # at most limit rows
+        found = self.artifacts.filter(F.col("id").isin([r["id"] for r in hits]))
+        return found.join(F.broadcast(self.artifacts.sparkSession.createDataFrame([tuple(r) for r in hits], "id bigint, rank double")), "id")
 
     def candidates(self, said: Understood, when: TimeRange | None, limit: int) -> DataFrame | None:
         paths = []
@@ -74,9 +103,8 @@ class SearchEngine:
             paths.append(self._active(when, 1))
         words = said.filename_hint or " ".join(said.terms)
         if words:
-            found = fulltext.search(self.artifacts, words, limit, HINT_MIME.get(said.file_type))
             shown = fulltext.snippet(F.col("extracted_text"), [t for p in fulltext.terms_of(words) for t in p])
-            paths.append(fusion.path_rows(found.withColumn("snippet", shown), 2, [F.col("rank"), F.col("path")]))
+            paths.append(fusion.path_rows(self._lexical(words, limit, HINT_MIME.get(said.file_type)).withColumn("snippet", shown), 2, [F.col("rank"), F.col("path")]))
         if self.embedder is not None and self.embedder.dimension and self.chunks is not None:
             probe = self.embedder.embed([said.original])[0].tolist()
             if any(probe):
@@ -85,13 +113,20 @@ class SearchEngine:
                 rows = here.join(near, here["id"] == near["artifact_id"]).withColumn("snippet", F.col("text"))
                 paths.append(fusion.path_rows(rows, 3, [F.col("similarity").desc(), F.col("id")]))
         if when is not None and when.resolved:
-            known = fusion.merge(paths).limit(limit).count() if paths else 0  # at most limit rows
+            known = 0
+            if paths:
+                paths = [cut(union_all(paths), "paths")]
+                known = fusion.merge(paths).limit(limit).count()  # at most limit rows
             if known < limit:
                 paths.append(self._active(when, 4))
         return fusion.merge(paths) if paths else None
 
-    def search(self, query: str, limit: int = 20, now: datetime | None = None, filters: dict | None = None, rerank: bool = False) -> DataFrame | None:
-        """Results in order (column position), or None if the query says nothing to search for."""
+    def search(self, query: str, limit: int = 20, now: datetime | None = None, filters: dict | None = None, rerank: bool = False, evidence: bool = True) -> DataFrame | None:
+        """Results in order (column position), or None if the query says nothing to search for.
+
+        Only the limit best are enriched. A failure of the enrichment or of the re-ranking is logged and leaves the results
+        without evidence or in their order; failed names what failed.
+        """
         said = understand(query)
         if not said.original.strip():
             return None
@@ -101,12 +136,34 @@ class SearchEngine:
         if found is None:
             return None
         found = lookups.structured_filter(found.withColumn("modified_at", iso_text(F.col("modified_us"))), filters)
-        found = cut(found, "candidates")  # few rows that three joins look at
-        results = fusion.rank(fusion.enrich(found, self.events, self.episodes, self.memories), said, when, limit)
+        found = cut(found, "candidates")  # few columns, which several steps look at
+        self.failed: list[str] = []
+        best = cut(fusion.first(self._scored(found, said, when), limit), "best")
+        rows = self._or_else("evidence", lambda: cut(fusion.enrich(best, self.events, self.episodes, self.memories), "enriched"), lambda: fusion.without_evidence(best)) if evidence else fusion.without_evidence(best)
+        results = fusion.explained(rows, said, when)
         if rerank and self.feedback is not None:
-            results = feedback_op.rerank(results, feedback_op.boosts(self.feedback, said.original, round(now.timestamp() * 1000)))
+            boosted = lambda: cut(feedback_op.boosts(self.feedback, said.original, round(now.timestamp() * 1000)), "boosts")
+            results = self._or_else("feedback", lambda: feedback_op.rerank(results, boosted()), lambda: results)
         return results
 
+    def _scored(self, found: DataFrame, said: Understood, when: TimeRange | None) -> DataFrame:
+        def flagged() -> DataFrame:
+            mine, told = fusion.related(found.select("id"), self.episodes, self.memories)
+            held = mine.select(F.col("artifact_id").alias("_a"), F.lit(False).alias("_m")).unionByName(told.select(F.col("artifact_id").alias("_a"), F.lit(True).alias("_m")))
+            held = held.groupBy("_a").agg(F.bool_or("_m").alias("_m"))
+            return cut(found.join(held, found["id"] == held["_a"], "left"), "flagged")
+
+        rows = self._or_else("episodes", flagged, lambda: found.withColumns({"_a": F.lit(None), "_m": F.lit(None).cast("boolean")}))
+        return fusion.score(rows, said, when, F.col("_a").isNotNull(), F.coalesce("_m", F.lit(False))).drop("_a", "_m")
+
+    def _or_else(self, what: str, run, otherwise) -> DataFrame:
+        try:
+            return run()
+        except Exception:  # a search answers with what it has
+            logging.getLogger(__name__).warning("%s could not be had", what, exc_info=True)
+            self.failed.append(what)
+            return otherwise()
+
     def respond(self, request: dict, now: datetime | None = None) -> dict:
         """What the service answers: took_ms and the result cards. Wrong requests raise ValueError."""
         asked, began = Request.from_dict(request), time.monotonic()
@@ -123,12 +180,31 @@ QUERY = "calendar warehouse in june 2026"
 NOW = datetime(2026, 7, 1, 12, tzinfo=UTC)
 
 
-def _results(spark, sf_dir: str, query: str = QUERY) -> DataFrame:
-    return SearchEngine.over(spark, sf_dir).search(query, 20, NOW)
+def _results(spark, sf_dir: str, query: str = QUERY, evidence: bool = True) -> DataFrame:
+    return SearchEngine.over(spark, sf_dir).search(query, 20, NOW, evidence=evidence)
+
+
+def bm25_topk(spark, sf_dir: str) -> DataFrame:
+    """Through the stored index."""
+    return kept_index(spark, sf_dir).search(fulltext.QUERY).select("id", "path", F.round("rank", 6).alias("rank"))
+
+
+def bm25_and_match(spark, sf_dir: str) -> DataFrame:
+    """Every stored query over the whole index."""
+    return kept_index(spark, sf_dir).search_many(table(spark, sf_dir, "search_queries"))
+
+
+def token_document_frequency(spark, sf_dir: str) -> DataFrame:
+    return kept_index(spark, sf_dir).postings().groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+
+
+def corpus_stats(spark, sf_dir: str) -> DataFrame:
+    docs = kept_index(spark, sf_dir).docs()
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("n_tokens"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
 def hybrid_search(spark, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir).select("id", "path", F.round("score", 6).alias("score"))
+    return _results(spark, sf_dir, evidence=False).select("id", "path", F.round("score", 6).alias("score"))
 
 
 def search_explain(spark, sf_dir: str) -> DataFrame:
@@ -156,8 +232,6 @@ def semantic_search(spark, sf_dir: str) -> DataFrame:
 
 def parse_queries(spark, sf_dir: str) -> DataFrame:
     """The stored queries as they are understood: a control-sized list, worked on in the workers."""
-    from tidepool.session import table
-
     schema = "query_id bigint, intent string, file_type string, filename_hint string, time_expression string, terms string, start_us bigint, end_us bigint"
 
     def run(batches):
@@ -191,8 +265,9 @@ parts AS (SELECT cand.*, CASE WHEN rank IS NULL THEN 0e0 WHEN min(rank) OVER ()
 best AS (SELECT *, 35e-2 * fts + 15e-2 * fn + 12e-2 * tm + 8e-2 * es + 5e-2 * ms AS score FROM parts),
 shown AS (SELECT * FROM best WHERE score > 0 ORDER BY round(score, 9) DESC, found LIMIT 20)"""
 )
-QUERIES = {f.__name__: f for f in (hybrid_search, search_explain, evidence_classified, activity_search, semantic_search, parse_queries)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_match, token_document_frequency, corpus_stats, hybrid_search, search_explain, evidence_classified, activity_search, semantic_search, parse_queries)}
 SQL = {
+    **{k: fulltext.SQL[k] for k in ("bm25_topk", "bm25_and_match", "token_document_frequency", "corpus_stats")},
     "hybrid_search": _STAGES + " SELECT id, path, round(score, 6) AS score FROM shown",
     "evidence_classified": _STAGES
     + """ SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY part, k, id) - 1 AS ordinal, type, id, confidence_type FROM (

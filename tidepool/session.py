@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,29 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, str] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What tells one state of stored tables from another: where they are, their size and when they were written."""
+    said = [sf_dir]
+    for n in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        said.append((n, status.getLen(), status.getModificationTime()))
+    return tuple(said)
+
+
+def kept(spark: SparkSession, name: str, state: tuple, build: Callable[[str], object]) -> str:
+    """The folder in which build(folder) left what is derived from tables of that state: made once a session."""
+    key = (spark.sparkContext.applicationId, name, state)
+    if key not in _kept:
+        path = fresh_path(spark, name)
+        build(path)
+        _kept[key] = path
+    return _kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
