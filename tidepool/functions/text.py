@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a query.
-STOPWORDS = (
-    "a about all an and any around at been by did do does find for from had has have i in is it its last me my of on or "
-    "remember show so some that the this to was were what where which with work"
-).split()
+STOPWORDS = [
+    "a", "about", "all", "an", "and", "any", "around", "at", "been", "by", "did", "do", "does", "find", "for", "from", "had", "has", "have", "i", "in", "is", "it", "its", "last", "me", "my",
+    "of", "on", "or", "remember", "show", "so", "some", "that", "the", "this", "to", "was", "were", "what", "where", "which", "with", "work",
+]
 
 
 def _col(c: Column | str) -> Column:
@@ -26,6 +26,11 @@ def query_text(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(text), r"(?U)[^\w\s]", " "))
 
 
+def query_tokens(text: Column | str) -> Column:
+    """A query's tokens in order: runs of ASCII letters, digits, dots, underscores and hyphens between word boundaries."""
+    return F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(r"\b[a-zA-Z0-9._-]+\b"), 0)
+
+
 def meaning_tokens(text: Column | str) -> Column:
     """Distinct [a-z0-9]+ tokens of the lower-cased text without stopwords."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])

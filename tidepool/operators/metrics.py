@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,29 @@ def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("r").alias("recall"))
 
 
+def with_hard_negatives(placed: DataFrame, relevant: DataFrame, negatives: DataFrame, k: int = 5) -> DataFrame:
+    """n_queries, recall, mrr and intruders of results (query_id, id, place): the mean part of the relevant ids (query_id, id)
+    among the first k, the mean reciprocal place of the first of them, and the mean part of the hard negatives among the k."""
+    marked = placed.join(relevant.distinct().withColumn("_r", F.lit(1.0)), ["query_id", "id"], "left").join(negatives.distinct().withColumn("_n", F.lit(1.0)), ["query_id", "id"], "left")
+    first = (F.col("place") <= k).cast("double")
+    per = marked.groupBy("query_id").agg(
+        F.try_divide(F.sum(F.col("_r") * first), F.sum("_r")).alias("r"), F.min(F.when(F.col("_r") == 1, F.col("place"))).alias("at"), F.try_divide(F.sum(F.col("_n") * first), F.sum("_n")).alias("n")
+    )
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("r").alias("recall"), F.avg(F.coalesce(1.0 / F.col("at"), F.lit(0.0))).alias("mrr"), F.avg("n").alias("intruders"))
+
+
+def synthetic_vectors(spark, n: int, dimension: int, seed: int = 0) -> DataFrame:
+    """chunk_id, artifact_id, model_id, dimension, embedding of n random vectors at length one, the same for the same seed."""
+
+    def run(batches):
+        for pdf in batches:
+            x = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(dimension) for i in pdf["id"]]) if len(pdf) else np.zeros((0, dimension))
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            yield pd.DataFrame({"chunk_id": [f"s{i}" for i in pdf["id"]], "artifact_id": pdf["id"], "model_id": "synthetic", "dimension": dimension, "embedding": list(x.astype(np.float32))})
+
+    return spark.range(n).mapInPandas(run, "chunk_id string, artifact_id bigint, model_id string, dimension int, embedding array<float>")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report, a few rows, as one JSON file a row in a folder."""
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -118,6 +118,27 @@ def replace_chunks(current: DataFrame, artifacts: DataFrame, new: DataFrame) ->
     return without_artifacts(current, artifacts).unionByName(new, allowMissingColumns=True)
 
 
+def without_model(chunks: DataFrame, model_id: str, dimension: int | None = None) -> DataFrame:
+    """chunks without those of a model, of one dimension of it if that is given."""
+    own = F.col("model_id") == model_id
+    if dimension is not None:
+        own = own & (F.col("dimension") == dimension)
+    return chunks.filter(~F.coalesce(own, F.lit(False)))
+
+
+def touch(artifacts: DataFrame, opened: DataFrame) -> DataFrame:
+    """artifacts with last_opened_ms moved to the latest opening (id, ts_ms) of each, where that is later."""
+    last = opened.groupBy(F.col("id").alias("_id")).agg(F.max("ts_ms").alias("_ms"))
+    rows = artifacts.join(last, artifacts["id"] == last["_id"], "left").withColumn("last_opened_ms", F.greatest("last_opened_ms", "_ms"))
+    return rows.select(artifacts.columns)
+
+
+def recorded(feedback: DataFrame) -> DataFrame:
+    """feedback with access_type: its action where that is an access, clicks and pins. One row says both, so that no failure
+    leaves one without the other."""
+    return feedback.withColumn("access_type", F.when(F.col("action") != "ignore", F.col("action")))
+
+
 def record_feedback(query: Column, document_id: Column, action: Column, ts_ms: Column) -> list[Column]:
     """Columns of feedback to append; an action other than click, ignore and pin raises when the row is made."""
     checked = F.when(action.isin("click", "ignore", "pin"), action).otherwise(F.raise_error(F.concat(F.lit("no such action: "), action)))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.operators import episodes, feedback, fulltext, incremental, lookups, memories, metrics, orphans, sessions, summaries, tables, vectors
-from tidepool.plans import search
+from tidepool.plans import coverage, search
 from tidepool.streaming import streams
 
-_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables, vectors, feedback, search, metrics, streams]
+_MODULES = [orphans, sessions, incremental, episodes, memories, fulltext, lookups, summaries, tables, vectors, feedback, search, metrics, streams, coverage]
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import extension
@@ -23,6 +23,12 @@ MIME = {
 PICTURES = [".png", ".jpg", ".jpeg"]
 
 
+def mime_of(path: Column | str) -> Column:
+    """The MIME type of a path by its extension; application/octet-stream for other kinds."""
+    known = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
+    return F.coalesce(known[extension(path)], F.lit("application/octet-stream"))
+
+
 class OcrEngine:
     """What reads text from a picture's bytes: (text, error). This one reads nothing."""
 
