@@ -26,6 +26,13 @@ def parse_iso(text: Column | str) -> Column:
     return F.timestamp_add("MINUTE", shift, local.try_cast("timestamp_ntz"))
 
 
+def parse_iso_strict(text: Column | str) -> Column:
+    """parse_iso; a text that is malformed raises an error when its row is made, a null stays null."""
+    c = F.col(text) if isinstance(text, str) else text
+    at = parse_iso(c)
+    return F.when(c.isNotNull() & at.isNull(), F.raise_error(F.concat(F.lit("no ISO-8601 time: "), c)).cast("timestamp_ntz")).otherwise(at)
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since 1970, cut off."""
     return F.floor(micros(ts) / 1000)

@@ -9,11 +9,11 @@ from tidepool.functions.text import segments
 from tidepool.sources import canonical
 
 #: Directories and tokens that name no topic, and directories whose next part is a user's name.
-BROAD = "downloads documents desktop pictures videos music users user project projects workspace workspaces home appdata local temp tmp c d e".split()
-GENERIC = (
-    "pdf py md docs docx download downloads file files desktop documents pictures videos music jpg jpeg png txt screenshot screenshotdiscovered application active "
-    "project projects users user workspace workspaces c d e appdata local temp tmp home usr var"
-).split()
+BROAD = ["downloads", "documents", "desktop", "pictures", "videos", "music", "users", "user", "project", "projects", "workspace", "workspaces", "home", "appdata", "local", "temp", "tmp", "c", "d", "e"]
+GENERIC = [
+    "pdf", "py", "md", "docs", "docx", "download", "downloads", "file", "files", "desktop", "documents", "pictures", "videos", "music", "jpg", "jpeg", "png", "txt", "screenshot",
+    "screenshotdiscovered", "application", "active", "project", "projects", "users", "user", "workspace", "workspaces", "c", "d", "e", "appdata", "local", "temp", "tmp", "home", "usr", "var",
+]
 HOMES = ["users", "user", "home"]
 ARTIFACT_BONUS, TOPIC_BONUS = 0.1, 0.05
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import shutil
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -99,9 +101,7 @@ class OnnxEmbedder(Embedder):
     Loaded once a worker; a folder without the files raises FileNotFoundError at the start."""
 
     def __init__(self, folder: str, model_id: str, dimension: int = 384, max_tokens: int = 512):
-        import os
-
-        for name in ("model.onnx", "tokenizer.json"):
+        for name in MODEL_FILES:
             if not os.path.exists(os.path.join(folder, name)):
                 raise FileNotFoundError(os.path.join(folder, name))
         self.folder, self.model_id, self.dimension, self.max_tokens = folder, model_id, dimension, max_tokens
@@ -128,15 +128,23 @@ class OnnxEmbedder(Embedder):
         return (pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def _one(embedder: Embedder, text: str) -> np.ndarray:
+    try:
+        return embedder.embed([text])[0]
+    except Exception:
+        return np.zeros(0, np.float32)
+
+
 def embedding(embedder: Embedder) -> Callable[[Column], Column]:
     """A function from a text column to its vectors; texts that fail or have no vector give an empty array."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
+        given = texts.fillna("").tolist()
         try:
-            x = embedder.embed(texts.fillna("").tolist())
-        except Exception:  # a model's failure leaves texts without vectors, it does not end the job
-            return pd.Series([[] for _ in texts])
+            x = list(embedder.embed(given))
+        except Exception:  # one text at a time: those that fail have no vector, and do not end the job
+            x = [_one(embedder, t) for t in given]
         return pd.Series([r if np.any(r) else [] for r in x])
 
     return run
@@ -174,17 +182,25 @@ def _planes(dimension: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimension]).standard_normal((tables * bits, dimension)).astype(np.float32)
 
 
+def buckets_of(x: np.ndarray, tables: int = 12, bits: int = 8, seed: int = 0) -> list:
+    """The buckets of a vector, one a table, or of each row of a matrix."""
+    signs = (np.atleast_2d(x) @ _planes(np.shape(x)[-1], tables, bits, seed).T > 0).reshape(-1, tables, bits)
+    found = (signs << np.arange(bits)).sum(axis=2) + np.arange(tables) * (1 << bits)
+    return found.tolist() if np.ndim(x) > 1 else found[0].tolist()
+
+
 def hyperplane_buckets(vectors: DataFrame, tables: int = 12, bits: int = 8, seed: int = 0) -> DataFrame:
     """vectors once for each of tables tables, with the bucket (table and signs against bits random planes)."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(embeddings: pd.Series) -> pd.Series:
-        def one(v):
-            x = np.asarray(v, np.float32)
-            signs = (_planes(len(x), tables, bits, seed) @ x > 0).reshape(tables, bits)
-            return ((signs << np.arange(bits)).sum(axis=1) + np.arange(tables) * (1 << bits)).astype(np.int32)
-
-        return embeddings.map(one)
+        out = pd.Series([None] * len(embeddings), dtype=object)
+        sizes = embeddings.map(len).to_numpy()
+        for n in np.unique(sizes):  # the planes are drawn once for the vectors of a dimension, and meet them as a matrix
+            at = np.flatnonzero(sizes == n)
+            for i, b in zip(at, buckets_of(np.stack(embeddings.iloc[at].to_list()).astype(np.float32), tables, bits, seed), strict=True):
+                out.iat[i] = b
+        return out
 
     return vectors.filter(sound(vectors)).withColumn("bucket", F.explode(run(F.col("embedding"))))
 
@@ -211,22 +227,48 @@ def similar(vectors: DataFrame, query: list[float], model_id: str, k: int = 20,
     return vectors.join(found, "chunk_id").orderBy(F.col("similarity").desc(), "chunk_id")
 
 
-def model_folder(explicit: str | None = None) -> str | None:
-    """Where the sentence model is: the folder given, else TIDEPOOL_MODEL_DIR; None if neither is set."""
-    import os
+MODEL_FILES = ("model.onnx", "tokenizer.json")
+
 
-    return explicit or os.environ.get("TIDEPOOL_MODEL_DIR") or None
+def model_folder(explicit: str | None = None, default: str | None = None) -> str | None:
+    """Where the sentence model is: the folder given, else TIDEPOOL_MODEL_DIR, else the default."""
+    return explicit or os.environ.get("TIDEPOOL_MODEL_DIR") or default
 
 
 def model_status(folder: str | None = None) -> dict:
     """Whether a sentence model can be used, and what is missing; never raises."""
-    import os
-
     at = model_folder(folder)
-    lacking = [n for n in ("model.onnx", "tokenizer.json") if not at or not os.path.exists(os.path.join(at, n))]
+    lacking = [n for n in MODEL_FILES if not at or not os.path.exists(os.path.join(at, n))]
     return {"folder": at, "available": not lacking, "missing": lacking}
 
 
+def validate_model(folder: str | None = None) -> dict:
+    """model_status, and whether a text has a finite vector by the model; what fails is said in error, never raised."""
+    said = model_status(folder) | {"valid": False, "error": None}
+    if not said["available"]:
+        return said | {"error": f"missing: {', '.join(said['missing'])}"}
+    try:
+        x = OnnxEmbedder(said["folder"], "check").embed(["a short text"])[0]
+        return said | {"valid": bool(np.isfinite(x).all() and np.any(x)), "dimension": int(len(x))}
+    except Exception as e:
+        return said | {"error": f"{type(e).__name__}: {e}"}
+
+
+def install_model(source: str, folder: str) -> dict:
+    """Copy a model's files from a folder to where it is used; files that are there with the same size stay as they are."""
+    os.makedirs(folder, exist_ok=True)
+    copied = []
+    for n in MODEL_FILES:
+        a, b = os.path.join(source, n), os.path.join(folder, n)
+        if not os.path.exists(a):
+            raise FileNotFoundError(a)
+        if not os.path.exists(b) or os.path.getsize(a) != os.path.getsize(b):
+            shutil.copyfile(a, f"{b}.part")
+            os.replace(f"{b}.part", b)
+            copied.append(n)
+    return model_status(folder) | {"copied": copied}
+
+
 # Queries -----------------------------------------------------------------------------------------------------------
 
 MODEL = "lumen-mini-v1"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +11,21 @@ from pyspark.sql import functions as F
 from tidepool.operators import episodes as episodes_op
 from tidepool.operators import memories as memories_op
 from tidepool.operators import tables, vectors
+from tidepool.operators.annindex import VectorStore
+from tidepool.operators.textindex import TextIndex
 from tidepool.plans.search import SearchEngine
 from tidepool.session import cut
 from tidepool.sources import files
 from tidepool.sources.snapshots import SnapshotTable
 
+log = logging.getLogger(__name__)
 SCHEMAS = {
     "artifacts": "id bigint, path string, file_name string, mime_type string, size bigint, created_at timestamp_ntz, modified_at timestamp_ntz, indexed_at timestamp_ntz, content_hash string, extracted_text string, extract_error string, missing boolean, last_opened_ms bigint",
     "events": "id string, event_type string, us bigint, source string, source_kind string, artifact_id bigint, path string, app string, tags array<string>, event_confidence double, recorded_us bigint, payload string",
     "episodes": "id string, start_us bigint, end_us bigint, event_ids array<string>, artifact_ids array<bigint>, grouping_confidence double, title string",
     "memories": "id string, episode_ids array<string>, event_ids array<string>, artifact_ids array<bigint>, start_us bigint, end_us bigint, title string, topics array<string>, confidence double",
     "vector_chunks": "artifact_id bigint, source_type string, chunk_id string, chunk_index int, start_char int, end_char int, text string, model_id string, dimension int, embedding array<float>",
-    "feedback": "query_text string, document_id string, action string, ts_ms bigint",
-    "accesses": "document_id string, access_type string, ts_ms bigint",
+    "feedback": "query_text string, document_id string, action string, ts_ms bigint, access_type string",
 }
 
 
@@ -30,11 +33,16 @@ class Store:
     """The engine's tables in one folder, and what the service does with them."""
 
     def __init__(self, spark: SparkSession, folder: str, embedder: vectors.Embedder | None = None, ocr: files.OcrEngine | None = None):
-        self.spark, self.embedder, self.ocr = spark, embedder or vectors.HashEmbedder(), ocr
+        self.spark, self.embedder, self.ocr = spark, embedder or vectors.HashEmbedder(), ocr or files.default_ocr()
+        self.index = TextIndex(spark, f"{folder.rstrip('/')}/text-index")
+        self.vectors = VectorStore(spark, f"{folder.rstrip('/')}/vector-index", folder.rstrip("/"), lambda: self.read("vector_chunks"))
         parts = {"vector_chunks": ["model_id", "dimension"]}
         self.tables = {n: SnapshotTable(spark, f"{folder.rstrip('/')}/{n}", parts.get(n)) for n in SCHEMAS}
 
     def read(self, name: str) -> DataFrame:
+        """A table; accesses are the rows of feedback that are accesses."""
+        if name == "accesses":
+            return self.read("feedback").filter("access_type IS NOT NULL").select("document_id", "access_type", "ts_ms")
         t = self.tables[name]
         rows = t.read() if t.exists() else self.spark.createDataFrame([], SCHEMAS[name])
         return rows.select(*[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema])
@@ -43,6 +51,19 @@ class Store:
         columns = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
         return self.tables[name].write(rows.select(*columns))
 
+    def model_changed(self) -> list[str]:
+        """Models of stored chunks other than the embedder's."""
+        rows = self.read("vector_chunks").select("model_id").distinct().collect()  # a row a model
+        return sorted(r["model_id"] for r in rows if r["model_id"] != self.embedder.model_id)
+
+    def reembed(self) -> int:
+        """Embed the texts of all chunks anew by the present model, in place of those of other models; how many there are."""
+        rows = self.read("vector_chunks").dropDuplicates(["chunk_id"]).drop("model_id", "dimension", "embedding")
+        written = self.write("vector_chunks", vectors.embed_chunks(rows, self.embedder))
+        if self.embedder.dimension:
+            self.vectors.index(self.embedder.model_id, self.embedder.dimension).rebuild(written)
+        return written.count()
+
     def ingest(self, folder: str, now_us: int, force: bool = False, progress: Callable[[dict], None] | None = None) -> dict:
         """Index what is new or changed below a folder and derive the rest anew; counts of what was done.
 
@@ -58,6 +79,8 @@ class Store:
                 pass
 
         folder = folder.rstrip("/")
+        if others := self.model_changed():
+            log.warning("chunks of other models (%s) are not searched; reembed() brings them to %s", ", ".join(others), self.embedder.model_id)
         before = self.read("artifacts")
         scan = files.scan_folder(self.spark, folder)
         listed = cut(scan.drop("content", "ext"), "listed")
@@ -76,6 +99,11 @@ class Store:
         chunks = vectors.embed_chunks(vectors.chunk_documents(changed), self.embedder)
         kept = tables.without_artifacts(tables.replace_chunks(self.read("vector_chunks"), changed.select("id"), chunks), gone)
         self.write("vector_chunks", kept)
+        touched = changed.select("id").unionByName(marked.filter("newly_missing").select("id")).distinct()
+        self.index.replace(artifacts.join(touched, "id", "left_semi"))
+        if self.embedder.dimension:
+            self.vectors.replace(touched, self.read("vector_chunks").join(touched.withColumnRenamed("id", "artifact_id"), "artifact_id", "left_semi"), self.embedder.model_id, self.embedder.dimension)
+            self.vectors.flush()
         known = artifacts.select(F.col("id").alias("_id"), F.col("path").alias("_path"))
         named = told.join(known, told["path"] == known["_path"], "left").withColumn("artifact_id", F.coalesce("artifact_id", "_id")).drop("_id", "_path")
         fresh = cut(tables.append_new(self.read("events"), named), "fresh")
@@ -96,17 +124,16 @@ class Store:
         return total
 
     def engine(self) -> SearchEngine:
-        return SearchEngine(self.read("artifacts"), self.read("events"), self.read("episodes"), self.read("memories"), self.read("vector_chunks"), self.read("feedback"), self.embedder)
+        return SearchEngine(self.read("artifacts"), self.read("events"), self.read("episodes"), self.read("memories"), self.read("vector_chunks"), self.read("feedback"), self.embedder, index=self.index if self.index.segments() else None)
 
     def record_feedback(self, query: str, document_id: str, action: str, ts_ms: int) -> None:
-        """Append one piece of feedback; clicks and pins count as accesses too. Other actions raise ValueError."""
+        """Append one piece of feedback, in one publication with the access that a click or a pin is too. Other actions raise
+        ValueError."""
         if action not in ("click", "ignore", "pin"):
             raise ValueError(f"no such action: {action}")
-        one = self.spark.createDataFrame([(query, str(document_id), action, ts_ms)], SCHEMAS["feedback"])
+        access = None if action == "ignore" else action
+        one = self.spark.createDataFrame([(query, str(document_id), action, ts_ms, access)], SCHEMAS["feedback"])
         self.write("feedback", self.read("feedback").unionByName(one))
-        if action != "ignore":
-            seen = one.select("document_id", F.col("action").alias("access_type"), "ts_ms")
-            self.write("accesses", self.read("accesses").unionByName(seen))
 
     def open_document(self, artifact_id: int, now_us: int) -> dict | None:
         """The fields of an artifact that may be shown, or None; the opening is written to the log and to its recency."""

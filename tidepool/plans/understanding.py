@@ -11,11 +11,11 @@ from datetime import UTC, datetime, timedelta
 from tidepool.functions.text import STOPWORDS
 
 #: Known file extensions, and the words that tell a kind of file.
-EXTENSIONS = "pdf docx doc txt md markdown png jpg jpeg py js ts go rs java cpp c h html css".split()
-DOCUMENT_WORDS = "pdf docx doc txt md markdown".split()
-IMAGE_WORDS = "screenshot image photo picture png jpg jpeg".split()
-CODE_WORDS = "py js ts go rs java cpp c".split()
-DROPPED_NOUNS = "screenshot image photo picture file files document documents".split()
+EXTENSIONS = ["pdf", "docx", "doc", "txt", "md", "markdown", "png", "jpg", "jpeg", "py", "js", "ts", "go", "rs", "java", "cpp", "c", "h", "html", "css"]
+DOCUMENT_WORDS = ["pdf", "docx", "doc", "txt", "md", "markdown"]
+IMAGE_WORDS = ["screenshot", "image", "photo", "picture", "png", "jpg", "jpeg"]
+CODE_WORDS = ["py", "js", "ts", "go", "rs", "java", "cpp", "c"]
+DROPPED_NOUNS = ["screenshot", "image", "photo", "picture", "file", "files", "document", "documents"]
 #: MIME types of the hints that restrict the full-text path.
 HINT_MIME = {"image": "image/", "pdf": "pdf", "docx": "wordprocessingml", "txt": "text/plain", "md": "text/markdown"}
 MONTHS = [m.lower() for m in calendar.month_name[1:]]
@@ -75,28 +75,40 @@ class TimeRange:
         return us(self.start), us(self.end)
 
 
+def _find(pattern: str, text: str) -> str:
+    found = re.search(pattern, text, re.IGNORECASE)
+    return found[0] if found else ""
+
+
+#: Rules of the parts of a query, the first that holds counts: what it tells, and what has to be found in the text.
+INTENT_RULES = [("activity", ACTIVITY), ("screenshot", PICTURE)]
+_FILE_NAME = rf"\b[a-zA-Z0-9_-]+\.(?:{'|'.join(EXTENSIONS)})\b"
+
+
+def _first_rule(rules: list[tuple[str, str]], text: str, otherwise: str) -> str:
+    return next((told for told, pattern in rules if _find(pattern, text)), otherwise)
+
+
+def _kind_of(hint: str, words: list[str]) -> str:
+    """The kind of file: by the hint's extension, else by the words, document words telling themselves."""
+    if hint:
+        return hint.lower().rsplit(".", 1)[1]
+    groups = [(DOCUMENT_WORDS, None), (IMAGE_WORDS, "image"), (CODE_WORDS, "code")]
+    return next((told or w for group, told in groups for w in words if w in group), "")
+
+
 def understand(query: str) -> Understood:
     """A query's parts. Blank queries have none."""
     text = (query or "").strip()
     if not text:
         return Understood(query or "")
-    has = lambda pattern: re.search(pattern, text, re.IGNORECASE)
-    intent = "activity" if has(ACTIVITY) else "screenshot" if has(PICTURE) else "search"
-    phrase = next((m.group(0) for p in TIME_PHRASES if (m := has(rf"\b(?:{p})\b"))), "")
-    name = has(rf"\b([a-zA-Z0-9_-]+\.(?:{'|'.join(EXTENSIONS)}))\b")
-    hint = name.group(1) if name else ""
-    words = [w.lower() for w in re.findall(_TOKEN, text)]
-    if hint:
-        kind = hint.rpartition(".")[2].lower()
-    else:
-        kind = next((w for w in words if w in DOCUMENT_WORDS), "")
-        kind = kind or ("image" if set(words) & set(IMAGE_WORDS) else "code" if set(words) & set(CODE_WORDS) else "")
+    phrase = next(filter(None, (_find(rf"\b(?:{p})\b", text) for p in TIME_PHRASES)), "")
+    hint = _find(_FILE_NAME, text)
+    tokens = lambda t: [w.lower() for w in re.findall(_TOKEN, t)]
+    unwanted = {*STOPWORDS, *DROPPED_NOUNS, *(() if hint else (e for e in EXTENSIONS if len(e) <= 4))}
     rest = re.sub(re.escape(phrase), "", text, flags=re.IGNORECASE) if phrase else text
-    kept = [
-        w for w in map(str.lower, re.findall(_TOKEN, rest))
-        if w not in STOPWORDS and w not in DROPPED_NOUNS and (hint or w not in EXTENSIONS or len(w) > 4)
-    ]
-    return Understood(text, list(dict.fromkeys(kept)), hint, kind, intent, phrase)
+    terms = [w for w in dict.fromkeys(tokens(rest)) if w not in unwanted]
+    return Understood(text, terms, hint, _kind_of(hint, tokens(text)), _first_rule(INTENT_RULES, text, "search"), phrase)
 
 
 def _day(at: datetime) -> datetime:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
 import io
 import re
 import zipfile
+from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -36,6 +38,22 @@ class OcrEngine:
         return "", None
 
 
+class TesseractOcr(OcrEngine):
+    """Pictures read by the tesseract library, where it is installed."""
+
+    def read(self, content: bytes) -> tuple[str, str | None]:
+        import pytesseract
+        from PIL import Image
+
+        return pytesseract.image_to_string(Image.open(io.BytesIO(content))), None
+
+
+def default_ocr() -> OcrEngine:
+    """TesseractOcr where its libraries are installed, else an engine that reads nothing."""
+    have = all(importlib.util.find_spec(n) for n in ("pytesseract", "PIL"))
+    return TesseractOcr() if have else OcrEngine()
+
+
 def read_text(content: bytes) -> tuple[str, str | None]:
     """UTF-8, else Latin-1."""
     try:
@@ -95,7 +113,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 def extract_texts(files: DataFrame, ocr: OcrEngine | None = None) -> DataFrame:
     """files without content, with content_hash (SHA-256), extracted_text and extract_error."""
-    engine = ocr or OcrEngine()
+    engine = ocr or default_ocr()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,9 +164,9 @@ EVENT_TYPES = ["FILE_CREATED", "FILE_MODIFIED", "FILE_DELETED", "FILE_OPENED", "
 
 def simulated_events(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Events from dicts (id, type, timestamp, artifact_id, payload, event_confidence); unknown types, confidences outside
-    0..1 and times that are no ISO text raise ValueError. Ids that are missing are made of the content."""
-    import hashlib
+    0..1 and times that are no ISO text raise ValueError. Ids that are missing are random (uuid4)."""
     import json
+    import uuid
     from datetime import UTC, datetime
 
     out = []
@@ -162,12 +180,54 @@ def simulated_events(spark: SparkSession, rows: list[dict]) -> DataFrame:
         at = at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
         us = round(at.timestamp() * 1_000_000)
         payload = r.get("payload") or {}
-        ident = r.get("id") or hashlib.sha256(json.dumps([r["type"], us, payload], sort_keys=True).encode()).hexdigest()[:32]
+        ident = r.get("id") or str(uuid.uuid4())
         out.append((ident, r["type"], us, r.get("source", "simulated"), "simulated", r.get("artifact_id"), payload.get("path"), payload.get("app") or payload.get("application"), payload.get("tags"), confidence, us, json.dumps(payload)))
     schema = "id string, event_type string, us bigint, source string, source_kind string, artifact_id bigint, path string, app string, tags array<string>, event_confidence double, recorded_us bigint, payload string"
     return spark.createDataFrame(out, schema)
 
 
+class EventSource(ABC):
+    """Something that events come from, as a table of them."""
+
+    name = "events"
+
+    @abstractmethod
+    def events(self, spark: SparkSession) -> DataFrame:
+        """id, event_type, us, source, source_kind, artifact_id, path, app, tags, event_confidence, recorded_us, payload."""
+
+
+class SimulatedSource(EventSource):
+    """Events given as dicts."""
+
+    name = "simulated"
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        return simulated_events(spark, self.rows)
+
+
+class FolderSource(EventSource):
+    """What a scan of a folder tells against a catalogue and a log."""
+
+    name = "filesystem"
+
+    def __init__(self, folder: str, catalogue: DataFrame, log: DataFrame, now_us: int):
+        self.folder, self.catalogue, self.log, self.now_us = folder, catalogue, log, now_us
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        return folder_events(scan_folder(spark, self.folder).drop("content", "ext"), self.catalogue, self.log, self.folder, self.now_us)
+
+
+def events_of(spark: SparkSession, sources: list[EventSource]) -> DataFrame:
+    """The events of several sources, one an id."""
+    rows = sources[0].events(spark)
+    for s in sources[1:]:
+        rows = rows.unionByName(s.events(spark), allowMissingColumns=True)
+    return rows.dropDuplicates(["id"])
+
+
 def recall_cases(text: str) -> list[dict]:
     """Cases of an evaluation file: the subset of YAML they are written in (a list of mappings of plain or quoted values)."""
     cases: list[dict] = []
