@@ -7,12 +7,15 @@ import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.clock import iso_text
+from tidepool.functions.text import STOPWORDS
 from tidepool.operators import feedback as feedback_op
 from tidepool.operators import fulltext, fusion, lookups, memories as memories_op, vectors
+from tidepool.plans import understanding
 from tidepool.plans.understanding import HINT_MIME, TimeRange, Understood, resolve_time, understand
 from tidepool.operators.textindex import TextIndex
 from tidepool.session import cut, kept, micros, stamp, table, union_all
@@ -230,22 +233,35 @@ def semantic_search(spark, sf_dir: str) -> DataFrame:
     return engine.search("expensive repository overview in the archive", 20, NOW).select("id", F.round("semantic", 6).alias("semantic"), F.round("score", 6).alias("score"))
 
 
-def parse_queries(spark, sf_dir: str) -> DataFrame:
-    """The stored queries as they are understood: a control-sized list, worked on in the workers."""
-    schema = "query_id bigint, intent string, file_type string, filename_hint string, time_expression string, terms string, start_us bigint, end_us bigint"
+PARSED = "query_id bigint, intent string, file_type string, filename_hint string, time_expression string, terms string, start_us bigint, end_us bigint"
+#: Queries of all the forms that are understood.
+PHRASES = [
+    "what did I work on today", "What was I doing yesterday", "screenshot of the invoice from last Tuesday", "report.pdf last week", "notes this week", "photo in March 2024", "budget around december",
+    "the plan in august", "meeting minutes 2026-02-28", "2025-02-30 backup", "between 9am and 5pm calls", "mails between 11am and 1pm on 2026-05-04", "two days ago terminal log", "last month rust code main.rs",
+    "tomorrow lunch", "last year taxes pdf", "python py scripts", "image of a cat png", "what files did I open", "  ", "documents about Qdrant, qdrant and HNSW", "last wednesday standup", "js bundle in july",
+]
 
-    def run(batches):
-        import pandas as pd
 
+def _parsed(rows: DataFrame) -> DataFrame:
+    def run(batches):
         for pdf in batches:
-            rows = []
+            out = []
             for i, text in zip(pdf["query_id"], pdf["query_text"], strict=True):
                 said = understand(text)
-                start, end = resolve_time(said.time_expression, NOW).micros()
-                rows.append((i, said.intent, said.file_type, said.filename_hint, said.time_expression, " ".join(said.terms), start, end))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"start_us": "Int64", "end_us": "Int64"})
+                out.append((i, said.intent, said.file_type, said.filename_hint, said.time_expression, " ".join(said.terms), *resolve_time(said.time_expression, NOW).micros()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")]).astype({"start_us": "Int64", "end_us": "Int64"})
+
+    return rows.mapInPandas(run, PARSED)
+
+
+def parse_queries(spark, sf_dir: str) -> DataFrame:
+    """The stored queries as they are understood: a control-sized list, worked on in the workers."""
+    return _parsed(table(spark, sf_dir, "search_queries").select("query_id", "query_text").distinct())
+
 
-    return table(spark, sf_dir, "search_queries").select("query_id", "query_text").distinct().mapInPandas(run, schema)
+def parse_phrases(spark, sf_dir: str) -> DataFrame:
+    """Queries of all forms as they are understood."""
+    return _parsed(spark.createDataFrame(list(enumerate(PHRASES)), "query_id bigint, query_text string"))
 
 
 _JUNE = "epoch_us(TIMESTAMP '2026-06-01') AND epoch_us(TIMESTAMP '2026-06-30 23:59:59.999999')"
@@ -265,9 +281,39 @@ parts AS (SELECT cand.*, CASE WHEN rank IS NULL THEN 0e0 WHEN min(rank) OVER ()
 best AS (SELECT *, 35e-2 * fts + 15e-2 * fn + 12e-2 * tm + 8e-2 * es + 5e-2 * ms AS score FROM parts),
 shown AS (SELECT * FROM best WHERE score > 0 ORDER BY round(score, 9) DESC, found LIMIT 20)"""
 )
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_match, token_document_frequency, corpus_stats, hybrid_search, search_explain, evidence_classified, activity_search, semantic_search, parse_queries)}
+_L = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_DAY_OF = "CAST(TIMESTAMP '2026-07-01' AS TIMESTAMP)"  # a Wednesday, the day of NOW
+_ONE = lambda start, end: f"[{start}, {end} + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND]"
+_CLOCK = "CASE WHEN {h} <= 12 THEN {h} % 12 + CASE WHEN {half} = 'pm' THEN 12 ELSE 0 END ELSE {h} END"
+_NAMED = f"({'|'.join(understanding.MONTHS)})"
+_PARSE_SQL = rf"""
+p AS (SELECT query_id, trim(query_text) AS t, coalesce({", ".join(rf"nullif(regexp_extract(query_text, '(?i)\b(?:{x})\b'), '')" for x in understanding.TIME_PHRASES)}, '') AS phrase,
+  regexp_extract(query_text, '(?i)\b[a-zA-Z0-9_-]+\.(?:{"|".join(understanding.EXTENSIONS)})\b') AS hint, list_transform(regexp_extract_all(query_text, '\b[a-zA-Z0-9._-]+\b'), lambda w: lower(w)) AS words FROM q),
+w AS (SELECT *, lower(phrase) AS ph, list_position({_L(understanding.MONTHS)}, regexp_extract(lower(phrase), '{_NAMED}', 1)) AS mon, TRY_CAST(regexp_extract(phrase, '(\d{{4}})$', 1) AS INT) AS yr, list_position({_L(understanding.DAYS)}, regexp_extract(lower(phrase), '^last\s+(.*)$', 1)) AS dow,
+  regexp_extract(lower(phrase), '^between\s+(\d+)(?:am|pm)\s+and\s+(\d+)(?:am|pm)', 1) AS h1, regexp_extract(lower(phrase), '^between\s+(\d+)(?:am|pm)\s+and\s+(\d+)(?:am|pm)', 2) AS h2, regexp_extract(lower(phrase), '^between\s+\d+(am|pm)', 1) AS a1, regexp_extract(lower(phrase), '\s+and\s+\d+(am|pm)', 1) AS a2,
+  coalesce(TRY_CAST(nullif(regexp_extract(phrase, '(\d{{4}}-\d{{2}}-\d{{2}})$', 1), '') AS TIMESTAMP), {_DAY_OF}) AS given FROM p),
+m AS (SELECT *, make_timestamp(coalesce(yr, 2026 - CASE WHEN mon > 7 THEN 1 ELSE 0 END), mon, 1, 0, 0, 0) AS first_of, CAST({_CLOCK.format(h="CAST(h1 AS INT)", half="a1")} AS INT) AS c1, CAST({_CLOCK.format(h="CAST(h2 AS INT)", half="a2")} AS INT) AS c2 FROM (SELECT * REPLACE (nullif(h1, '') AS h1, nullif(h2, '') AS h2) FROM w)),
+r AS (SELECT *, CASE
+  WHEN ph = 'today' THEN {_ONE(_DAY_OF, _DAY_OF)} WHEN ph = 'yesterday' THEN {_ONE(f"({_DAY_OF} - INTERVAL 1 DAY)", f"({_DAY_OF} - INTERVAL 1 DAY)")}
+  WHEN regexp_full_match(ph, 'two\s+days\s+ago') THEN {_ONE(f"({_DAY_OF} - INTERVAL 2 DAY)", f"({_DAY_OF} - INTERVAL 2 DAY)")}
+  WHEN dow > 0 THEN {_ONE(f"({_DAY_OF} - to_days(CAST((2 - dow + 7) % 7 + 1 AS INT)))", f"({_DAY_OF} - to_days(CAST((2 - dow + 7) % 7 + 1 AS INT)))")}
+  WHEN regexp_full_match(ph, 'last\s+week') THEN {_ONE(f"({_DAY_OF} - INTERVAL 9 DAY)", f"({_DAY_OF} - INTERVAL 3 DAY)")} WHEN regexp_full_match(ph, 'this\s+week') THEN {_ONE(f"({_DAY_OF} - INTERVAL 2 DAY)", _DAY_OF)}
+  WHEN regexp_full_match(ph, 'last\s+month') THEN {_ONE("TIMESTAMP '2026-06-01'", "TIMESTAMP '2026-06-30'")}
+  WHEN starts_with(ph, 'around') THEN [first_of + INTERVAL 14 DAY + INTERVAL 12 HOUR - INTERVAL 42 DAY, first_of + INTERVAL 14 DAY + INTERVAL 12 HOUR + INTERVAL 42 DAY]
+  WHEN starts_with(ph, 'in') THEN {_ONE("first_of", "(first_of + INTERVAL 1 MONTH - INTERVAL 1 DAY)")}
+  WHEN regexp_full_match(ph, '\d{{4}}-\d{{2}}-\d{{2}}') AND TRY_CAST(ph AS TIMESTAMP) IS NOT NULL THEN {_ONE("CAST(TRY_CAST(ph AS TIMESTAMP) AS TIMESTAMP)", "CAST(TRY_CAST(ph AS TIMESTAMP) AS TIMESTAMP)")}
+  WHEN c1 IS NOT NULL AND c2 IS NOT NULL THEN [given + to_hours(c1), given + to_hours(c2)] END AS range FROM m)
+SELECT query_id, CASE WHEN t = '' THEN 'search' WHEN regexp_matches(t, '(?i){understanding.ACTIVITY}') THEN 'activity' WHEN regexp_matches(t, '(?i){understanding.PICTURE}') THEN 'screenshot' ELSE 'search' END AS intent,
+  CASE WHEN hint <> '' THEN lower(regexp_extract(hint, '([^.]*)$', 1)) ELSE coalesce(list_filter(words, lambda x: list_contains({_L(understanding.DOCUMENT_WORDS)}, x))[1], CASE WHEN len(list_intersect(words, {_L(understanding.IMAGE_WORDS)})) > 0 THEN 'image' WHEN len(list_intersect(words, {_L(understanding.CODE_WORDS)})) > 0 THEN 'code' END, '') END AS file_type,
+  hint AS filename_hint, phrase AS time_expression,
+  (SELECT coalesce(string_agg(x, ' ' ORDER BY i), '') FROM (SELECT x, min(i) AS i FROM (SELECT unnest(ts) AS x, generate_subscripts(ts, 1) AS i FROM (SELECT list_transform(regexp_extract_all(CASE WHEN phrase = '' THEN t ELSE replace(t, phrase, '') END, '\b[a-zA-Z0-9._-]+\b'), lambda w: lower(w)) AS ts))
+    WHERE NOT list_contains({_L(STOPWORDS)}, x) AND NOT list_contains({_L(understanding.DROPPED_NOUNS)}, x) AND (hint <> '' OR length(x) > 4 OR NOT list_contains({_L(understanding.EXTENSIONS)}, x)) GROUP BY x)) AS terms,
+  epoch_us(range[1]) AS start_us, epoch_us(range[2]) AS end_us FROM r"""
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_and_match, token_document_frequency, corpus_stats, hybrid_search, search_explain, evidence_classified, activity_search, semantic_search, parse_queries, parse_phrases)}
 SQL = {
     **{k: fulltext.SQL[k] for k in ("bm25_topk", "bm25_and_match", "token_document_frequency", "corpus_stats")},
+    "parse_queries": "WITH q AS (SELECT DISTINCT query_id, query_text FROM search_queries)," + _PARSE_SQL,
+    "parse_phrases": "WITH q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(PHRASES)) + ") v(query_id, query_text))," + _PARSE_SQL,
     "hybrid_search": _STAGES + " SELECT id, path, round(score, 6) AS score FROM shown",
     "evidence_classified": _STAGES
     + """ SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY part, k, id) - 1 AS ordinal, type, id, confidence_type FROM (
