@@ -86,7 +86,7 @@ def group(events: DataFrame, rules: Rules = Rules(), keys: list[str] | None = No
     """Episodes: keys, id (sha256 of start, end and event ids), start_us, end_us, event_ids, artifact_ids (distinct, in
     order of appearance, without null and 0), grouping_confidence, title, evidence (the merges)."""
     keys = keys or []
-    judged = judge(events, rules, keys)
+    judged = judge(events, rules, keys)  # its blocks go on
     numbered = running_count(judged, F.coalesce(F.col("decision") == "SPLIT", F.lit(False)), "us", ["us", "id"], keys)
     signals = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("present"), F.when(F.col(k), w).otherwise(0.0).alias("contribution")) for k, w in WEIGHTS.items()])
     proof = F.when(

@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators.sequence import BLOCK_ROWS, with_blocks
 from tidepool.session import cut, micros, table
 
 GAP_S = 1800
 STRETCH_S = 7200
-#: Events of a source in a stretch that stay in one block; a stretch is cut into MOST_PARTS blocks at most.
-BLOCK_ROWS, MOST_PARTS = 500_000, 1_000
 
 
 def double_pointers(links: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
@@ -42,26 +41,6 @@ def double_pointers(links: DataFrame, keys: list[str], max_rounds: int = 64) ->
     raise RuntimeError(f"pointers were not stable after {max_rounds} rounds")
 
 
-def _blocks(rows: DataFrame, width: int, most: int) -> DataFrame:
-    """rows (source, id, t) with block: the stretch of time a row is in, and which part of it where a source has more than
-    most rows there. Parts are cut at quantiles, an aggregate that combines before the shuffle, so that their rows are about
-    as many; rows of one microsecond stay together. Their cuts, a row for each stretch of more than most rows, are broadcast."""
-    rows = rows.withColumn("stretch", F.floor(F.col("t") / width))
-    key = ["source", "stretch"]
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    full = cut(sizes.filter(F.col("n") > most), "full-stretches")
-    if full.isEmpty():
-        return rows.withColumn("block", F.struct("stretch", F.lit(0).alias("part")))
-    steps = F.least(F.ceil(F.col("n") / most), F.lit(MOST_PARTS)).cast("int")
-    inside = rows.join(F.broadcast(full.select(*key, steps.alias("steps"))), key)
-    quantiles = [i / MOST_PARTS for i in range(1, MOST_PARTS)]
-    cuts = inside.groupBy(*key).agg(F.percentile_approx("t", quantiles, 10_000).alias("q"), F.first("steps").alias("steps"))
-    each = F.transform(F.sequence(F.lit(1), F.col("steps") - 1), lambda i: F.element_at("q", (i * MOST_PARTS / F.col("steps")).cast("int")))
-    cuts = cut(cuts.select(*key, F.array_distinct(F.when(F.col("steps") > 1, each).otherwise(F.array().cast("array<bigint>"))).alias("cuts")), "cuts")
-    part = F.coalesce(F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col("t") > c).cast("int")), F.lit(0))
-    return rows.join(F.broadcast(cuts), key, "left").withColumn("block", F.struct("stretch", part.alias("part"))).drop("cuts")
-
-
 def sessionize(events: DataFrame, gap_s: int = GAP_S, stretch_s: int = STRETCH_S, most: int = BLOCK_ROWS) -> DataFrame:
     """Sessions of source, id, t (microseconds): source, first_event_id, last_event_id, n_events, start_us, end_us.
 
@@ -70,7 +49,7 @@ def sessionize(events: DataFrame, gap_s: int = GAP_S, stretch_s: int = STRETCH_S
     other columns are ignored; an empty table has no sessions.
     """
     gap = gap_s * 1_000_000
-    rows = _blocks(events.select("source", "id", "t").dropna(subset=["source", "id", "t"]), stretch_s * 1_000_000, most)
+    rows = with_blocks(events.select("source", "id", "t").dropna(subset=["source", "id", "t"]), "t", ["source"], stretch_s * 1_000_000, most)
     rows = rows.select("source", "block", "t", "id").dropDuplicates(["source", "block", "t", "id"])
     w = Window.partitionBy("source", "block").orderBy("t", "id")
     # a pointer to the event before, if that is within the gap; an event without one is the root of a run, and the latest
