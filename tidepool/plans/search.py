@@ -49,17 +49,6 @@ class Request:
         return cls(query.strip(), k, filters)
 
 
-def kept_table(spark: SparkSession, sf_dir: str, name: str, make, sort: list[str] | None = None, of: tuple = ()) -> DataFrame:
-    """make(spark, sf_dir), written once a session and state of the stored tables it is made of."""
-    state = stamp(spark, sf_dir, *(of or (name,)))
-
-    def build(path: str) -> None:
-        rows = make(spark, sf_dir)
-        (rows.sortWithinPartitions(*sort) if sort else rows).write.parquet(path)
-
-    return spark.read.parquet(kept(spark, f"kept-{name}", state, build))
-
-
 def kept_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> TextIndex:
     """The text index of the stored artifacts, built once a session and state of the table."""
     build = lambda path: TextIndex(spark, path, stemmed).build(canonical.artifacts(spark, sf_dir))
@@ -78,8 +67,8 @@ class SearchEngine:
     def over(cls, spark: SparkSession, sf_dir: str, embedder: vectors.Embedder | None = None) -> SearchEngine:
         """An engine over stored tables: what it needs in other shapes is made at the first call and kept for the session."""
         return cls(
-            canonical.artifacts(spark, sf_dir), kept_table(spark, sf_dir, "activity_events", canonical.events, ["artifact_id"]), kept_table(spark, sf_dir, "episodes", canonical.episodes),
-            kept_table(spark, sf_dir, "memories", memories_op.memories, of=("activity_events", "episodes")), canonical.chunks(spark, sf_dir), canonical.feedback(spark, sf_dir), embedder,
+            canonical.artifacts(spark, sf_dir), canonical.events(spark, sf_dir), canonical.episodes(spark, sf_dir),
+            canonical.kept_table(spark, sf_dir, "memories", memories_op.memories, of=("activity_events", "episodes")), canonical.chunks(spark, sf_dir), canonical.feedback(spark, sf_dir), embedder,
             index=kept_index(spark, sf_dir),
         )
 
