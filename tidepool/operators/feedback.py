@@ -30,6 +30,21 @@ def boosts(feedback: DataFrame, query: Column | str, now_ms: int, keys: list[str
     return rows.groupBy(*keys, "document_id").agg(F.least(F.greatest(F.sum("_part"), F.lit(-1.0)), F.lit(1.0)).alias("boost"))
 
 
+def boosts_of_results(results: DataFrame, queries: DataFrame, feedback: DataFrame, now_ms: int) -> DataFrame:
+    """query_id, document_id, boost for the results (query_id, id) of many queries (query_id, query_text): what boosts gives.
+
+    The part of a query's words that feedback has is a sum over these words, so feedback is summed up by document and word
+    first, and only a query's own results meet it: a word that everybody uses makes no more rows than there are results."""
+    value = strength(F.col("action")) * decay(F.col("ts_ms"), now_ms, HALF_LIFE_DAYS)
+    known = feedback.withColumn("_v", value).filter("_v <> 0 AND document_id IS NOT NULL").select("document_id", "_v", F.explode(meaning_tokens("query_text")).alias("word"))
+    known = known.groupBy("document_id", F.trim("document_id").alias("doc"), "word").agg(F.sum("_v").alias("v"))
+    tokens = meaning_tokens("query_text")
+    words = queries.select("query_id", F.size(tokens).alias("n"), F.explode(tokens).alias("word"))
+    asked = results.select("query_id", F.col("id").cast("string").alias("doc")).distinct().join(words, "query_id")
+    sums = asked.join(known, ["doc", "word"]).groupBy("query_id", "document_id").agg((F.sum("v") / F.max("n")).alias("boost"))
+    return sums.withColumn("boost", F.least(F.greatest("boost", F.lit(-1.0)), F.lit(1.0)))
+
+
 def rerank(results: DataFrame, boosted: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """results (keys, id, score, position) with their scores moved by WEIGHT times the boost of the document of that id (as
     text), and new positions; equal scores keep their order. Results without feedback stay as they are."""
@@ -53,12 +68,9 @@ def feedback_boost(spark, sf_dir: str) -> DataFrame:
 
 def feedback_rerank(spark, sf_dir: str) -> DataFrame:
     """The stored candidates of every query, re-ranked by the feedback that their query's words meet: in one job."""
-    queries = table(spark, sf_dir, "search_queries").groupBy("query_id").agg(F.max("query_text").alias("current"))
-    words = queries.select("query_id", "current", F.explode(meaning_tokens("current")).alias("_word"))
-    stored = canonical.feedback(spark, sf_dir)
-    pairs = words.join(stored.withColumn("_word", F.explode(meaning_tokens("query_text"))), "_word").dropDuplicates(["query_id", "id"])
-    moved = boosts(pairs, F.col("current"), NOW_MS, ["query_id"])
+    queries = table(spark, sf_dir, "search_queries").groupBy("query_id").agg(F.max("query_text").alias("query_text"))
     results = table(spark, sf_dir, "search_results").groupBy("query_id", "id").agg(F.max("score").alias("score")).filter("score IS NOT NULL AND NOT isnan(score)")
+    moved = boosts_of_results(results, queries, canonical.feedback(spark, sf_dir), NOW_MS)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = rerank(results.withColumn("position", F.row_number().over(w)), moved, ["query_id"])
     return ranked.select("query_id", "id", F.round("score", 9).alias("score"), F.col("position").cast("bigint").alias("position"))
