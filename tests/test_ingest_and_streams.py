@@ -60,6 +60,13 @@ def test_extraction(tmp_path):
     assert files.extract(".docx", path.read_bytes(), files.OcrEngine()) == ("one\ntwo", None)
     assert files.extract(".png", b"", files.OcrEngine()) == ("", None) and files.extract(".xyz", b"", files.OcrEngine()) == ("", None)
 
+    import zlib
+
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) -20 (ld)] TJ T* <41 42> Tj ET")
+    objects = [b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj", b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R >> endobj", b"4 0 obj << /Filter /FlateDecode /Length %d >> stream\n" % len(page) + page + b"\nendstream endobj"]
+    assert files.extract(".pdf", b"%PDF-1.4\n" + b"\n".join(objects), files.OcrEngine()) == ("Hello (PDF)\nworld\nAB", None)
+    assert files.extract(".pdf", b"no pdf", files.OcrEngine())[1] is not None
+
     class Failing(files.OcrEngine):
         def read(self, content):
             raise OSError("lens")

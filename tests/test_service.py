@@ -110,6 +110,11 @@ def test_kept_vector_index(spark, tmp_path, monkeypatch):
     assert annindex.index_folder("/r", "/data/store", "a/b c", 3).endswith("/a_b_c-3")
 
 
+def test_scaling_report(spark, tmp_path):
+    said = annindex.scaling(spark, str(tmp_path / "index"), n=500, dimension=16, n_queries=3, k=5)
+    assert said["n"] == 500 and said["build_s"] > 0 and 0 < said["recall"] <= 1 and said["index_ms"] > 0
+
+
 def test_models_and_failures_of_single_texts(spark, tmp_path):
     class Moody(vectors.HashEmbedder):
         def embed(self, texts):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
@@ -231,3 +232,25 @@ class VectorStore:
         for i in self._open.values():
             i.close()
         self._open = {}
+
+
+def scaling(spark: SparkSession, folder: str, n: int = 10_000, dimension: int = 384, n_queries: int = 20, k: int = 10, seed: int = 0) -> dict:
+    """Seconds to build an index of n random vectors at length one, milliseconds a query by the index and exactly, and the
+    index's recall at k."""
+    from tidepool.operators.metrics import synthetic_vectors
+
+    rows = synthetic_vectors(spark, n, dimension, seed)
+    began = time.perf_counter()
+    index = BucketIndex(spark, folder, "synthetic", dimension)
+    index.rebuild(rows)
+    built = time.perf_counter() - began
+    probes = [[float(v) for v in r["embedding"]] for r in synthetic_vectors(spark, n_queries, dimension, seed + 1).collect()]
+    spent, found = {"index": 0.0, "exact": 0.0}, 0
+    for probe in probes:
+        ids = {}
+        for name, ask in (("index", lambda: index.search(probe, k)), ("exact", lambda: vectors.exact_topk(rows, probe, "synthetic", k, -1.0))):  # noqa: B023
+            at = time.perf_counter()
+            ids[name] = {r["chunk_id"] for r in ask().collect()}
+            spent[name] += time.perf_counter() - at
+        found += len(ids["index"] & ids["exact"])
+    return {"n": n, "build_s": round(built, 3), **{f"{name}_ms": round(1000 * s / n_queries, 1) for name, s in spent.items()}, "recall": round(found / (k * n_queries), 4)}

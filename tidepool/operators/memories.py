@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.text import segments
 from tidepool.sources import canonical
+from tidepool.sources.files import EventSource
 
 #: Directories and tokens that name no topic, and directories whose next part is a user's name.
 BROAD = ["downloads", "documents", "desktop", "pictures", "videos", "music", "users", "user", "project", "projects", "workspace", "workspaces", "home", "appdata", "local", "temp", "tmp", "c", "d", "e"]
@@ -71,10 +72,10 @@ def topic_sources(found: DataFrame) -> DataFrame:
     return first.select("episode_id", "topic", F.coalesce("f.source", "topic").alias("source"), "f.source_type", "f.ord")
 
 
-def derive(episodes: DataFrame, events: DataFrame) -> DataFrame:
+def derive(episodes: DataFrame, events: DataFrame | EventSource) -> DataFrame:
     """Memories of episodes (id, start_us, end_us, event_ids, artifact_ids, grouping_confidence) of which an event exists:
     id, episode_ids, event_ids, artifact_ids, start_us, end_us, title, topics, confidence, title_basis, topic_sources."""
-    found = episode_events(episodes, events)
+    found = episode_events(episodes, events.events(episodes.sparkSession) if isinstance(events, EventSource) else events)
     alive = found.select("episode_id").distinct()
     topics = topic_sources(found).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("ord", "topic", "source", "source_type"))).alias("t"))
     rows = episodes.join(alive, episodes["id"] == alive["episode_id"], "left_semi").join(topics, episodes["id"] == topics["episode_id"], "left")

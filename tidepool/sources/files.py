@@ -6,6 +6,7 @@ import importlib.util
 import io
 import re
 import zipfile
+import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -73,15 +74,54 @@ def read_docx(content: bytes) -> tuple[str, str | None]:
     return "\n".join(lines), None
 
 
+_PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z])(?:Tj|TJ|T\*|Td|TD|ET)(?![A-Za-z])|['\"]", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    """A literal or hexadecimal string of a content stream."""
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _PDF_ESCAPES.get(m[1], m[1])
+        raw = re.sub(rb"\\([0-7]{1,3}|.)", octal, token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+def _pdf_pages(content: bytes) -> list[str]:
+    """The text of each page of a file whose pages are plain objects: strings shown, a line for each move to a new one."""
+    objects = {m[1]: m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
+    pages = []
+    for body in objects.values():
+        if not re.search(rb"/Type\s*/Page\b", body):
+            continue
+        said = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        text = ""
+        for ref in re.findall(rb"(\d+)\s+\d+\s+R", said[1]) if said else []:
+            part = objects.get(ref, b"")
+            stream = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", part, re.S)
+            if stream:
+                raw = zlib.decompressobj().decompress(stream[1]) if b"/FlateDecode" in part else stream[1]
+                for m in _PDF_TOKEN.finditer(raw):
+                    token = m[0]
+                    text += _pdf_string(token) if token[:1] in b"(<" else "\n" if token in (b"T*", b"Td", b"TD", b"ET", b"'", b'"') else ""
+        pages.append("\n".join(line for line in (x.strip() for x in text.split("\n")) if line))
+    return pages
+
+
 def read_pdf(content: bytes) -> tuple[str, str | None]:
-    """Pages joined by line ends; needs a PDF library, without one the error says so."""
-    try:
-        from PyPDF2 import PdfReader
-    except ImportError:
-        return "", "no PDF library is installed"
+    """Pages joined by line ends: by a PDF library where one is installed, else what plain content streams show."""
     try:
+        try:
+            from PyPDF2 import PdfReader
+        except ImportError:
+            if not content.startswith(b"%PDF"):
+                return "", "no PDF file"
+            pages = _pdf_pages(content)
+            return "\n".join(pages), None if pages else "no page that can be read without a PDF library"
         return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages), None
-    except Exception as e:  # whatever the library finds wrong with a file is that file's error
+    except Exception as e:  # whatever is wrong with a file is that file's error
         return "", f"{type(e).__name__}: {e}"
 
 
