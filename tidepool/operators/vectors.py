@@ -314,10 +314,23 @@ def lsh_topk(spark, sf_dir: str) -> DataFrame:
     return bucketed_topk(canonical.chunks(spark, sf_dir), _probe_set(spark, sf_dir), tables=16, bits=4)
 
 
+_STRIPPED = r"regexp_replace({0}, '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"
+_MARKED = r"regexp_extract(substr(body, pos + 1, least(500, n - pos)), '(?s)^(.*)(?:\n|\. )', 1)"
+_CHUNKS_SQL = f"""
+WITH RECURSIVE {canonical.ARTIFACTS_SQL}, d AS (SELECT id, mime_type, body, length(body) AS n FROM (SELECT id, mime_type, {_STRIPPED.format("extracted_text")} AS body FROM art) WHERE length(body) >= 15),
+w AS (
+  SELECT id, mime_type, body, n, CAST(0 AS BIGINT) AS pos, CASE WHEN n > 500 AND length({_MARKED.replace("pos + 1", "1").replace("n - pos", "n")}) >= 15 THEN length({_MARKED.replace("pos + 1", "1").replace("n - pos", "n")}) + 1 ELSE least(500, n) END AS until FROM d
+  UNION ALL SELECT id, mime_type, body, n, pos, CASE WHEN pos + 500 < n AND length({_MARKED}) >= 15 THEN pos + length({_MARKED}) + 1 ELSE least(pos + 500, n) END FROM (SELECT id, mime_type, body, n, greatest(until - 100, pos + 1) AS pos FROM w WHERE until < n)
+),
+c AS (SELECT id, mime_type, pos, until, {_STRIPPED.format("substr(body, pos + 1, until - pos)")} AS piece FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS i FROM c WHERE length(piece) >= 15)
+"""
 _CH = "WITH ch AS (SELECT DISTINCT ON (chunk_id) * FROM vector_chunks), ok AS (SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM ch WHERE len(embedding) = dimension AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0), "
 _SIM = _CH + f"s AS (SELECT chunk_id, artifact_id, list_cosine_similarity(v, CAST({PROBE} AS DOUBLE[])) AS similarity FROM ok WHERE model_id = '{MODEL}' AND dimension = {len(PROBE)}) "
 QUERIES = {f.__name__: f for f in (cosine_topk, cosine_threshold, max_similarity_per_artifact, chunk_artifacts, embedded_chunks, lsh_topk)}
 SQL = {
+    "chunk_artifacts": _CHUNKS_SQL + "SELECT id || '_c' || i AS chunk_id, id AS artifact_id, CAST(i AS INT) AS chunk_index, CAST(pos AS INT) AS start_char, CAST(until AS INT) AS end_char, CASE WHEN lower(mime_type) LIKE 'image/%' THEN 'ocr_text' ELSE 'document_text' END AS source_type, md5(piece) AS digest FROM k",
+    "embedded_chunks": _CHUNKS_SQL + r"SELECT id || '_c' || i AS chunk_id, 'hash-32' AS model_id, 32 AS dimension, 32 AS size FROM k WHERE regexp_matches(piece, '[\p{L}\p{N}]')",
     "cosine_topk": _SIM + "SELECT chunk_id, round(similarity, 6) AS similarity FROM s ORDER BY s.similarity DESC, chunk_id LIMIT 20",
     "cosine_threshold": _SIM + "SELECT chunk_id, artifact_id, round(similarity, 6) AS similarity FROM s WHERE s.similarity >= 15e-2",
     "max_similarity_per_artifact": _SIM + "SELECT artifact_id, max(round(similarity, 6)) AS similarity FROM s GROUP BY artifact_id",

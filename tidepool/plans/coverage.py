@@ -240,11 +240,19 @@ UNION ALL SELECT 'memories', count(*) FROM m WHERE id IN (SELECT id FROM left_ov
     "counters_by_folder": tables.SQL["incremental_diff"].replace("SELECT * FROM (SELECT scan.path", f"SELECT coalesce({_PARTS.format('path')}[2], '') AS folder, count(*) AS due, CAST(sum(CASE WHEN reason = 'new' THEN 1 ELSE 0 END) AS BIGINT) AS new FROM (SELECT scan.path") + " GROUP BY ALL",
     "evidence_heads": search._STAGES + " SELECT shown.id AS artifact_id, (SELECT eid FROM mine WHERE artifact_id = shown.id AND p = 1) AS episode_id, (SELECT 'memory_' || arg_min(eid, p) FROM mine WHERE artifact_id = shown.id AND eid IN (SELECT id FROM alive)) AS memory_id FROM shown",
     "attached_summaries": search._STAGES + " SELECT artifact_id, p AS place, eid AS id, title, strftime(start_ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_ts) % 1000000 = 0 THEN '' ELSE strftime(start_ts, '.%f') END || '+00:00' AS start_ts FROM mine WHERE artifact_id IN (SELECT id FROM shown)",
-    "activity_scores": search._STAGES.split("cand AS (")[0]
-    + f"""alive AS (SELECT id FROM ep WHERE EXISTS (SELECT 1 FROM (SELECT unnest(event_ids) AS e) z JOIN ev ON ev.id = z.e)),
+    **{
+        name: search._STAGES.split("cand AS (")[0]
+        + f"""alive AS (SELECT id FROM ep WHERE EXISTS (SELECT 1 FROM (SELECT unnest(event_ids) AS e) z JOIN ev ON ev.id = z.e)),
 mine AS (SELECT * FROM (SELECT w.*, row_number() OVER (PARTITION BY artifact_id ORDER BY start_ts DESC, eid) AS p FROM (SELECT DISTINCT unnest(artifact_ids) AS artifact_id, ep.id AS eid, start_ts FROM ep) w) WHERE p <= 3),
-scored AS (SELECT art.id, f, 12e-2 * CASE WHEN epoch_us(modified_at) BETWEEN {search._JUNE} THEN 1e0 WHEN epoch_us(modified_at) BETWEEN {search._WEEK} THEN 5e-1 ELSE 0e0 END + 8e-2 + CASE WHEN art.id IN (SELECT artifact_id FROM mine JOIN alive ON alive.id = mine.eid) THEN 5e-2 ELSE 0e0 END AS score FROM act JOIN art ON art.id = act.id JOIN firsts ON firsts.id = art.id)
-SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, f) AS position FROM scored ORDER BY round(score, 9) DESC, f LIMIT 20""",
+timed AS (SELECT art.id, f, modified_at, CASE WHEN epoch_us(modified_at) BETWEEN {search._JUNE} THEN 1e0 WHEN epoch_us(modified_at) BETWEEN {search._WEEK} THEN 5e-1 ELSE 0e0 END AS tm FROM act JOIN art ON art.id = act.id JOIN firsts ON firsts.id = art.id),
+scored AS (SELECT *, 12e-2 * tm + 8e-2 + CASE WHEN id IN (SELECT artifact_id FROM mine JOIN alive ON alive.id = mine.eid) THEN 5e-2 ELSE 0e0 END AS score FROM timed),
+shown AS (SELECT id, tm, modified_at, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, f) AS position FROM scored ORDER BY round(score, 9) DESC, f LIMIT 20)"""
+        + rest
+        for name, rest in (
+            ("activity_scores", " SELECT id, score, position FROM shown"),
+            ("activity_search", ", " + search._TITLES.replace("{titles}", search._TITLE_SQL) + " SELECT id, score, position, " + search._WHY.format(matched="", when="in june", episode="'Artifact was active during episode on ' || strftime(modified_at, '%Y-%m-%d') || '.'") + " AS why FROM shown"),
+        )
+    },
     "chunks_cover": _ART + f"SELECT id AS artifact_id, length({_STRIPPED}) AS reach, true AS fits, true AS begins FROM art WHERE length({_STRIPPED}) >= 15",
     "embedded_artifacts": _ART + rf"SELECT id AS artifact_id, 32 AS dimension, true AS unit FROM art WHERE length({_STRIPPED}) >= 15 AND regexp_matches(extracted_text, '[\p{{L}}\p{{N}}]')",
     "recall_of_scores": """WITH r AS (SELECT query_id, id, max(score) AS score, max(similarity) AS similarity FROM search_results WHERE similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY ALL),

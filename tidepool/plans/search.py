@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -270,6 +271,14 @@ parts AS (SELECT cand.*, CASE WHEN rank IS NULL THEN 0e0 WHEN min(rank) OVER ()
 best AS (SELECT *, 35e-2 * fts + 15e-2 * fn + 12e-2 * tm + 8e-2 * es + 5e-2 * ms AS score FROM parts),
 shown AS (SELECT * FROM best WHERE score > 0 ORDER BY round(score, 9) DESC, found LIMIT 20)"""
 )
+_MEMORY_TITLES = re.sub(r"\bfirsts\b", "topic_firsts", memories_op.MEMORIES_SQL.split(canonical.EPISODES_SQL)[1].lstrip(", \n"))
+_TITLES = f"""{_MEMORY_TITLES}, titled AS (SELECT m.id AS eid, x.title FROM m JOIN ({{titles}}) x ON x.id = m.mid)"""
+_WHY = """coalesce(nullif(concat_ws(' ', {matched} CASE tm WHEN 1e0 THEN 'Modified within requested range ({when}).' WHEN 5e-1 THEN 'Modified near requested range ({when}).' END, {episode},
+  'Topic matches associated memory ''' || (SELECT arg_min(titled.title, p) FROM mine JOIN titled ON titled.eid = mine.eid WHERE artifact_id = shown.id AND mine.eid IN (SELECT id FROM alive)) || '''.'), ''), 'Artifact matched search criteria.')"""
+_TITLE_SQL = "SELECT mid AS id, " + memories_op.SQL["memory_titles"].split("SELECT mid AS id, ")[1]
+_FIRST = lambda column: f"CASE WHEN contains(lower({column}), 'calendar') THEN 'calendar' WHEN contains(lower({column}), 'warehouse') THEN 'warehouse' END"
+_MATCHED = f"""CASE WHEN {_FIRST("file_name")} IS NOT NULL THEN 'Matched ''' || {_FIRST("file_name")} || ''' in filename.' ELSE 'Matched ''' || {_FIRST("snippet")} || ''' in ' || CASE WHEN lower(mime_type) LIKE 'image/%' THEN 'OCR text from screenshot' ELSE 'document text' END || '.' END,"""
+_EPISODE = "(SELECT 'Part of episode ''' || title || ''' (' || strftime(start_ts, '%Y-%m-%dT%H:%M') || '–' || strftime(end_ts, '%Y-%m-%dT%H:%M') || ').' FROM mine WHERE artifact_id = shown.id AND p = 1)"
 _L = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _DAY_OF = "CAST(TIMESTAMP '2026-07-01' AS TIMESTAMP)"  # a Wednesday, the day of NOW
 _ONE = lambda start, end: f"[{start}, {end} + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND]"
@@ -303,6 +312,7 @@ SQL = {
     **{k: fulltext.SQL[k] for k in ("bm25_topk", "bm25_and_match", "token_document_frequency", "corpus_stats")},
     "parse_queries": "WITH q AS (SELECT DISTINCT query_id, query_text FROM search_queries)," + _PARSE_SQL,
     "parse_phrases": "WITH q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(PHRASES)) + ") v(query_id, query_text))," + _PARSE_SQL,
+    "search_explain": _STAGES + ", " + _TITLES.replace("{titles}", _TITLE_SQL) + re.sub(r"\bbest\b", "picked", fulltext._SHOWN) + " SELECT shown.id, " + _WHY.format(matched=_MATCHED, when="in june 2026", episode=_EPISODE) + " AS why FROM shown LEFT JOIN shots ON shots.id = shown.id AND shown.rank IS NOT NULL",
     "hybrid_search": _STAGES + " SELECT id, path, round(score, 6) AS score FROM shown",
     "evidence_classified": _STAGES
     + """ SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY part, k, id) - 1 AS ordinal, type, id, confidence_type FROM (
