@@ -186,6 +186,17 @@ def test_every_vector_gets_its_five_neighbours(spark, tmp_path):
     assert len(got) == 2000 and len(got & want) / 2000 >= 0.99
 
 
+def test_posting_goes_as_deep_as_the_recall_wants(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 16))
+    df = spark.createDataFrame([(f"c{i:04d}", "m", 16, v.tolist(), "x") for i, v in enumerate(x)], VEC)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T - 3 * np.eye(1500)
+    want = {(f"c{i:04d}", f"c{j:04d}") for i in range(1500) for j in np.argsort(-cos[i])[:5]}
+    got = {(r["chunk_id"], r["neighbour_id"]) for r in neighbours.nearest(df, 5, file_rows=400, posted=1).collect()}
+    assert len(got & want) / len(want) >= 0.95
+
+
 def test_a_file_larger_than_a_block(monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((50, 8)).astype(np.float32)

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tidepool.session import cut, table
 
-#: Pivots in a vector's prefix, by which the footrule ranks, and the first of them, in whose files it is posted.
+#: Pivots in a vector's prefix, by which the footrule ranks, and the first of them, in whose files it is posted at least; in how
+#: many more is measured on SAMPLED vectors of a group, so that RECALL of their neighbours share a file with them.
 PREFIX = 12
 POSTED = 5
+MOST_POSTED, SAMPLED, RECALL = 24, 200, 0.97
 #: Members that a file should have: it makes the number of pivots follow the number of vectors. As many vectors or fewer are
 #: one file, and their answer is exact. The first level has MOST_PIVOTS pivots at most; files of SPLIT_FILES times FILE_ROWS
 #: members, be it by the number of vectors or because many are near each other, get pivots of their own, to the LOCAL_POSTED
@@ -140,6 +142,48 @@ def _best_of_all(x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def posted_for(heads: DataFrame, pivots, k: int, least: float, floor: int, seed: int) -> dict[str, int]:
+    """In how many files the vectors of each group have to be posted, floor or more and MOST_POSTED at most, so that RECALL of
+    the neighbours that SAMPLED vectors of a group have (their exact k best among all heads, with cosines of least or more)
+    share a file with them. pivots: a broadcast of the groups' pivots."""
+    probes: dict[str, np.ndarray] = {}
+    for grp, p in pivots.value.items():
+        if len(p) > floor:
+            part = heads.filter(F.col("grp") == grp).select("v", F.xxhash64(F.lit(seed + 3), "v").alias("h")).orderBy("h").limit(SAMPLED)
+            x = [bytes(r["v"]) for r in part.collect()]  # at most SAMPLED
+            probes[grp] = np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1)
+    if not probes:
+        return {}
+    shared = heads.sparkSession.sparkContext.broadcast(probes)
+
+    def near(batches):
+        for b in batches:
+            groups = np.array(b.column(0).to_pylist(), dtype=object)
+            for grp in np.unique(groups):
+                if grp not in shared.value:
+                    continue
+                part = b.take(pa.array(np.flatnonzero(groups == grp)))
+                x, q, p = _matrix(part.column(1)), shared.value[grp], pivots.value[grp]
+                cos = q @ x.T
+                best = _best_columns(np.where(cos > 0.999999, -2, cos), k)  # itself is no neighbour
+                i, j = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+                depth = min(MOST_POSTED, len(p))
+                files = np.argsort(-(x[j] @ p.T), axis=1, kind="stable")[:, :depth].astype(np.int32)
+                ok = cos[i, j] >= least
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ok.sum() * depth + 1, depth, dtype=np.int32)), pa.array(files[ok].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([grp] * int(ok.sum()), pa.string()), pa.array(i[ok].astype(np.int32)), pa.array(cos[i, j][ok].astype(np.float64)), lists], names=["grp", "q", "cos", "files"])
+
+    w = Window.partitionBy("grp", "q").orderBy(F.col("cos").desc())
+    found = heads.select("grp", "v").mapInArrow(near, "grp string, q int, cos double, files array<int>").withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k)
+    met: dict[str, list[int]] = {}
+    for r in found.select("grp", "q", "files").collect():  # at most SAMPLED * k rows a group
+        p = pivots.value[r["grp"]]
+        own = np.argsort(-(p @ probes[r["grp"]][r["q"]]), kind="stable")[:MOST_POSTED].tolist()
+        # the least depth at which both prefixes have a pivot in common
+        met.setdefault(r["grp"], []).append(min((max(own.index(f), at) + 1 for at, f in enumerate(r["files"]) if f in own), default=MOST_POSTED + 1))
+    return {grp: int(min(MOST_POSTED, max(floor, np.quantile(depths, RECALL, method="higher")))) for grp, depths in met.items()}
+
+
 def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = PREFIX, posted: int = POSTED, file_rows: int = FILE_ROWS, reranked: int | None = None, seed: int = 0) -> DataFrame:
     """chunk_id, neighbour_id, similarity, position: of each usable vector its k most similar of the same model and
     dimension, ties by id, with a cosine of least or more.
@@ -147,7 +191,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
     vectors: chunk_id (unique), model_id, dimension, embedding. Which rows count: see usable; others neither get nor are
     neighbours. Repeated rows count once. Pivots are a seeded sample of at most MOST_PIVOTS vectors of each model and
     dimension, and of each file that is too large for one task; every vector is posted, its elements as 16-bit numbers, which
-    changes cosines by about 3e-6. A pair is found if the two share a file; up to file_rows vectors of a model and dimension are one file. With reranked, only so many members
+    changes cosines by about 3e-6, in the files of its posted nearest pivots, or more (see posted_for). A pair is found if the
+    two share a file; up to file_rows vectors of a model and dimension are one file. With reranked, only so many members
     of a file, the first by footrule, are compared with each. Other columns are ignored; an empty table gives no rows.
     """
     rows = cut(usable(vectors), "vectors")
@@ -164,6 +209,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
         taken = part.distinct().orderBy("h").limit(count).select("v").collect()  # at most MOST_PIVOTS
         pivots[grp] = np.frombuffer(b"".join(bytes(r["v"]) for r in taken), np.float32).reshape(len(taken), -1)
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    depth = posted_for(heads, shared, k, least, posted, seed)
 
     def post(batches):
         for b in batches:
@@ -173,11 +219,12 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, prefix: int = P
                 for piece in (at[i : i + 4096] for i in range(0, len(at), 4096)):
                     part = b.take(pa.array(piece))
                     x, p = _matrix(part.column(2)), shared.value[grp]
-                    n = min(prefix if reranked is not None else posted, len(p))
+                    deep = depth.get(grp, posted)
+                    n = min(max(prefix, deep) if reranked is not None else deep, len(p))
                     cos = x @ p.T
                     best = np.argpartition(-cos, n - 1, axis=1)[:, :n]
                     best = np.take_along_axis(best, np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable"), 1).astype(np.int16)
-                    files = min(posted, n)
+                    files = min(deep, n)
                     times = pa.array(np.repeat(np.arange(len(piece)), files))
                     small = pa.array([r.tobytes() for r in np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 32767).astype(np.int16)], pa.binary())
                     perm = pa.array([r.tobytes() if reranked is not None else None for r in best], pa.binary())
