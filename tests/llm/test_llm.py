@@ -92,6 +92,7 @@ def test_ranking_is_not_ruled_by_range_or_extremes(spark):
     wanted = spark.createDataFrame([(q, 4) for q in range(12)] + [(99, 3), (None, 1)], "query_id bigint, n int")
     got = {(r[0], r[1]) for r in rank.first_of_each(ranked, wanted, "query_id", "artifact_id", "n").collect()}
     assert len(got) == 48 and len(got & good) / 48 >= 0.95
+    assert got == {(r[0], r[1]) for r in rank.first_of_each(ranked, wanted, "query_id", "artifact_id", "n", hot_rows=10).collect()}
     hot = rank.rank_by_closeness(df, "query_id", "artifact_id", scores, hot_rows=10)  # every group treated as a large one
     assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, ranked.collect()))
 

@@ -82,16 +82,18 @@ def rank_by_closeness(rows: DataFrame, group: str, item: str, scores: list[Score
     return best.select(F.col("g").alias(group), F.col("i").alias(item), "closeness")
 
 
-def first_of_each(ranked: DataFrame, wanted: DataFrame, group: str, item: str, n: str) -> DataFrame:
+def first_of_each(ranked: DataFrame, wanted: DataFrame, group: str, item: str, n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """ranked with position, only each group's first n by closeness, then item. wanted: group, n (null: none; of repeated
     rows the greatest). The first of each of PARTS parts are taken before the first of the group."""
+    ranked = cut(ranked, "ranked")
+    hot = hot_keys(ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group, "n", hot_rows)
     limits = wanted.filter(F.col(group).isNotNull()).groupBy(group).agg(F.max(n).alias("_n"))
     order = [F.col("closeness").desc(), F.col(item)]
     parts = Window.partitionBy(group, "_part").orderBy(*order)
-    cut = ranked.join(limits, group).withColumn("_part", F.pmod(F.xxhash64(item), F.lit(PARTS)))
-    cut = cut.withColumn("_at", F.row_number().over(parts)).filter("_at <= _n")
+    tops = join_small(ranked, limits, group, hot).withColumn("_part", F.pmod(F.xxhash64(item), F.lit(PARTS)))
+    tops = tops.withColumn("_at", F.row_number().over(parts)).filter("_at <= _n")
     whole = Window.partitionBy(group).orderBy(*order)
-    return cut.withColumn("position", F.row_number().over(whole)).filter("position <= _n").drop("_n", "_part", "_at")
+    return tops.withColumn("position", F.row_number().over(whole)).filter("position <= _n").drop("_n", "_part", "_at")
 
 
 RESULT_SCORES = [Score("bm25_rank", higher_is_better=False), Score("similarity"), Score("score")]
