@@ -60,6 +60,10 @@ def test_service_over_http(place):
     assert call(server, "GET", f"/document/{ident}")[1]["file_name"] == "a_note.txt" and call(server, "GET", "/document/999")[0] == 404
     assert store.read("artifacts").first()["last_opened_ms"] is not None
     assert call(server, "GET", "/status")[1]["available"] == 1 and "/document/{id}" in call(server, "GET", "/openapi.json")[1]["paths"]
+    for place_, start in (("/", b"<!doctype html>"), ("/page.js", b'"use strict"'), ("/page.css", b"body")):
+        with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}{place_}", timeout=60) as r:
+            assert r.status == 200 and r.read().startswith(start)
+    assert call(server, "GET", "/static/index.html")[0] == 404 and call(server, "GET", "/../service.py")[0] == 404
     assert call(server, "GET", "/etc/passwd")[0] == 404 and call(server, "GET", "/search")[0] == 405
 
 

@@ -18,6 +18,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from tidepool.plans.ingest import Store
 
 MOST_BODY = 64 * 1024
+#: The files of the page, and nothing else, by the place they are asked for.
+ASSETS = {"/": ("index.html", "text/html"), "/page.js": ("page.js", "text/javascript"), "/page.css": ("page.css", "text/css")}
 log = logging.getLogger(__name__)
 
 
@@ -151,12 +153,19 @@ def serve(store: Store, port: int = 8077, host: str = "127.0.0.1") -> ThreadingH
                 if size > MOST_BODY:
                     return self._send(413, {"error": f"a request has at most {MOST_BODY} bytes"})
                 body = self.rfile.read(size)
-            self._send(*service.answer(method, self.path.split("?")[0], body))
+            path = self.path.split("?")[0]
+            if method == "GET" and path in ASSETS:
+                name, kind = ASSETS[path]
+                with open(os.path.join(os.path.dirname(__file__), "static", name), "rb") as f:
+                    return self._raw(200, f.read(), f"{kind}; charset=utf-8")
+            self._send(*service.answer(method, path, body))
 
         def _send(self, status: int, answer: dict) -> None:
-            raw = json.dumps(answer, default=str).encode()
+            self._raw(status, json.dumps(answer, default=str).encode(), "application/json")
+
+        def _raw(self, status: int, raw: bytes, kind: str) -> None:
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)
