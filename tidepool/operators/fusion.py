@@ -70,10 +70,8 @@ def without_evidence(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({c: F.array().cast(t) for c, t in kinds.items()})
 
 
-def enrich(candidates: DataFrame, events: DataFrame, episodes: DataFrame, memories: DataFrame) -> DataFrame:
-    """candidates with episodes (the newest SHOWN), memories (of these, each once) and evidence: events by time, then these
-    episodes, then these memories. What has none has empty arrays."""
-    ids = candidates.select("id")
+def proofs(ids: DataFrame, events: DataFrame, episodes: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What speaks for artifacts (id), a row a piece: artifact_id, p (o: its place, x: what it says); and what related gives."""
     log = events.select(F.col("id").alias("event_id"))
 
     def resolves(rows: DataFrame, name: str) -> DataFrame:
@@ -96,11 +94,26 @@ def enrich(candidates: DataFrame, events: DataFrame, episodes: DataFrame, memori
     e1 = seen.select("artifact_id", proof("event", order(0, F.col("us"), F.col("event_id")), "event_id", classify(F.lit(True), F.lit(False)), F.coalesce("event_confidence", F.lit(1.0)), F.col("source"), F.col("source_kind"), title, none, F.col("event_path"), iso_text(F.col("us"))).alias("p"))
     e2 = mine.select("artifact_id", proof("episode", order(1, F.col("position").cast("bigint"), F.col("episode_id")), "episode_id", classify(F.lit(False), F.col("resolves")), F.col("grouping_confidence"), F.lit("episode"), F.lit("derived"), F.col("title"), F.lit(""), none, iso_text(F.col("start_us"))).alias("p"))
     e3 = told.select("artifact_id", proof("memory", order(2, F.col("position").cast("bigint"), F.col("memory_id")), "memory_id", classify(F.lit(False), F.col("resolves")), F.col("confidence"), F.lit("memory"), F.lit("derived"), F.col("m_title"), F.col("m_title"), none, iso_text(F.col("m_start"))).alias("p"))
-    proofs = e1.unionByName(e2).unionByName(e3).groupBy("artifact_id").agg(F.array_sort(F.collect_list("p")).alias("proofs"))
+    return e1.unionByName(e2).unionByName(e3), mine, told
+
+
+def evidence_rows(results: DataFrame, events: DataFrame, episodes: DataFrame, memories: DataFrame) -> DataFrame:
+    """artifact_id, ordinal and the fields of each piece of evidence for results (id): what enrich collects, as rows, for
+    artifacts that have very much of it. Paths and snippets are those of the evidence itself."""
+    rows, _, _ = proofs(results.select("id"), events, episodes, memories)
+    at = F.row_number().over(Window.partitionBy("artifact_id").orderBy("p.o")) - 1
+    return rows.select("artifact_id", at.cast("bigint").alias("ordinal"), "p.x.*")
+
+
+def enrich(candidates: DataFrame, events: DataFrame, episodes: DataFrame, memories: DataFrame) -> DataFrame:
+    """candidates with episodes (the newest SHOWN), memories (of these, each once) and evidence: events by time, then these
+    episodes, then these memories. What has none has empty arrays."""
+    pieces, mine, told = proofs(candidates.select("id"), events, episodes, memories)
+    pieces = pieces.groupBy("artifact_id").agg(F.array_sort(F.collect_list("p")).alias("proofs"))
     ep = mine.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("episode_id").alias("id"), "title", iso_text(F.col("start_us")).alias("start_ts"), iso_text(F.col("end_us")).alias("end_ts")))).alias("episodes"))
     mem = told.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("memory_id").alias("id"), F.col("m_title").alias("title")))).alias("memories"))
     rows = candidates
-    for part in (ep, mem, proofs):
+    for part in (ep, mem, pieces):
         rows = rows.join(part.withColumnRenamed("artifact_id", "_a"), rows["id"] == F.col("_a"), "left").drop("_a")
     fill = lambda x: x["x"].withField("path", F.coalesce(x["x"]["path"], F.col("path"), F.lit(""))).withField("snippet", F.coalesce(x["x"]["snippet"], F.col("snippet"), F.lit("")))
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))

@@ -157,6 +157,10 @@ class SearchEngine:
             self.failed.append(what)
             return otherwise()
 
+    def evidence(self, results: DataFrame) -> DataFrame:
+        """The evidence for results (id) as rows: artifact_id, ordinal, type, id, confidence_type and more."""
+        return fusion.evidence_rows(results, self.events, self.episodes, self.memories)
+
     def respond(self, request: dict, now: datetime | None = None) -> dict:
         """What the service answers: took_ms and the result cards. Wrong requests raise ValueError."""
         asked, began = Request.from_dict(request), time.monotonic()
@@ -205,8 +209,9 @@ def search_explain(spark, sf_dir: str) -> DataFrame:
 
 
 def evidence_classified(spark, sf_dir: str) -> DataFrame:
-    rows = _results(spark, sf_dir).select(F.col("id").alias("artifact_id"), F.posexplode("evidence").alias("ordinal", "x"))
-    return rows.select("artifact_id", F.col("ordinal").cast("bigint").alias("ordinal"), "x.type", "x.id", "x.confidence_type")
+    """The evidence for each result, a row a piece."""
+    engine = SearchEngine.over(spark, sf_dir)
+    return engine.evidence(engine.search(QUERY, 20, NOW, evidence=False)).select("artifact_id", "ordinal", "type", "id", "confidence_type")
 
 
 def activity_search(spark, sf_dir: str) -> DataFrame:
