@@ -66,6 +66,10 @@ def test_audit_of_long_texts_across_blocks(spark):
     assert made.count() > 100 and split.audit_pieces(made, docs).count() == 0
     long = spark.createDataFrame([("x", 1, 0, 0, len(t), t)], "chunk_id string, artifact_id bigint, chunk_index int, start_char int, end_char int, text string")
     assert {r["defect"] for r in split.audit_pieces(long, docs).collect()} == {"oversize"}
+    whole = spark.createDataFrame([(2, "ab " * 10_923 )], "id bigint, text string").withColumn("text", F.substring("text", 1, 2 * split.BLOCK))
+    beyond = spark.createDataFrame([("y", 2, 0, 2 * split.BLOCK, 2 * split.BLOCK + 9, "x"), ("z", 2, 1, split.BLOCK - 3, split.BLOCK + 5_000, "x")], "chunk_id string, artifact_id bigint, chunk_index int, start_char int, end_char int, text string")
+    got = {(r["chunk_index"], r["defect"]) for r in split.audit_pieces(beyond, whole).collect()}
+    assert {(0, "overlap"), (0, "text"), (1, "oversize"), (1, "overlap"), (1, "text"), (1, "tail")} <= got
 
 
 # Ranking ------------------------------------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.session import table
+from tidepool.session import cut, table
 
 LIMIT = 500
 OVERLAP = 100
@@ -33,8 +33,8 @@ WORD = len(SEPARATORS) - 1
 CHARACTER = len(SEPARATORS)
 #: Fixed value: the blanks, tabs and line ends at which a piece may end.
 BLANKS = " \t\n\r\x85\u2028\u2029"
-#: Texts are laid beside stored pieces in blocks of so many characters.
-BLOCK = 16_384
+#: Texts are laid beside stored pieces in blocks of so many characters, and PAD more.
+BLOCK, PAD = 16_384, 4_096
 #: Pieces of one artifact whose order is worked out together.
 INDEX_BLOCK = 256
 
@@ -129,27 +129,31 @@ def could_end_naturally(text: str, overlap: int) -> bool:
 
 
 def _beside(pieces: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
-    """pieces (key, artifact_id, a, b) with here: the characters from a to b, and one more, of whole (artifact_id, text).
+    """pieces (key, artifact_id, a, b, size) with here: the characters from a to b, and one more, of whole (artifact_id, text).
 
-    Texts are cut into blocks of BLOCK characters in one go each; a piece meets the blocks it lies in."""
+    Texts are cut in one go into blocks of BLOCK characters and PAD more. A piece shorter than PAD lies in the block that it
+    begins in; a longer one is put together from its parts in all the blocks it meets."""
 
     def blocks(batches):
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = [text[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
+                parts = [text[k : k + BLOCK + PAD] for k in range(0, len(text), BLOCK)]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["artifact_id", "block", "part"])
 
     cut_up = whole.select("artifact_id", "text").mapInArrow(blocks, "artifact_id bigint, block int, part string")
-    at = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
-    spread = pieces.withColumn("block", F.explode(F.sequence(at("a"), F.greatest(at("a"), at("b")))))
-    near = spread.join(cut_up, ["artifact_id", "block"])
+    at = lambda c: F.least(F.floor(F.col(c) / BLOCK), F.floor((F.col("size") - 1) / BLOCK)).cast("int")
     base = F.col("block") * BLOCK
+    short = pieces.filter(F.col("b") - F.col("a") < PAD).withColumn("block", at("a")).join(cut_up, ["artifact_id", "block"])
+    found = short.withColumn("here", F.substring("part", F.col("a") - base + 1, F.col("b") - F.col("a") + 1)).drop("part", "a", "b", "block")
+    long = cut(pieces.filter(F.col("b") - F.col("a") >= PAD), "long-pieces")
+    if long.isEmpty():
+        return found
+    near = long.withColumn("block", F.explode(F.sequence(at("a"), at("b")))).join(cut_up, ["artifact_id", "block"])
     start = F.greatest(F.col("a") - base, F.lit(0))
-    near = near.withColumn("seg", F.substring("part", start + 1, F.col("b") + 1 - base - start)).drop("part", "a", "b")
-    single = near.filter("n_blocks = 1").withColumnRenamed("seg", "here").drop("block")
+    near = near.withColumn("seg", F.substring("part", start + 1, F.least(F.col("b") + 1 - base, F.lit(BLOCK)) - start)).drop("part", "a", "b")
     rest = [c for c in near.columns if c not in (*key, "block", "seg")]
-    several = near.filter("n_blocks > 1").groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seg"))), lambda x: x["seg"]), "").alias("here"))
-    return single.unionByName(several)
+    joined = near.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seg"))), lambda x: x["seg"]), "").alias("here"))
+    return found.unionByName(joined)
 
 
 def audit_pieces(pieces: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -168,8 +172,7 @@ def audit_pieces(pieces: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap
     known = previous_ends(narrow).join(last, "artifact_id")
     inside = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.col("size"))
     known = known.select(*key, "prev_end", "size", (F.col("chunk_index") == F.col("last_index")).alias("is_last"), inside("start_char").alias("a"), F.greatest(inside("end_char"), inside("start_char")).alias("b"))
-    n_blocks = F.floor(F.col("b") / BLOCK) - F.floor(F.col("a") / BLOCK) + 1
-    facts = _beside(known.join(rows, key).withColumn("n", F.col("b") - F.col("a")).withColumn("n_blocks", n_blocks), whole, key)
+    facts = _beside(known.join(rows, key).withColumn("n", F.col("b") - F.col("a")), whole, key)
     in_word = F.col("end_char") < F.col("size"), F.col("n") > 0, F.substring("here", F.col("n"), F.lit(2)).rlike(r"^[\p{L}\p{N}]{2}$")
 
     @F.pandas_udf("boolean")
