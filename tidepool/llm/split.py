@@ -128,8 +128,9 @@ def could_end_naturally(text: str, overlap: int) -> bool:
     return any(e > overlap + 1 and text[e - 1] in BLANKS for e in natural_ends(text))
 
 
-def _beside(pieces: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
+def _beside(known: DataFrame, pieces: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
     """pieces (key, artifact_id, a, b, size) with here: the characters from a to b, and one more, of whole (artifact_id, text).
+    known: a stored table of the same pieces.
 
     Texts are cut in one go into blocks of BLOCK characters and PAD more. A piece shorter than PAD lies in the block that it
     begins in; a longer one is put together from its parts in all the blocks it meets."""
@@ -145,10 +146,9 @@ def _beside(pieces: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
     base = F.col("block") * BLOCK
     short = pieces.filter(F.col("b") - F.col("a") < PAD).withColumn("block", at("a")).join(cut_up, ["artifact_id", "block"])
     found = short.withColumn("here", F.substring("part", F.col("a") - base + 1, F.col("b") - F.col("a") + 1)).drop("part", "a", "b", "block")
-    long = cut(pieces.filter(F.col("b") - F.col("a") >= PAD), "long-pieces")
-    if long.isEmpty():
+    if known.filter(F.col("b") - F.col("a") >= PAD).isEmpty():
         return found
-    near = long.withColumn("block", F.explode(F.sequence(at("a"), at("b")))).join(cut_up, ["artifact_id", "block"])
+    near = pieces.filter(F.col("b") - F.col("a") >= PAD).withColumn("block", F.explode(F.sequence(at("a"), at("b")))).join(cut_up, ["artifact_id", "block"])
     start = F.greatest(F.col("a") - base, F.lit(0))
     near = near.withColumn("seg", F.substring("part", start + 1, F.least(F.col("b") + 1 - base, F.lit(BLOCK)) - start)).drop("part", "a", "b")
     rest = [c for c in near.columns if c not in (*key, "block", "seg")]
@@ -172,7 +172,8 @@ def audit_pieces(pieces: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap
     known = previous_ends(narrow).join(last, "artifact_id")
     inside = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.col("size"))
     known = known.select(*key, "prev_end", "size", (F.col("chunk_index") == F.col("last_index")).alias("is_last"), inside("start_char").alias("a"), F.greatest(inside("end_char"), inside("start_char")).alias("b"))
-    facts = _beside(known.join(rows, key).withColumn("n", F.col("b") - F.col("a")), whole, key)
+    known = cut(known, "known")  # narrow
+    facts = _beside(known, known.join(rows, key).withColumn("n", F.col("b") - F.col("a")), whole, key)
     in_word = F.col("end_char") < F.col("size"), F.col("n") > 0, F.substring("here", F.col("n"), F.lit(2)).rlike(r"^[\p{L}\p{N}]{2}$")
 
     @F.pandas_udf("boolean")
