@@ -2,6 +2,7 @@
 
 import math
 import os
+import shutil
 
 import duckdb
 import pytest
@@ -54,3 +55,32 @@ def test_recency_order_has_all_artifacts(spark):
     sql = f"SELECT id FROM (SELECT DISTINCT id, last_opened_ms FROM '{sf}/artifacts.parquet') ORDER BY CASE WHEN last_opened_ms > 0 THEN last_opened_ms END DESC NULLS LAST, id"
     want = [r[0] for r in duckdb.sql(sql).fetchall()]
     assert len(want) > 100 and [r["id"] for r in entry.queries()["opened_order"](spark, sf).collect()] == want
+
+
+def test_kept_tables_are_made_once_and_again_when_removed(spark, tmp_path):
+    from tidepool.session import kept, shared_folder
+
+    made = []
+    build = lambda path: (made.append(path), spark.range(3).write.parquet(path))
+    first = kept(spark, "numbers", ("a",), build)
+    assert kept(spark, "numbers", ("a",), build) == first and len(made) == 1 and first.startswith(shared_folder(spark))
+    assert kept(spark, "numbers", ("b",), build) != first
+    shutil.rmtree(first)
+    assert spark.read.parquet(kept(spark, "numbers", ("a",), build)).count() == 3 and len(made) == 3
+
+
+def test_other_machines_need_a_shared_folder(spark, monkeypatch):
+    from tidepool import session
+
+    class Context:
+        applicationId, master = "elsewhere", "spark://host:7077"
+
+        class getConf:  # noqa: N801
+            get = staticmethod(lambda *a: "")
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda *a: "")})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_folder(Session)

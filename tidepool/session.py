@@ -96,15 +96,21 @@ def stamp(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
 
 
 def kept(spark: SparkSession, name: str, state: tuple, build: Callable[[str], object]) -> str:
-    """The folder in which build(folder) left what is derived from tables of that state: made once a session."""
+    """The folder in which build(folder) left what is derived from tables of that state: made once a session, and
+    again if it was removed."""
     key = (spark.sparkContext.applicationId, name, state)
-    if key not in _kept:
+    if key not in _kept or not _exists(spark, _kept[key]):
         path = fresh_path(spark, name)
         build(path)
         _kept[key] = path
     return _kept[key]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
