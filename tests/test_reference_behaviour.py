@@ -275,6 +275,66 @@ def test_vector_search_recall(spark):
     assert one(metrics.recall_at_k(found, spark.createDataFrame(truth, "query_id string, id string")), "recall") >= 0.95
 
 
+def shuffled_rows(spark, df):
+    """The rows that df writes to shuffles, all stages together."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Double.TYPE, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    rows = df.collect()
+    return rows, total() - before
+
+
+def _neighbours(vectors_, queries, k, buckets=None):
+    """What nearest finds, by comparing all: (query_id, chunk_id, similarity) of rows (id, model, vector)."""
+    import numpy as np
+
+    out = []
+    for qid, qm, qv in queries:
+        best = {}
+        for cid, m, v in vectors_:
+            if m != qm or len(v) != len(qv) or not np.isfinite(v).all() or not np.any(v):
+                continue
+            if buckets and not {*vectors.buckets_of(np.float32(qv), *buckets)} & {*vectors.buckets_of(np.float32(v), *buckets)}:
+                continue
+            a, b = np.float64(np.float32(qv)), np.float64(np.float32(v))
+            best[cid] = max(best.get(cid, -2), float(np.cumsum(a * b)[-1] / (np.sqrt(np.cumsum(a * a)[-1]) * np.sqrt(np.cumsum(b * b)[-1]))))
+        out += [(qid, c, s) for c, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("buckets", [None, (16, 4, 0), (3, 6, 1)])
+def test_neighbours_are_those_of_brute_force(spark, monkeypatch, buckets):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i}", "m" if i % 3 else "n", rng.standard_normal(24).astype(np.float32).tolist()) for i in range(400)]
+    rows += [(f"same{i:02}", "m", rows[1][2]) for i in range(30)]  # equal cosines
+    rows += [("c1", "m", rows[2][2]), ("c2", "m", rows[2][2]), ("zero", "m", [0.0] * 24), ("nan", "m", [float("nan")] * 24), ("short", "m", [1.0] * 23), ("long", "m", [1e30] * 24), ("tiny", "n", [1e-6] + [0.0] * 23)]
+    rows += [("few", "o", [1.0] * 24), ("none", None, [1.0] * 24)]
+    df = spark.createDataFrame([(c, m, 24, v) for c, m, v in rows], "chunk_id string, model_id string, dimension int, embedding array<float>").repartition(3)
+    asked = [*rows[1:400:10], *[r for r in rows if r[0] in ("same01", "few", "nan", "tiny", "none")]]
+    q = spark.createDataFrame([(f"q{i}", m, 24, v) for i, (_, m, v) in enumerate(asked)], "query_id string, model_id string, dimension int, embedding array<float>")
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vectors, "TILE", 32)
+    got = sorted((r["query_id"], r["chunk_id"], r["similarity"]) for r in vectors.nearest(df, q, 5, buckets).collect())
+    want = _neighbours([(c, m or "?", v) for c, m, v in rows], [(f"q{i}", m or "!", v) for i, (_, m, v) in enumerate(asked) if np.isfinite(v).all()], 5, buckets)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], rtol=0, atol=1e-12)
+
+
+def test_bucketed_search_moves_no_pairs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(6).standard_normal((1500, 8)).astype(np.float32)
+    df = spark.createDataFrame([(f"c{i}", "m", 8, v.tolist()) for i, v in enumerate(x)], "chunk_id string, model_id string, dimension int, embedding array<float>")
+    rows, moved = shuffled_rows(spark, vectors.bucketed_topk(df, df.limit(300).withColumnRenamed("chunk_id", "query_id"), tables=16, bits=4))
+    assert len(rows) == 1500 and moved < 20_000  # 450,000 pairs
+
+
 def test_exact_vector_search(spark):
     rows = [("a", 1, "m", 3, [1.0, 0.0, 0.0]), ("b", 2, "m", 3, [0.0, 1.0, 0.0]), ("c", 3, "m", 3, [0.0, 0.0, 0.0]), ("d", 4, "m", 3, None), ("e", 5, "m", 3, [1.0, float("nan"), 0.0]), ("f", 6, "o", 3, [1.0, 0.0, 0.0]), ("g", 7, "m", 3, [1.0])]
     df = spark.createDataFrame(rows, "chunk_id string, artifact_id int, model_id string, dimension int, embedding array<float>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import shutil
@@ -10,16 +11,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.vector import cosine, cosine_to
+from tidepool.functions.vector import FLOOR, cosine_to
 from tidepool.sources import canonical
 
 #: Chunk size, overlap and least size in characters; least similarity of a search.
 SIZE, OVERLAP, LEAST = 500, 100, 15
 LEAST_SIMILARITY = 0.35
+#: Rows of a block in which vectors or queries meet, and of the tiles of it whose cosines are taken at once (a quarter of it for queries).
+BLOCK_ROWS, TILE = 1 << 16, 1 << 11
 CHUNK = "chunk_id string, chunk_index int, start_char int, end_char int, text string"
 
 
@@ -182,10 +186,14 @@ def _planes(dimension: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimension]).standard_normal((tables * bits, dimension)).astype(np.float32)
 
 
+def _bucket_numbers(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    signs = (np.atleast_2d(x) @ _planes(np.shape(x)[-1], tables, bits, seed).T > 0).reshape(-1, tables, bits)
+    return (signs << np.arange(bits)).sum(axis=2)
+
+
 def buckets_of(x: np.ndarray, tables: int = 12, bits: int = 8, seed: int = 0) -> list:
     """The buckets of a vector, one a table, or of each row of a matrix."""
-    signs = (np.atleast_2d(x) @ _planes(np.shape(x)[-1], tables, bits, seed).T > 0).reshape(-1, tables, bits)
-    found = (signs << np.arange(bits)).sum(axis=2) + np.arange(tables) * (1 << bits)
+    found = _bucket_numbers(x, tables, bits, seed) + np.arange(tables) * (1 << bits)
     return found.tolist() if np.ndim(x) > 1 else found[0].tolist()
 
 
@@ -205,15 +213,114 @@ def hyperplane_buckets(vectors: DataFrame, tables: int = 12, bits: int = 8, seed
     return vectors.filter(sound(vectors)).withColumn("bucket", F.explode(run(F.col("embedding"))))
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths, 1e-9 at least, summed up in the order of functions.vector.norm."""
+    parts = [np.sqrt(np.cumsum(x[a : a + TILE].astype(np.float64) ** 2, axis=1)[:, -1]) for a in range(0, len(x), TILE)]
+    return np.maximum(np.concatenate([np.zeros(0), *parts]), FLOOR)
+
+
+def _directions(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, np.float32)
+    for a in range(0, len(x), TILE):
+        out[a : a + TILE] = x[a : a + TILE] / norms[a : a + TILE, None]
+    return out
+
+
+def _sharing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of a share a bucket with which rows of b."""
+    out = np.zeros((len(a), len(b)), bool)
+    for t in range(a.shape[1]):
+        out |= a[:, t, None] == b[None, :, t]
+    return out
+
+
+def nearest_in_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, buckets: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, cosine): of each row of q the k most similar ids (those of the rows of x; the smaller ids where
+    cosines are equal), with buckets (numbers of q's and x's rows, a column a table) among those that share one with it.
+
+    All cosines of a tile are taken at once in single precision; what can be among the k best, by more than its error, is
+    computed again in double precision, in the order of functions.vector.cosine. Rows of x with one id count as its best."""
+    name = pd.factorize(ids, sort=True)[0]
+    nth = pd.Series(name).groupby(name).cumcount().to_numpy()
+    tiles = [rows[a : a + TILE] for n in np.unique(nth) for rows in [np.flatnonzero(nth == n)] for a in range(0, len(rows), TILE)]  # a tile has an id once
+    q_norms, x_norms = _norms(q), _norms(x)
+    q_unit, x_unit = _directions(q, q_norms), _directions(x, x_norms)
+    error = (q.shape[1] + 8) * 2.0**-23
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(q), TILE // 4):
+        mine = slice(at, at + TILE // 4)
+        least = np.full(len(q[mine]), -np.inf)  # the k-th best so far
+        best = out[0]
+        for rows in tiles:
+            near, floor = q_unit[mine] @ x_unit[rows].T, least - error
+            unfilled = np.flatnonzero(np.isneginf(least))
+            if len(unfilled):
+                part = near[unfilled]
+                if buckets:
+                    part[~_sharing(buckets[0][mine][unfilled], buckets[1][rows])] = -np.inf
+                    near[unfilled] = part
+                if len(rows) >= k:
+                    floor[unfilled] = np.partition(part, len(rows) - k, axis=1)[:, len(rows) - k] - 2 * error
+            i, j = np.divmod(np.flatnonzero(near >= np.maximum(floor, -2).astype(np.float32)[:, None]), len(rows))
+            for a in range(0, len(i), 4 * TILE):
+                u, v = i[a : a + 4 * TILE], rows[j[a : a + 4 * TILE]]
+                if buckets:
+                    shared = (buckets[0][at + u] == buckets[1][v]).any(axis=1)
+                    u, v = u[shared], v[shared]
+                dots = np.cumsum(q[at + u].astype(np.float64) * x[v], axis=1)[:, -1]
+                best = _first(*(np.concatenate(c) for c in zip(best, (u, v, dots / (q_norms[at + u] * x_norms[v])), strict=True)), name, k, nth[rows[0]] > 0)
+            kth = np.flatnonzero(best[0][k - 1 :] == best[0][: max(0, len(best[0]) - k + 1)]) + k - 1
+            least[best[0][kth]] = best[2][kth]
+        out.append((best[0] + at, *best[1:]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _first(i: np.ndarray, j: np.ndarray, cos: np.ndarray, name: np.ndarray, k: int, again: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k greatest cosines of each i, then by name[j], in order; where names may have come again, the greatest of a name."""
+    if again:
+        by = np.lexsort((-cos, name[j], i))
+        by = by[np.r_[True, (i[by][1:] != i[by][:-1]) | (name[j[by]][1:] != name[j[by]][:-1])]] if len(by) else by
+        i, j, cos = i[by], j[by], cos[by]
+    by = np.lexsort((name[j], -cos, i))
+    i, j, cos = i[by], j[by], cos[by]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], cos[kept]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, buckets: tuple[int, int, int] | None = None) -> DataFrame:
+    """query_id, chunk_id, similarity, position: the k most similar vectors (chunk_id, model_id, dimension, embedding) of queries
+    (query_id, model_id, dimension, embedding) of the same model and dimension, then by chunk_id; with buckets (tables, bits,
+    seed) among those that share one with it. A chunk_id that repeats counts once, by its best.
+
+    Blocks of vectors meet blocks of queries as matrices, and only each block's k best of a query travel on; a vector
+    travels once for each block of queries, a query once for each block of vectors."""
+    known = "model_id", "dimension"
+    left, right = (df.filter(sound(df) & F.col("model_id").isNotNull()).select(name, "model_id", F.col("dimension").cast("int").alias("dimension"), "embedding") for df, name in ((queries, "query_id"), (vectors, "chunk_id")))
+    n, m, cores = vectors.count(), queries.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    x_blocks, q_blocks = max(1, math.ceil(n / BLOCK_ROWS), min(2 * cores, n // TILE)), max(1, math.ceil(m / BLOCK_ROWS))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = left.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_x", every(x_blocks))
+    right = right.withColumn("_x", F.pmod(F.xxhash64("chunk_id"), F.lit(x_blocks)).cast("int")).withColumn("_q", every(q_blocks))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if a.num_rows and b.num_rows:
+            q, x = (y["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(y.num_rows, -1) for y in (a, b))
+            numbers = tuple(_bucket_numbers(y.astype(np.float32, copy=False), *buckets).astype(np.min_scalar_type((1 << buckets[1]) - 1)) for y in (q, x)) if buckets else None
+            i, j, cos = nearest_in_block(q, x, np.array(b["chunk_id"].to_pylist(), dtype=object), k, numbers)
+        return pa.table({"query_id": a["query_id"].take(pa.array(i)), "chunk_id": b["chunk_id"].take(pa.array(j)), "similarity": pa.array(cos)})
+
+    schema = T.StructType([queries.schema["query_id"], vectors.schema["chunk_id"], T.StructField("similarity", T.DoubleType())])
+    best = left.groupBy(*known, "_q", "_x").cogroup(right.groupBy(*known, "_q", "_x")).applyInArrow(meet, schema)
+    best = best.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
+    return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+
+
 def bucketed_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, bits: int = 8, seed: int = 0) -> DataFrame:
     """query_id, chunk_id, similarity, position: the k most similar vectors of queries (query_id, model_id, dimension,
     embedding), among those that share a bucket with it, reranked by their cosine. Vectors of another model don't count."""
-    left = hyperplane_buckets(queries, tables, bits, seed).select("query_id", "model_id", "dimension", "bucket", F.col("embedding").alias("q"))
-    right = hyperplane_buckets(vectors, tables, bits, seed).select("chunk_id", "model_id", "dimension", "bucket", "embedding")
-    pairs = left.join(right, ["model_id", "dimension", "bucket"]).dropDuplicates(["query_id", "chunk_id"])
-    scored = pairs.select("query_id", "chunk_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
-    return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+    return nearest(vectors, queries, k, (tables, bits, seed))
 
 
 def similar(vectors: DataFrame, query: list[float], model_id: str, k: int = 20, least: float = 0.5, mode: str = "exact") -> DataFrame:
