@@ -335,6 +335,16 @@ def test_bucketed_search_moves_no_pairs(spark):
     assert len(rows) == 1500 and moved < 20_000  # 450,000 pairs
 
 
+def test_recall_moves_no_pairs(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(7).standard_normal((1500, 8)).astype(np.float32)
+    df = spark.createDataFrame([(f"c{i}", 100 if i < 300 else i, "m", 8, v.tolist()) for i, v in enumerate(x)], "chunk_id string, artifact_id bigint, model_id string, dimension int, embedding array<float>")
+    df.filter("artifact_id <> 200").write.parquet(str(tmp_path / "vector_chunks.parquet"))
+    rows, moved = shuffled_rows(spark, metrics.lsh_recall_at_5(spark, str(tmp_path)))
+    assert rows[0]["n_queries"] >= 300 and rows[0]["recall"] > 0.9 and moved < 40_000
+
+
 def test_exact_vector_search(spark):
     rows = [("a", 1, "m", 3, [1.0, 0.0, 0.0]), ("b", 2, "m", 3, [0.0, 1.0, 0.0]), ("c", 3, "m", 3, [0.0, 0.0, 0.0]), ("d", 4, "m", 3, None), ("e", 5, "m", 3, [1.0, float("nan"), 0.0]), ("f", 6, "o", 3, [1.0, 0.0, 0.0]), ("g", 7, "m", 3, [1.0])]
     df = spark.createDataFrame(rows, "chunk_id string, artifact_id int, model_id string, dimension int, embedding array<float>")

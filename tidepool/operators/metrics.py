@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import vectors
-from tidepool.functions.vector import cosine
 from tidepool.session import table
 from tidepool.sources import canonical
 
@@ -71,16 +70,12 @@ def hit_at_k_mrr(spark, sf_dir: str) -> DataFrame:
 
 
 def lsh_recall_at_5(spark, sf_dir: str) -> DataFrame:
-    """Recall of the bucketed search against the exact one, for the chunks of artifacts whose id is divisible by 100. The
-    queries, a stated set, are broadcast if they are few enough for the planner, else joined by model and dimension."""
+    """Recall of the bucketed search against the exact one, for the chunks of artifacts whose id is divisible by 100."""
     chunks = canonical.chunks(spark, sf_dir)
     probes = vectors._probe_set(spark, sf_dir)
     probes = probes.filter(vectors.sound(probes))
     found = vectors.bucketed_topk(chunks, probes, tables=16, bits=4).select("query_id", F.col("chunk_id").alias("id"))
-    sound = chunks.filter(vectors.sound(chunks)).select("chunk_id", "model_id", "dimension", "embedding")
-    every = probes.withColumnRenamed("embedding", "q").join(sound, ["model_id", "dimension"]).select("query_id", F.col("chunk_id").alias("id"), cosine(F.col("q"), F.col("embedding")).alias("s"))
-    w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "id")
-    truth = every.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 5).select("query_id", "id")
+    truth = vectors.nearest(chunks, probes, 5).select("query_id", F.col("chunk_id").alias("id"))
     return recall_at_k(found, truth)
 
 
