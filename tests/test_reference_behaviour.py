@@ -98,6 +98,47 @@ def test_index_search_agrees_with_the_scan(spark):
     assert fulltext.search(docs.limit(0), "vector").count() == 0
 
 
+def test_many_queries_find_what_brute_force_finds(spark, tmp_path, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)] + [f"rare{i}" for i in range(30)]
+    texts = {i: [t for t in vocabulary if rng.random() < (0.5 if t[0] == "w" else 0.03)] * rng.choice([1, 1, 2]) for i in range(1, 301)}
+    texts |= {i: ["w0", "w1", "w2"] for i in range(301, 331)}  # equal ranks
+    docs = spark.createDataFrame([(i, "p", "f", "m", " ".join(t), i % 50 == 0) for i, t in texts.items()], DOC_SCHEMA)
+    asked = [(i, " ".join(rng.sample(vocabulary, 1 + i % 4))) for i in range(60)] + [(60, "W0, w1 w2 w1"), (60, "W0, w1 w2 w1"), (61, None), (62, "w0 nowhere"), (63, ""), (64, "w0 w1"), (64, "w0 w2"), (64, "w3")]
+    bags = {i: ["p", "f", "m", *t] for i, t in texts.items()}
+    df = {t: sum(t in b for b in bags.values()) for t in vocabulary}
+    avgdl = sum(map(len, bags.values())) / len(bags)
+    sets: dict = {}
+    for q, text in asked:
+        words = {t.strip(",").lower() for t in (text or "").split()}
+        sets.setdefault((q, len(words)), set()).update(words)
+    by: dict = {}
+    for (q, n), words in sets.items():
+        for i, b in bags.items():
+            have = [t for t in words if t in b]
+            if words and len(have) == n:
+                score = lambda t: max(math.log((len(bags) - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * b.count(t) * 2.2 / (b.count(t) + 1.2 * (0.25 + 0.75 * len(b) / avgdl))  # noqa: B023, E731
+                by.setdefault(q, []).append((round(-sum(map(score, have)), 6), i))
+    want = sorted((q, i, r, n) for q, rows in by.items() for n, (r, i) in enumerate(sorted(rows)[:5], 1))
+    monkeypatch.setattr(fulltext, "BLOCK_POSTINGS", 400)
+    monkeypatch.setattr(fulltext, "BLOCK_QUERIES", 20)
+    queries = spark.createDataFrame(asked, "query_id int, query_text string")
+    for got in (TextIndex(spark, str(tmp_path / "index")).build(docs).search_many(queries, 5), fulltext.search_many(fulltext.postings(docs), queries, 5)):
+        assert sorted(tuple(r) for r in got.collect()) == want
+    empty = TextIndex(spark, str(tmp_path / "empty")).build(docs.limit(0))
+    assert empty.search_many(queries).count() == 0 and fulltext.search_many(fulltext.postings(docs), queries.limit(0)).count() == 0
+
+
+def test_many_queries_move_no_pairs(spark):
+    docs = spark.createDataFrame([(i, "p", "f", "m", "one two three", False) for i in range(400)], DOC_SCHEMA)
+    queries = spark.createDataFrame([(i, "three two one") for i in range(200)], "query_id int, query_text string")
+    rows, moved = shuffled_rows(spark, fulltext.search_many(fulltext.postings(docs).localCheckpoint(), queries))
+    assert len(rows) == 4_000 and moved < 20_000  # 80,000 pairs
+
+
 def test_stored_index_finds_what_the_scan_finds(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, DOC_SCHEMA)
     for stemmed in (False, True):

@@ -1,7 +1,7 @@
 """Full-text retrieval: inverted index, BM25 with implicit AND and phrases, snippets.
 
 A query without a stored index (operators.textindex) is scored in one scan of the texts: terms are counted in each row,
-nothing is exploded. Many queries at once go through postings by token, joined with the queries' terms.
+nothing is exploded. Many queries at once meet the postings of their words in blocks of documents.
 """
 
 from __future__ import annotations
@@ -9,17 +9,23 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.functions.porter import stem, stems
 from tidepool.functions.text import index_tokens
+from tidepool.session import cut
 from tidepool.sources import canonical
 
 #: BM25 parameters, the least idf, the columns that are indexed.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ["path", "file_name", "mime_type", "extracted_text"]
+#: Postings and queries of a block in which many queries meet the documents.
+BLOCK_POSTINGS, BLOCK_QUERIES = 1 << 20, 1 << 16
 
 
 def _tokens(column: str, stemmed: bool) -> Column:
@@ -83,16 +89,79 @@ def search_many(index: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     """query_id, id, rank, position: of each query (query_id, query_text) the limit best docs that have all its words.
 
     index: postings. Statistics are the index's own. Queries without words find nothing; repeated ones count once."""
+    totals = index.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    return best_of_many(index, queries, totals["n"], float(totals["avgdl"] or 1.0), limit)
+
+
+def matches_of_block(tokens: list, posted: tuple[np.ndarray, np.ndarray, np.ndarray], asked: list[tuple[int, list]], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the query, document, score): of each query (least number of words, words) the limit best documents that have
+    so many of its words, by their summed scores rounded to six digits, then the smaller document. posted: index into tokens,
+    document from 0 on, score; a word's documents are narrowed down by the next words, the rarest is first."""
+    word, doc, score = posted
+    order = np.lexsort((doc, word))
+    doc, score = doc[order], score[order]
+    sizes = np.bincount(word, minlength=len(tokens))
+    lists = {t: (doc[b - n : b], score[b - n : b]) for t, n, b in zip(tokens, sizes, np.cumsum(sizes), strict=True)}
+    n = int(doc.max(initial=-1)) + 1
+    dense: dict = {}
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i, (least, words) in enumerate(asked):
+        mine = sorted((lists[t] + (t,) for t in words if t in lists), key=lambda x: len(x[0]))
+        if len(mine) < least:
+            continue
+        if len(words) > least:  # an id that repeats with other words: any so many of them, as the SQL has it
+            d = np.concatenate([x[0] for x in mine])
+            d, at, times = np.unique(d, return_inverse=True, return_counts=True)
+            s = np.bincount(at, np.concatenate([x[1] for x in mine]))
+            d, s = d[times == least], s[times == least]
+        else:
+            d, s, _ = mine[0]
+            for docs, scores, t in mine[1:]:
+                if len(docs) * 8 > n:
+                    if t not in dense:
+                        dense[t] = np.full(n, np.nan)
+                        dense[t][docs] = scores
+                    more = dense[t][d]
+                    both = ~np.isnan(more)
+                else:
+                    at = np.minimum(np.searchsorted(docs, d), len(docs) - 1)
+                    both, more = docs[at] == d, scores[at]
+                d, s = d[both], s[both] + more[both]
+        if len(d) > limit:
+            best = np.argsort(np.round(-s, 6), kind="stable")[:limit]
+            d, s = d[best], s[best]
+        if len(d):
+            found.append((np.full(len(d), i), d, s))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def best_of_many(index: DataFrame, queries: DataFrame, n_docs: int, avgdl: float, limit: int) -> DataFrame:
+    """search_many over postings of n_docs documents of avgdl tokens. Blocks of documents meet blocks of queries, and only
+    each block's limit best of a query travel on."""
+    spark = index.sparkSession
     tokens = F.array_distinct(index_tokens("query_text"))
     words = queries.select("query_id", F.size(tokens).alias("n_terms"), F.explode(tokens).alias("token")).distinct()
-    lengths = index.groupBy("id").agg(F.first("dl").alias("dl"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    wanted = index.join(words.select("token").distinct(), "token", "left_semi")
-    df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(totals["avgdl"] or 1.0)))
-    hits = wanted.join(df, "token").select("token", "id", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * weight).alias("s"))
-    scored = words.join(hits, "token").groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")).filter("n = n_terms")
+    df = cut(index.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")
+    posted = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    d_blocks = max(1, math.ceil(posted / BLOCK_POSTINGS), min(2 * spark.sparkContext.defaultParallelism, posted // (BLOCK_POSTINGS // 32)))
+    q_blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    hits = index.join(df, "token").select("token", "id", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * weight).alias("s"))
+    hits = hits.withColumn("_d", F.pmod(F.xxhash64("id"), F.lit(d_blocks)).cast("int")).withColumn("_q", every(q_blocks))
+    asked = words.groupBy("query_id", "n_terms").agg(F.collect_list("token").alias("tokens"))
+    asked = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_d", every(d_blocks))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        token = b["token"].combine_chunks().dictionary_encode()
+        _, at, doc = np.unique(b["id"].to_numpy(), return_index=True, return_inverse=True)
+        posted = token.indices.to_numpy(), doc, b["s"].to_numpy()
+        i, d, s = matches_of_block(token.dictionary.to_pylist(), posted, list(zip(a["n_terms"].to_pylist(), a["tokens"].to_pylist(), strict=True)), limit)
+        return pa.table({"query_id": a["query_id"].take(pa.array(i)), "id": b["id"].take(pa.array(at[d])), "s": pa.array(s)})
+
+    schema = T.StructType([queries.schema["query_id"], index.schema["id"], T.StructField("s", T.DoubleType())])
+    scored = asked.groupBy("_d", "_q").cogroup(hits.groupBy("_d", "_q")).applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.round(-F.col("s"), 6), "id")
     return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit).select("query_id", "id", F.round(-F.col("s"), 6).alias("rank"), "position")
 

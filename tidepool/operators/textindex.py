@@ -11,12 +11,11 @@ import json
 import math
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.porter import stem
-from tidepool.functions.text import index_tokens
-from tidepool.operators.fulltext import B, COLUMNS, K1, LEAST_IDF, _tokens, terms_of
+from tidepool.operators.fulltext import B, COLUMNS, K1, LEAST_IDF, _tokens, best_of_many, terms_of
 
 #: A segment has eight buckets for so many documents, and MOST_BUCKETS at most.
 BUCKET_DOCS, MOST_BUCKETS = 20_000, 4_096
@@ -168,17 +167,8 @@ class TextIndex:
     def search_many(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """query_id, id, rank, position: of each query (query_id, query_text) the limit best documents, missing ones too,
         that have all its words. Queries without words find nothing; repeated ones count once."""
-        tokens = F.array_distinct(index_tokens("query_text"))
-        words = queries.select("query_id", F.size(tokens).alias("n_terms"), F.explode(tokens).alias("token")).distinct()
         numbers = self.numbers()
-        wanted = self.postings().select("token", "id", "tf", "dl").join(words.select("token").distinct(), "token", "left_semi")
-        df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log((numbers["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(numbers["avgdl"] or 1.0)))
-        hits = wanted.join(df, "token").select("token", "id", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * weight).alias("s"))
-        scored = words.join(hits, "token").groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")).filter("n = n_terms")
-        w = Window.partitionBy("query_id").orderBy(F.round(-F.col("s"), 6), "id")
-        return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit).select("query_id", "id", F.round(-F.col("s"), 6).alias("rank"), "position")
+        return best_of_many(self.postings().select("token", "id", "tf", "dl"), queries, numbers["n_docs"], float(numbers["avgdl"] or 1.0), limit)
 
 
 def _placed(tokens: Column, first: int) -> Column:
